@@ -58,7 +58,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    out = to_arrow_schema(_parse_datatype_string(schema), timezone="UTC")
+    out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
         for got in fn(b.to_pydict() for b in batches):
