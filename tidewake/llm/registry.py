@@ -1,11 +1,17 @@
 """Queries of this subpackage and the SQL that some of them have."""
 
 from .grammar_store import op3_grammar_store
+from .html_text import op5_html_text
+from .neighbours import op10_block_neighbours
 from .token_counts import op1_token_counts
+from .warc import OP2_SQL, op2_warc_normalise
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc_normalise": op2_warc_normalise,
     "op3_grammar_store": op3_grammar_store,
+    "op5_html_text": op5_html_text,
+    "op10_block_neighbours": op10_block_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_warc_normalise": OP2_SQL}
