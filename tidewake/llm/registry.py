@@ -2,6 +2,8 @@
 
 from .grammar_store import op3_grammar_store
 from .html_text import op5_html_text
+from .language_crf import op4_language_crf
+from .near_copies import op7_setsketch_near
 from .neighbours import op10_block_neighbours
 from .token_counts import op1_token_counts
 from .warc import OP2_SQL, op2_warc_normalise
@@ -10,7 +12,9 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_normalise": op2_warc_normalise,
     "op3_grammar_store": op3_grammar_store,
+    "op4_language_crf": op4_language_crf,
     "op5_html_text": op5_html_text,
+    "op7_setsketch_near": op7_setsketch_near,
     "op10_block_neighbours": op10_block_neighbours,
 }
 
