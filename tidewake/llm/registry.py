@@ -1,10 +1,12 @@
 """Queries of this subpackage and the SQL that some of them have."""
 
+from .decontamination import op9_string_tiling
 from .grammar_store import op3_grammar_store
 from .html_text import op5_html_text
 from .language_crf import op4_language_crf
 from .near_copies import op7_setsketch_near
 from .neighbours import op10_block_neighbours
+from .packing import op8_genetic_packing
 from .token_counts import op1_token_counts
 from .warc import OP2_SQL, op2_warc_normalise
 
@@ -15,6 +17,8 @@ QUERIES = {
     "op4_language_crf": op4_language_crf,
     "op5_html_text": op5_html_text,
     "op7_setsketch_near": op7_setsketch_near,
+    "op8_genetic_packing": op8_genetic_packing,
+    "op9_string_tiling": op9_string_tiling,
     "op10_block_neighbours": op10_block_neighbours,
 }
 
