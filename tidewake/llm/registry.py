@@ -2,6 +2,7 @@
 
 from .decontamination import op9_string_tiling
 from .grammar_store import op3_grammar_store
+from .gru_lm import op6_gru_scores
 from .html_text import op5_html_text
 from .language_crf import op4_language_crf
 from .near_copies import op7_setsketch_near
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_grammar_store": op3_grammar_store,
     "op4_language_crf": op4_language_crf,
     "op5_html_text": op5_html_text,
+    "op6_gru_scores": op6_gru_scores,
     "op7_setsketch_near": op7_setsketch_near,
     "op8_genetic_packing": op8_genetic_packing,
     "op9_string_tiling": op9_string_tiling,
