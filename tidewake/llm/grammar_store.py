@@ -41,31 +41,34 @@ def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = 6, least: int = 24,
         if len(seq) < 2:
             break
         code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        code[close[:-1]] = 0
         bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
         often = np.bincount(bucket, minlength=1 << 20)[bucket] >= least  # no pair is rarer than its bucket
         often &= ~close[:-1]
         at = np.flatnonzero(often)
         if not len(at):
             break
-        pairs, inverse, counts = np.unique(code[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")
-        order = order[counts[order] >= least][:per_round]
-        if not len(order):
+        code, bucket = code[at], bucket[at]
+        ordered = np.sort(code)
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        counts = np.diff(np.append(first, len(ordered)))
+        pairs, counts = ordered[first[counts >= least]], counts[counts >= least]
+        pairs = pairs[np.argsort(-counts, kind="stable")[:per_round]]
+        if not len(pairs):
             break
-        rank = np.full(len(pairs), len(pairs), np.int64)
-        rank[order] = np.arange(len(order))
-        where = np.full(len(seq) + 1, np.iinfo(np.int64).max)
-        ranks = rank[inverse]
-        ok = ranks < len(order)
-        where[at[ok] + 1] = ranks[ok]  # where[i + 1]: the rank of the pair at i
-        here = where[1:]
-        chosen = (here < where[:-1]) & (here <= np.append(where[2:], np.iinfo(np.int64).max)) & (here < len(order))
-        pick = np.flatnonzero(chosen)
+        slot = np.full(1 << 20, -1, np.int32)  # of pairs that share a bucket the most frequent waits for no other
+        home = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+        slot[home[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
+        rank = slot[bucket]
+        ok = (rank >= 0) & (pairs[rank] == code)
+        never = np.iinfo(np.int32).max
+        where = np.full(len(seq) + 1, never, np.int32)
+        where[at[ok] + 1] = rank[ok]  # where[i + 1]: the rank of the pair at i
+        here = where[1:-1]
+        pick = np.flatnonzero((here < where[:-2]) & (here <= where[2:]) & (here != never))
         used, renamed = np.unique(here[pick], return_inverse=True)
         base = FIRST_RULE + len(rules)
-        for p in pairs[order[used]]:
-            rules.append((int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))))
+        for p in pairs[used].tolist():
+            rules.append((p >> 32, p & 0xFFFFFFFF))
         seq = seq.copy()
         seq[pick] = (base + renamed).astype(np.uint32)
         close[pick] = close[pick + 1]
