@@ -46,7 +46,7 @@ class Encoder:
     space only separates. most: chunks remembered (a bound on memory, not on results).
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 500_000):
+    def __init__(self, path: str, spaced: bool, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel

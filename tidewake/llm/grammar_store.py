@@ -114,6 +114,7 @@ class Shard:
         self.rules = np.frombuffer(blob, "<u4", 2 * r, at).reshape(-1, 2)
         self.lengths = np.frombuffer(blob, "<u4", r, at + 8 * r)
         self.seq = np.frombuffer(blob, "<u4", s, at + 12 * r)
+        self.flat = None
 
     def widths(self, seq: np.ndarray) -> np.ndarray:
         w = np.ones(len(seq), np.int64)
@@ -121,16 +122,33 @@ class Shard:
         w[rule] = self.lengths[seq[rule] - FIRST_RULE]
         return w
 
-    def expand(self, seq: np.ndarray) -> np.ndarray:
+    def _by_levels(self, seq: np.ndarray) -> np.ndarray:
         while (rule := seq >= FIRST_RULE).any():
             out = np.repeat(seq, 1 + rule)
-            first = np.cumsum(1 + rule) - 1 - rule
-            at = first[rule]
+            at = (np.cumsum(1 + rule) - 1 - rule)[rule]
             pairs = self.rules[seq[rule] - FIRST_RULE]
             out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
             seq = out
         return seq
 
+    def expand(self, seq: np.ndarray) -> np.ndarray:
+        """The ids of some symbols, each rule copied from a table of all rules' expansions."""
+        if not len(self.rules):
+            return seq
+        if self.flat is None:
+            self.flat = self._by_levels(np.arange(FIRST_RULE, FIRST_RULE + len(self.rules), dtype=np.uint32))
+            self.begin = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        rule = seq >= FIRST_RULE
+        width = self.widths(seq)
+        start = np.cumsum(width) - width
+        shift = -start
+        shift[rule] += self.begin[seq[rule] - FIRST_RULE]
+        at = np.repeat(shift, width)
+        at += np.arange(len(at))
+        out = self.flat.take(at, mode="clip")
+        out[start[~rule]] = seq[~rule]
+        return out
+
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.seq[self.ends[i - 1] if i else 0 : self.ends[i]])
 
