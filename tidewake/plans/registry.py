@@ -1,8 +1,14 @@
 """Queries of the movement and signal operators, and the SQL each is checked against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from . import tracks
+from .views import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "entry"]
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES[tracks.FLAGSHIP](spark, sf_dir)
