@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = re.sub(r"\bby\b", '"by"', sql)  # a column's name; the keyword is written BY
         return fn
 
     return add
