@@ -76,7 +76,7 @@ def records(stream: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
         raise ValueError("archive ends inside a record")
 
 
-def member(record: bytes, level: int = 4) -> bytes:
+def member(record: bytes, level: int = 6) -> bytes:
     c = zlib.compressobj(level, zlib.DEFLATED, 31)
     return c.compress(record) + c.flush()
 
@@ -122,7 +122,7 @@ def monolithic_archives(typed: DataFrame, archive_bytes: int = ARCHIVE_BYTES) ->
         for b in batches:
             for row in zip(b["page_id"], b["url"], b["payload"], b["digest"], b["record_type"], b["refers_to"]):
                 if c is None:
-                    c, size, parts = zlib.compressobj(1, zlib.DEFLATED, 31), 0, []
+                    c, size, parts = zlib.compressobj(6, zlib.DEFLATED, 31), 0, []
                 r = record_bytes(*row)
                 parts.append(c.compress(r))
                 size += len(r)
