@@ -184,8 +184,8 @@ query("r6_extrapolated_hour", f"WITH {AIS1} SELECT event_id, {r6('lon + (lon - l
     lambda s, d: ais1(s, d).withColumn("_p", F.lag(F.struct("ts", "lon")).over(K.order_of(Spec()))).filter("_p IS NOT NULL").select("event_id", r(F.col("lon") + (F.col("lon") - F.col("_p.lon")) * F.try_divide(F.lit(3600.0), (F.col("ts") - F.col("_p.ts")).cast("double")), 1e7).alias("lon")))
 query("r7_grid_floor", f"WITH {AIS} SELECT event_id, ts - ts % 300 AS slot FROM ais")(lambda s, d: ais(s, d).select("event_id", X.grid_floor("ts", 300).alias("slot")))
 LINE = "CASE WHEN round_even(cos(radians(heading)), 7) = 0 THEN 1e9 ELSE round_even(round_even(sin(radians(heading)), 7) / round_even(cos(radians(heading)), 7), 2) END"
-query("r8_heading_line", f"WITH {AIS} SELECT event_id, {LINE} AS slope FROM ais")(
-    lambda s, d: ais(s, d).select("event_id", F.when(X.heading_line("lon", "lat", "heading")[0] == float("inf"), 1e9).otherwise(X.heading_line("lon", "lat", "heading")[0]).alias("slope")))
+query("r8_heading_line", f"WITH {AIS} SELECT event_id, {LINE} + CAST(0 AS DOUBLE) AS slope FROM ais")(
+    lambda s, d: ais(s, d).select("event_id", F.when(X.heading_line("lon", "lat", "heading")[0] == float("inf"), 1e9).otherwise(X.heading_line("lon", "lat", "heading")[0] + F.lit(0.0)).alias("slope")))
 query("r9_control_points")(lambda s, d: _control_points(s, d))
 query("r10_bezier", f"WITH {AIS1} SELECT event_id, {r6('0.25::DOUBLE * lon + 0.5::DOUBLE * (lon + 0.001::DOUBLE) + 0.25::DOUBLE * lead(lon) OVER w', '1e9')} AS lon FROM ais1 {W} QUALIFY lead(ts) OVER w IS NOT NULL")(
     lambda s, d: ais1(s, d).withColumn("n", F.lead("lon").over(K.order_of(Spec()))).filter("n IS NOT NULL").select("event_id", r(X.bezier("lon", F.col("lon") + F.lit(0.001), "n", F.lit(0.5)), 1e9).alias("lon")))
