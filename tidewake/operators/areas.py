@@ -27,13 +27,19 @@ def _neighbours(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def pairs_within(df: DataFrame, radius_m: float, frame: str = "ts", s: Spec = AIS, max_abs_lat: float = 60.0, legacy_axes: bool = False) -> DataFrame:
-    """(frame, src, dst, metres), src < dst, of all pairs of objects of a frame strictly within the radius. Each point meets the points of its own
-    and the eight neighbouring cells in an equi-join on frame and cell. max_abs_lat bounds the latitudes (wider cells nearer the poles)."""
+    """(frame, src, dst, metres), src < dst, of all pairs of objects of a frame strictly within the radius. Points meet those of their own
+    and the neighbouring cells in an equi-join on frame and cell. max_abs_lat bounds the latitudes (wider cells nearer the poles)."""
     dx, dy = _cells(radius_m, max_abs_lat if not legacy_axes else 88.0)
     p = df.select(F.col(frame).alias("frame"), F.col(s.oid).alias("o"), F.col(s.lon).alias("x"), F.col(s.lat).alias("y"), F.floor(F.col(s.lon) / dx).alias("cx"), F.floor(F.col(s.lat) / dy).alias("cy"))
-    a, b = p.select("frame", "cx", "cy", F.col("o").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay")), _neighbours(p, "cx", "cy").select("frame", "cx", "cy", F.col("o").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    m = haversine_m("ax", "ay", "bx", "by", legacy_axes)
-    return a.join(b, ["frame", "cx", "cy"]).filter("src < dst").withColumn("metres", m).filter(F.col("metres") < radius_m).select("frame", "src", "dst", "metres")
+    # Half of the neighbourhood meets every pair once: the own cell, and four of the eight around it.
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
+    a = p.select("frame", "cx", "cy", F.col("o").alias("oa"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = p.withColumn("_d", near).select("frame", (F.col("cx") + F.col("_d.i")).alias("cx"), (F.col("cy") + F.col("_d.j")).alias("cy"), F.col("o").alias("ob"), F.col("x").alias("bx"), F.col("y").alias("by"), ((F.col("_d.i") == 0) & (F.col("_d.j") == 0)).alias("own"))
+    met = a.join(b, ["frame", "cx", "cy"]).filter(F.when(F.col("own"), F.col("oa") < F.col("ob")).otherwise(F.col("oa") != F.col("ob")))
+    first = F.col("oa") < F.col("ob")
+    side = lambda one, other: F.when(first, F.col(one)).otherwise(F.col(other))
+    m = haversine_m(side("ax", "bx"), side("ay", "by"), side("bx", "ax"), side("by", "ay"), legacy_axes)
+    return met.withColumn("metres", m).filter(F.col("metres") < radius_m).select("frame", F.least("oa", "ob").alias("src"), F.greatest("oa", "ob").alias("dst"), "metres")
 
 
 def area_bounds(areas: DataFrame, radius_m: float) -> DataFrame:
