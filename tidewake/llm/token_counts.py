@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from .common import arrow_map, table
 from .encode import BYTE, encoder
 
-BLOCK = 1024
+BLOCK = 128
 
 
 def encoded_lengths(docs: DataFrame, text: str = "text", tokenizer: str = BYTE) -> DataFrame:
@@ -40,7 +40,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """Per length L of the histogram: documents and tokens at lengths >= L and in all, by block sums and sums inside blocks."""
     h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
-    outer = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row per 1024 lengths
+    outer = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row per BLOCK lengths
     every = Window.partitionBy()
     blocks = blocks.select("block", F.coalesce(F.sum("bd").over(outer), F.lit(0)).alias("docs_above"), F.coalesce(F.sum("bt").over(outer), F.lit(0)).alias("tokens_above"), F.sum("bd").over(every).alias("docs_all"), F.sum("bt").over(every).alias("tokens_all"))
     inner = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
