@@ -96,6 +96,12 @@ def test_partitioned_mining_equals_single_run(spark):
         assert {p for p in parts if p[2] == 480} == {p for p in long_one if p[2] == 480}
 
 
+def test_merge_by_containment():
+    a = [([1, 2, 3], 0, 60), ([7, 8], 0, 60), ([4, 5], 0, 30)]
+    b = [([1, 2], 120, 180), ([7, 8, 9], 120, 180), ([5, 6], 180, 240)]
+    assert sorted(G.merge_by_containment(a, b, 60)) == sorted([([4, 5], 0, 30), ([5, 6], 180, 240), ([1, 2], 0, 180), ([7, 8, 9], 120, 180), ([1, 2, 3], 0, 60), ([7, 8], 0, 180)])
+
+
 def test_incremental_miner_equals_single_run(spark):
     f = random_frames(random.Random(9), 8)
     c, frames = clusters_df(spark, f)

@@ -251,6 +251,40 @@ def mine_by_containment(clusters: DataFrame, frames: DataFrame, least: int, thre
     return clusters.join(order, "frame").withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, PATTERN)
 
 
+def merge_by_containment(a: list, b: list, threshold_s: int) -> list:
+    """Two neighbours by the older rule: b's first patterns inherit the start of a's last ones that hold them, a's last ones inside a larger one of b live on; what was
+    linked stays only if long enough."""
+    end, start = max(p[2] for p in a), min(p[1] for p in b)
+    past, now = [p for p in a if p[2] == end], [p for p in b if p[1] == start]
+    linked = []
+    for c, st, et in now:
+        linked.append((c, min([st, *(s for x, s, _ in past if set(c) <= set(x))]), et))
+    sets = {frozenset(c) for c, _, _ in now}
+    for c, st, et in past:
+        if frozenset(c) not in sets:
+            linked.append((c, st, max([et, *(e for x, _, e in now if set(c) < set(x))])))
+    return [p for p in a if p[2] != end] + [p for p in b if p[1] != start] + [p for p in linked if p[2] - p[1] >= threshold_s]
+
+
+def reduce_by_containment(parts: DataFrame, step_s: int, threshold_s: int) -> DataFrame:
+    """Starts at the partition that ends first and takes, again and again, the one that begins next at or after the end so far; merges where the gap is one step."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = [[([int(x) for x in c], int(s), int(e)) for c, s, e in zip(g["clusters"], g["st"], g["et"])] for _, g in pdf.groupby("bin")]
+        left.sort(key=lambda part: max(p[2] for p in part))
+        done = left.pop(0)
+        while left:
+            end = max(p[2] for p in done)
+            gaps = [min(p[1] for p in part) - end for part in left]
+            after = [g for g in gaps if g >= 0]
+            i = gaps.index(min(after)) if after else 0
+            part = left.pop(i)
+            done = merge_by_containment(done, part, threshold_s) if gaps[i] == step_s else done + part
+        return pd.DataFrame(done, columns=["clusters", "st", "et"])
+
+    return parts.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, PATTERN)
+
+
 def pattern_velocity(patterns: DataFrame, points: DataFrame, oid: str = "mmsi", ts: str = "ts", velocity: str = "velocity") -> DataFrame:
     """Mean velocity of a pattern's members between its start and end: members are exploded into an equi-join on the object."""
     m = patterns.withColumn("_o", F.explode("clusters"))

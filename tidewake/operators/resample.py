@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from ..columns import AIS, Spec
 from ..functions.exprs import bezier, control_point, linear
+from .clean import dedup_first, iqr_outliers
 from .kinematics import order_of, velocity
-from .segments import spatial_segments, temporal_segments
+from .segments import offset_segments, poi_segments, points_of_interest, pre_segments, spatial_segments, temporal_segments
 
 
 def _legs(df: DataFrame, keys: list[str], cols: list[str], s: Spec) -> DataFrame:
@@ -48,6 +49,24 @@ def resample_with_velocity(df: DataFrame, rate_min: int = 1, resample_first: boo
     return grid_resample(velocity(df, s), [s.lon, s.lat, "velocity"], rate_min, s=s).withColumnRenamed("grid_ts", s.ts)
 
 
+def prepare_tracks(df: DataFrame, rate_min: int = 1, alpha: float = 20.0, window: int = 100, resample_first: bool = True, drop_alpha: float | None = None, s: Spec = AIS) -> DataFrame:
+    """The whole preparation per object: first row per time, grid and velocity, velocity outliers out (with drop_alpha), segments between points of interest."""
+    v = resample_with_velocity(dedup_first(df, s).drop("id", "status"), rate_min, resample_first, s)
+    if drop_alpha is not None:
+        v = iqr_outliers(v, "velocity", drop_alpha, [s.oid]).filter("NOT is_outlier").drop("low", "high", "is_outlier")
+    on_grid = Spec(s.oid, s.ts, s.lon, s.lat, tie=())
+    return poi_segments(v, points_of_interest(v, "velocity", alpha, window, on_grid), on_grid)
+
+
+def prepare_in_pieces(df: DataFrame, gap_s: int = 43_200, least_rows: int = 2, rate_min: int = 1, alpha: float = 20.0, window: int = 100, s: Spec = AIS) -> DataFrame:
+    """prepare_tracks() on each piece between long gaps; later pieces number their segments on from earlier ones."""
+    pieces = pre_segments(dedup_first(df, s), gap_s, least_rows, s).withColumn("_track", F.concat_ws(":", F.col(s.oid), F.col("piece")))
+    done = prepare_tracks(pieces, rate_min, alpha, window, s=Spec("_track", s.ts, s.lon, s.lat, tie=s.tie))
+    parts = F.split("_track", ":")
+    done = done.withColumn(s.oid, parts[0].cast(df.schema[s.oid].dataType)).withColumn("piece", parts[1].cast("int")).drop("_track", "pois")
+    return offset_segments(done, "piece", "traj_id", s)
+
+
 def segment_and_resample(df: DataFrame, areas: DataFrame, radius_m: float = 2000.0, gap_s: int = 43_200, least_rows: int = 2, rate_min: int | None = None, s: Spec = AIS) -> DataFrame:
     """Trips: by area, then by time gap, then (with a rate) on the grid per trip."""
     trips = temporal_segments(spatial_segments(df, areas, radius_m, s), gap_s, least_rows, traj="traj_id", s=s)

@@ -93,6 +93,7 @@ query("g2_mine_flocks")(lambda s, d: _mine(s, d, "flocks").select(text(), "st",
 query("g2_mine_by_group")(lambda s, d: G.mine(G.frame_clusters(pairs(s, d), "convoys", 2), frames_at(s, d).select("frame"), 2, FRAME_S, _groups_of_sites(s, d)).select(text(), "st", "et"))
 query("g3_mine_partitions")(lambda s, d: _partitions(s, d).select("bin", text(), "st", "et"))
 query("g5_reduce_partitions")(lambda s, d: G.reduce_partitions(_partitions(s, d), 2, FRAME_S, FRAME_S).select(text(), "st", "et"))
+query("g8_reduce_by_containment")(lambda s, d: G.reduce_by_containment(_partitions(s, d), FRAME_S, FRAME_S).select(text(), "st", "et"))
 query("g6_mine_by_containment")(lambda s, d: G.mine_by_containment(G.frame_clusters(pairs(s, d), "convoys", 2), frames_at(s, d).select("frame"), 2, FRAME_S).select(text(), "st", "et"))
 
 

@@ -176,6 +176,8 @@ query("r1_grid_resample", f"WITH {AIS1}, {grid_sql('ais1', 'mmsi', 3600, 'lon,la
     lambda s, d: R.grid_resample(ais1(s, d), ["lon", "lat", "speed"], 60).select("mmsi", "grid_ts", r(F.col("lon"), 1e9).alias("lon"), r(F.col("lat"), 1e9).alias("lat"), r(F.col("speed")).alias("speed")))
 query("r2_resample_velocity", f"WITH {AIS1}, {grid_sql('ais1', 'mmsi', 3600)} SELECT mmsi, grid_ts AS ts, {r6(hav('lon', 'lat', 'lead(lon) OVER w', 'lead(lat) OVER w') + f' * {NM} * 3600 / abs(lead(grid_ts) OVER w - grid_ts)', '1e5')} AS velocity FROM grid WINDOW w AS (PARTITION BY mmsi ORDER BY grid_ts) QUALIFY lead(grid_ts) OVER w IS NOT NULL".replace(" WINDOW w AS (PARTITION BY mmsi ORDER BY grid_ts) QUALIFY lead(grid_ts) OVER w IS NOT NULL", " WINDOW w AS (PARTITION BY mmsi ORDER BY grid_ts) QUALIFY lead(grid_ts) OVER w IS NOT NULL OR count(*) OVER (PARTITION BY mmsi) = 1"))(
     lambda s, d: R.resample_with_velocity(ais1(s, d), 60).select("mmsi", "ts", r(F.col("velocity"), 1e5).alias("velocity")))
+query("r3_prepared_tracks")(lambda s, d: R.prepare_tracks(ais(s, d), 60, 3.0, 5).select("mmsi", "ts", r(F.col("velocity"), 1e5).alias("velocity"), "traj_id"))
+query("r4_prepared_in_pieces")(lambda s, d: R.prepare_in_pieces(ais(s, d), rate_min=60, alpha=3.0, window=5).select("mmsi", "ts", r(F.col("velocity"), 1e5).alias("velocity"), "traj_id"))
 TRAJ_TRIPS = f"{SPLIT}, {trip_sql('traj', 'mmsi, traj_id', 'traj_id, ')}"
 query("r5_trips", f"WITH {AIS1}, {AREAS}, {LABELS}, {KEEP}, {TRAJ_TRIPS} SELECT event_id, traj_id, trip_id FROM trip")(lambda s, d: R.segment_and_resample(ais1(s, d), areas(s), RADIUS_M).select("event_id", "traj_id", "trip_id"))
 query("r5_trips_resampled", f"WITH {AIS1}, {AREAS}, {LABELS}, {KEEP}, {TRAJ_TRIPS}, {grid_sql('trip', 'mmsi, traj_id, trip_id', 1800)} SELECT mmsi, traj_id, trip_id, grid_ts, {r6('lon', '1e9')} AS lon, {r6('lat', '1e9')} AS lat FROM grid")(
