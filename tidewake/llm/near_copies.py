@@ -4,10 +4,10 @@ A document's set is its distinct 5-word shingles (after lower-casing A-Z; fewer
 A class's sketch holds REGISTERS registers: the logarithm to a base near 1, rounded down, of the smallest of the set's exponential hashes, so sketches of
 unions are maxima of registers. Bands of BAND registers make bucket keys (a pair at the threshold shares none of the BANDS keys in 3 of 10 million cases).
 
-Links are confirmed on the full shingle sets. Three rounds look only at pairs whose components still differ: the smallest bucket head of each class, all
-bucket heads, and at last all pairs of a bucket that lie in different components and whose likelihood estimate of the similarity from
-both sketches (known set sizes) is within SLACK, five standard errors, of the threshold. A pair already in one component needs no test, so no
-bucket is expanded into its pairs, and no link between components is lost.
+Links are confirmed on the full shingle sets. First every class meets the smallest head of its buckets. Buckets that still hold two components form families
+(connected by bucket heads); a family is cut into blocks, and inside pairs of blocks, pairs in different components whose likelihood estimate of the
+similarity from both sketches (known set sizes) is not SLACK, five standard errors, below the threshold are confirmed too. A pair already in one component
+needs no test, only links that join components leave a task, and none of those is lost.
 
 Null and empty texts (no words) have an empty set and link with nothing. Rows with a null id take no part: their component is null and they are kept.
 Repeated rows share their class and their id. An empty table gives an empty result. Further columns are ignored or kept by keep_one_of_each().
@@ -31,6 +31,7 @@ REGISTERS = BANDS * BAND
 BASE = 1.001
 SHIFT = 4000
 SLACK = 0.17
+FAMILY_BLOCK = 256
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -63,25 +64,26 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-_GRID = np.linspace(0.0, 1.0, 201)
+_AROUND = np.linspace(-0.2, 0.2, 41)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood similarity of pairs of sketches (rows of a and b) of sets of sizes na and nb."""
+    """Maximum-likelihood similarity of pairs of sketches (rows of a and b) of sets of sizes na and nb, to 0.01, looked for around the
+    share of equal registers (six standard errors to either side)."""
     over, under = (a > b).sum(1), (a < b).sum(1)
     same = a.shape[1] - over - under
-    u = na / (na + nb)
+    u = (na / (na + nb))[:, None]
     v = 1 - u
+    most = (np.minimum(na, nb) / np.maximum(na, nb))[:, None]
+    j = np.clip((same / a.shape[1])[:, None] + _AROUND, 0, most)
 
     def p(x):
         return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
 
-    up, down = p(u[:, None] - v[:, None] * _GRID), p(v[:, None] - u[:, None] * _GRID)
-    eq = 1 - up - down
+    up, down = p(u - v * j), p(v - u * j)
     tiny = 1e-300
-    like = over[:, None] * np.log(np.maximum(up, tiny)) + under[:, None] * np.log(np.maximum(down, tiny)) + same[:, None] * np.log(np.maximum(eq, tiny))
-    like[_GRID[None, :] > (np.minimum(na, nb) / np.maximum(na, nb))[:, None] + 0.005] = -np.inf
-    return _GRID[like.argmax(1)]
+    like = over[:, None] * np.log(np.maximum(up, tiny)) + under[:, None] * np.log(np.maximum(down, tiny)) + same[:, None] * np.log(np.maximum(1 - up - down, tiny))
+    return j[np.arange(len(j)), like.argmax(1)]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -158,39 +160,97 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return arrow_map(texts, make, "cid long, s binary").dropDuplicates(["cid"])
 
 
-def close_pairs_across(rows: DataFrame) -> DataFrame:
-    """Pairs (a < b) of one bucket in different components whose estimate is near or over the threshold. rows: key, cid, label, n, regs, each
-    bucket's rows together. Buckets are compared block by block in numpy."""
-    block = 512
-
-    def of(bucket):
-        cid, label, n = (np.array([r[i] for r in bucket]) for i in (0, 1, 2))
-        regs = np.frombuffer(b"".join(r[3] for r in bucket), "<u2").reshape(len(bucket), -1)
-        for i in range(0, len(bucket), block):
-            for j in range(i, len(bucket), block):
-                x, y = np.nonzero(label[i : i + block, None] != label[None, j : j + block])
-                x, y = x + i, y + j
-                keep = (cid[x] < cid[y]) if i == j else slice(None)
-                x, y = x[keep], y[keep]
-                ok = 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
-                x, y = x[ok], y[ok]
-                for s in range(0, len(x), 4096):
-                    p, q = x[s : s + 4096], y[s : s + 4096]
-                    good = estimate(regs[p], regs[q], n[p], n[q]) >= PERCENT / 100 - SLACK
-                    if good.any():
-                        yield {"a": np.minimum(cid[p[good]], cid[q[good]]), "b": np.maximum(cid[p[good]], cid[q[good]])}
+def _common(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, by products of 0/1 matrices, some columns at a time."""
+    every = np.unique(np.concatenate([*x, *y]))
+    where = lambda sets: (np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(every, np.concatenate(sets)))
+    (rx, cx), (ry, cy) = where(x), where(y)
+    out = np.zeros((len(x), len(y)), np.float32)
+    for c in range(0, len(every), columns):
+        a, b = np.zeros((len(x), columns), np.float32), np.zeros((len(y), columns), np.float32)
+        m = (cx >= c) & (cx < c + columns)
+        a[rx[m], cx[m] - c] = 1
+        m = (cy >= c) & (cy < c + columns)
+        b[ry[m], cy[m] - c] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
+
+def links_across(x: list[tuple], y: list[tuple] | None) -> list[tuple[int, int]]:
+    """Links between classes of different labels, of two blocks or inside one: (cid, label, n, regs, set) each. Pairs whose estimate is near or over
+    the threshold are confirmed on the full sets, the most alike first; a pair that earlier links of the call have joined is passed over."""
+    same = y is None
+    y = x if same else y
+    col = lambda rows, i: np.array([r[i] for r in rows], np.int64)
+    regs = lambda rows: np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), -1)
+    nx, ny, kx, ky = col(x, 2), col(y, 2), regs(x), regs(y)
+    open_ = (col(x, 1)[:, None] != col(y, 1)[None, :]) & (100 * np.minimum(nx[:, None], ny[None, :]) >= PERCENT * np.maximum(nx[:, None], ny[None, :]))
+    if same:
+        open_ &= np.tri(len(x), k=-1, dtype=bool)
+    i, j = np.nonzero(open_)
+    if not len(i):
+        return []
+    alike = np.concatenate([(kx[i[s : s + 8192]] == ky[j[s : s + 8192]]).sum(1) for s in range(0, len(i), 8192)]) / REGISTERS
+    near = alike >= PERCENT / 100 - SLACK - 0.04
+    i, j, alike = i[near], j[near], alike[near]
+    if not len(i):
+        return []
+    good = np.concatenate([estimate(kx[i[s : s + 2048]], ky[j[s : s + 2048]], nx[i[s : s + 2048]], ny[j[s : s + 2048]]) for s in range(0, len(i), 2048)]) >= PERCENT / 100 - SLACK
+    i, j, alike = i[good], j[good], alike[good]
+    if not len(i):
+        return []
+    sx, sy = [np.frombuffer(r[4], "<u8") for r in x], [np.frombuffer(r[4], "<u8") for r in y]
+    if len(i) > 64:
+        both = _common(sx, sy)[i, j]
+    else:
+        both = np.array([len(sx[p]) + len(sy[q]) - len(np.union1d(sx[p], sy[q])) for p, q in zip(i, j)])
+    linked = 100 * both >= PERCENT * (nx[i] + ny[j] - both)
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while v in parent:
+            v = parent[v]
+        return v
+
+    out = []
+    order = np.argsort(-alike, kind="stable")
+    for p, q in zip(i[order][linked[order]].tolist(), j[order][linked[order]].tolist()):
+        a, b = find(x[p][1]), find(y[q][1])
+        if a != b:
+            parent[b] = a
+            out.append((x[p][0], y[q][0]))
+    return out
+
+
+def family_links(rows: DataFrame, partitions: int) -> DataFrame:
+    """(a, b): links between different labels of a family. rows: family, label, cid, n, regs, s. Families are cut into blocks of about FAMILY_BLOCK
+    classes by a hash; every pair of blocks is one group, so a family of any size is spread over many tasks."""
+    sizes = rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("nb"))
+    r = rows.join(sizes, "family").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
+    keys = ["family", "i", "j"]
+    r = r.select(*keys, "b", "cid", "label", "n", "regs", "s").repartition(partitions, *keys).sortWithinPartitions(*keys, "b", "cid")
 
     def search(batches):
-        key, bucket = None, []
+        now, blocks = None, {}
+
+        def close():
+            if now is not None:
+                x = blocks.get(now[1], [])
+                y = None if now[1] == now[2] else blocks.get(now[2], [])
+                got = links_across(x, y) if x and (y is None or y) else []
+                if got:
+                    yield {"a": [g[0] for g in got], "b": [g[1] for g in got]}
+
         for b in batches:
-            for k, *row in zip(b["key"], b["cid"], b["label"], b["n"], b["regs"]):
-                if k != key:
-                    yield from of(bucket) if len(bucket) > 1 else ()
-                    key, bucket = k, []
-                bucket.append(row)
-        yield from of(bucket) if len(bucket) > 1 else ()
+            for f, i, j, block, *row in zip(*(b[c] for c in (*keys, "b", "cid", "label", "n", "regs", "s"))):
+                if (f, i, j) != now:
+                    yield from close()
+                    now, blocks = (f, i, j), {}
+                blocks.setdefault(block, []).append(tuple(row))
+        yield from close()
 
-    return arrow_map(rows.select("key", "cid", "label", "n", "regs"), search, "a long, b long").distinct()
+    return arrow_map(r, search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,25 +269,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = scratch.table("links1", confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets))
     labels = scratch.table("labels1", components(links, scratch, "c1"))
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
-        joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return joined.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    second = scratch.table("second", apart(stars.join(first, ["a", "b"], "left_anti")))
-    links = scratch.table("links2", links.unionByName(confirmed(second, sets)))
+    named = bucketed.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", "head", F.coalesce("label", "cid").alias("label"))
+    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi AND n > 1").select("key")
+    rest = scratch.table("rest", named.join(open_keys, "key").select("cid", "head", "label").distinct())
+    families = scratch.table("families", components(rest.select(F.col("head").alias("a"), F.col("cid").alias("b")), scratch, "cf"))
+    members = families.select(F.col("node").alias("cid"), F.col("label").alias("family")).join(rest.select("cid", "label").distinct(), "cid")
+    full = members.join(classes.select("cid", "n", "regs"), "cid").join(sets, "cid")
+    links = scratch.table("links2", links.unionByName(family_links(full, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     labels = scratch.table("labels2", components(links, scratch, "c2"))
-
-    named = bucketed.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi AND n > 2").select("key")
-    rest = named.join(open_keys, "key").join(classes.select("cid", "n", "regs"), "cid")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    third = close_pairs_across(rest.repartition(n, "key").sortWithinPartitions("key")).join(stars, ["a", "b"], "left_anti")
-    third = scratch.table("third", third)
-    links = scratch.table("links3", links.unionByName(confirmed(third, sets)))
-    labels = components(links, scratch, "c3")
-    scratch.drop("bucketed", "stars", "sets", "second", "third", "links1", "links2", "labels1", "labels2")
+    scratch.drop("bucketed", "stars", "sets", "rest", "families", "links1", "links2", "labels1")
 
     lowest = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     joined = lowest.join(lowest.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select(F.col("node").alias("cid"), F.col("component_id"))
