@@ -29,6 +29,16 @@ FIRST_RULE = 1 << 20
 MAGIC = b"RPG1"
 
 
+def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """20-bit hashes of pairs."""
+    x = a * np.uint32(0x9E3779B1)
+    x += b * np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    x >>= np.uint32(12)
+    return x.astype(np.intp)
+
+
 def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = 6, least: int = 24, per_round: int = 4096):
     """Re-Pair over one shard. ends marks positions that close a document (no pair starts there).
 
@@ -40,14 +50,17 @@ def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = 6, least: int = 24,
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        often = np.bincount(bucket, minlength=1 << 20)[bucket] >= least  # no pair is rarer than its bucket
+        left, right = seq[:-1], seq[1:]
+        bucket = _bucket(left, right)
+        often = (np.bincount(bucket, minlength=1 << 20) >= least)[bucket]  # no pair is rarer than its bucket
         often &= ~close[:-1]
         at = np.flatnonzero(often)
         if not len(at):
             break
-        code, bucket = code[at], bucket[at]
+        code = left[at].astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= right[at]
+        bucket = bucket[at]
         ordered = np.sort(code)
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(first, len(ordered)))
@@ -56,7 +69,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = 6, least: int = 24,
         if not len(pairs):
             break
         slot = np.full(1 << 20, -1, np.int32)  # of pairs that share a bucket the most frequent waits for no other
-        home = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+        home = _bucket((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
         slot[home[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
         rank = slot[bucket]
         ok = (rank >= 0) & (pairs[rank] == code)
