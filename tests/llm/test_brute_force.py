@@ -225,10 +225,13 @@ def test_op7(spark, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == {d: (len(sets[d]), want[d], want[d] == d) for d in sets}
 
 
-def test_near_copies_around_the_threshold(spark):
-    """Families of copies with edits: similarities on both sides of the threshold, chains, and large groups."""
+@pytest.mark.parametrize("block", [256, 7])
+def test_near_copies_around_the_threshold(spark, monkeypatch, block):
+    """Families of copies with edits: similarities on both sides of the threshold, chains, and large groups; in one block and in many."""
+    from tidewake.llm import near_copies
     from tidewake.llm.near_copies import near_duplicates
 
+    monkeypatch.setattr(near_copies, "FAMILY_BLOCK", block)
     r, rows, n = random.Random(8), [], 0
     for family in range(12):
         base = [f"w{r.randrange(5000)}" for _ in range(120)]
