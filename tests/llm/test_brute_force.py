@@ -158,6 +158,27 @@ def test_op6_base_and_model(spark, texts):
     assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
 
 
+def test_gru_learns_from_every_training_row(spark):
+    """Word order of the rows behind the first START_DOCS (by hash) counts as well, and groups cover all words."""
+    from pyspark.sql import functions as F
+
+    from tidewake.llm.gru_lm import PARTS, HOLD, START_DOCS, Scorer, crc_mod, fit, score_documents, word_counts
+
+    n = 2 * START_DOCS
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    first = {r["doc_id"] for r in ids.filter(crc_mod("doc_id", PARTS) != HOLD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS).collect()}
+    line = "one two three four five six seven eight".split()
+    make = lambda turned: spark.createDataFrame([(i, " ".join(line[::-1] if turned and i not in first and zlib.crc32(str(i).encode()) % 5 != 1 else line)) for i in range(n)], "doc_id long, text string").repartition(3)
+    held = next(i for i in range(n) if zlib.crc32(str(i).encode()) % 5 == 1)
+    a, b = (score_documents(make(turned)).filter(F.col("doc_id") == held).first() for turned in (False, True))
+    assert a["base_score"] == b["base_score"] and a["score"] > b["score"] + 1e-4
+    docs = make(True)
+    counts = word_counts(docs).collect()
+    total = sum(r["trained"] for r in counts)
+    scorer = Scorer([(bytes(r["word"]), r["trained"]) for r in counts], total, len(counts))
+    assert fit(docs, scorer, group_words=3000) == total == 9 * sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(n))
+
+
 def test_gru_gradients_and_normalisation():
     from tidewake.llm.gru_lm import Network
 

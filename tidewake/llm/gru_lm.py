@@ -5,7 +5,8 @@ vocabulary, dealt into classes by frequency; a word outside it is the tail class
 counts, one share standing for all unseen words. The output is a class-factored softmax: P(class | state) * P(word | class, state). The state is carried across windows through the whole
 document, so a score is the log-likelihood of the complete text; in training, gradients are truncated at window borders.
 
-All counts cover all documents. The network's weights are fitted on a bounded sample of training documents (FIT_DOCS documents of the smallest id hash, FIT_WORDS words at most).
+All counts cover all documents. The network's weights are fitted on all training documents: groups of about GROUP_WORDS words, dealt by hash, train side by side from one
+starting point (a pass over START_DOCS documents), and their weights are averaged by words; the number of groups grows with the input.
 Counts of the KNOWN most frequent words are broadcast (a fixed bound); all other words meet their counts in a join on the word.
 
 Null and empty texts are the end token alone. Null ids are neither trained on nor held out. Repeated rows are scored each. With no training rows N and V are 0 and the score is that of an
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,10 @@ VOCABULARY = 2048
 CLASSES = 32
 HIDDEN = 16
 KNOWN = 131_072
-FIT_DOCS, FIT_WORDS = 1500, 300_000
+START_DOCS, START_WORDS = 1500, 300_000
 LANES, WINDOW = 48, 20
+GROUP_WORDS, CHUNK_WORDS, GROUP_LANES, GROUP_RATE = 2_000_000, 500_000, 192, 0.005
+SLICES = 64
 END = b"\n"  # no word holds white space
 
 
@@ -141,44 +145,56 @@ class Network:
                 dh[rows] += f @ self.w["o"][k]
         return (lp, dh, d) if grads else lp
 
-    def train(self, stream: np.ndarray, starts: np.ndarray, rate: float = 0.01) -> None:
-        """One pass of truncated backpropagation over a stream of tokens cut into LANES lanes; starts marks first tokens of documents."""
-        lanes = min(LANES, max(1, len(stream) // (2 * WINDOW)))
-        n = len(stream) // lanes
+    def moments(self) -> dict:
+        """Optimiser state of a run of train() calls."""
+        return {"turn": 0, **{q: [np.zeros_like(v), np.zeros_like(v)] for q, v in self.w.items()}}
+
+    def train(self, stream: np.ndarray, starts: np.ndarray, rate: float = 0.01, most_lanes: int = LANES, state: dict | None = None, done: float = 0.0, share: float = 1.0) -> None:
+        """One pass of truncated backpropagation over a stream of tokens cut into lanes (the last one filled up with places that do not count);
+        starts marks first tokens of documents. The stream is `share` of a run that has `done` (a part of 1) behind it; the rate falls along the run."""
+        lanes = min(most_lanes, max(1, len(stream) // (2 * WINDOW)))
+        n = -(-len(stream) // lanes)
         if not n:
             return
-        x, new = stream[: n * lanes].reshape(lanes, n).T, starts[: n * lanes].reshape(lanes, n).T
+        fill = n * lanes - len(stream)
+        x, new = np.pad(stream, (0, fill), constant_values=-1).reshape(lanes, n).T, np.pad(starts, (0, fill)).reshape(lanes, n).T
         h, k = np.zeros((lanes, self.hidden), np.float32), self.hidden
-        m = {q: [np.zeros_like(v), np.zeros_like(v)] for q, v in self.w.items()}
-        turn = 0
+        m = self.moments() if state is None else state
         dead = self.w["ob"] < -1e8
         for a in range(0, n, WINDOW):
-            b, turn = min(a + WINDOW, n), turn + 1
-            before, saved = [], []
-            for t in range(a, b):
-                h = np.where(new[t][:, None], np.float32(0), h)
-                before.append(h)
-                h, s = self.step(x[t], h)
+            b = min(a + WINDOW, n)
+            m["turn"] += 1
+            turn, tokens = m["turn"], np.maximum(x[a:b], 0)
+            before, saved = np.empty((b - a, lanes, k), np.float32), []
+            for t in range(b - a):
+                h = np.where(new[a + t][:, None], np.float32(0), h)
+                before[t] = h
+                h, s = self.step(tokens[t], h)
                 saved.append(s)
-            states = np.concatenate(before)
-            _, dh_out, g = self.outputs(states, x[a:b].ravel(), grads=True)
-            dh_out = dh_out.reshape(b - a, lanes, k)
-            g["x"], g["u"] = np.zeros_like(self.w["x"]), np.zeros_like(self.w["u"])
-            dh = np.zeros((lanes, k), np.float32)  # from later windows: cut off
+            real = x[a:b] >= 0
+            dh_out = np.zeros_like(before)
+            _, dh_out[real], g = self.outputs(before[real], x[a:b][real], grads=True)
+            gx, gg = np.empty((b - a, lanes, 3 * k), np.float32), np.empty((b - a, lanes, 3 * k), np.float32)
+            dh, back = np.zeros((lanes, k), np.float32), self.w["u"].T  # from later windows: cut off
             for t in range(b - a - 1, -1, -1):
                 (zr, c, gh), hp = saved[t], before[t]
                 z, r = zr[:, :k], zr[:, k:]
                 dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (hp - c) * z * (1 - z)
-                dr = dc * gh[:, 2 * k :] * r * (1 - r)
-                gx = np.concatenate([dz, dr, dc], 1)
-                np.add.at(g["x"], x[a + t], gx)
-                gg = np.concatenate([dz, dr, dc * r], 1)
-                g["u"] += hp.T @ gg
-                dh = dh * z + gg @ self.w["u"].T + dh_out[t]
+                gx[t, :, :k] = dh * (hp - c) * z * (1 - z)
+                gx[t, :, k : 2 * k] = dc * gh[:, 2 * k :] * r * (1 - r)
+                gx[t, :, 2 * k :] = dc
+                gg[t, :, : 2 * k] = gx[t, :, : 2 * k]
+                gg[t, :, 2 * k :] = dc * r
+                dh = dh * z + gg[t] @ back + dh_out[t]
                 dh[new[a + t]] = 0
-            scale = 1 / ((b - a) * lanes)
-            lr = rate * min(1.0, turn / 20) * max(0.1, 1 - a / n)
+            g["u"] = before.reshape(-1, k).T @ gg.reshape(-1, 3 * k)
+            flat = tokens.ravel()
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+            g["x"] = np.zeros_like(self.w["x"])
+            g["x"][flat[order][first]] = np.add.reduceat(gx.reshape(-1, 3 * k)[order], first)
+            scale = np.float32(1 / real.sum())
+            lr = rate * min(1.0, turn / 20) * max(0.1, 1 - done - share * a / n)
             for q, v in self.w.items():
                 d = np.clip(g[q] * scale, -1, 1)
                 m[q][0] += 0.1 * (d - m[q][0])
@@ -243,7 +259,8 @@ class Scorer:
         return np.array([get(w, other) for w in words], np.int64)
 
 
-def fit(docs: DataFrame, scorer: Scorer, most_docs: int = FIT_DOCS, most_words: int = FIT_WORDS) -> None:
+def start(docs: DataFrame, scorer: Scorer, most_docs: int = START_DOCS, most_words: int = START_WORDS) -> None:
+    """Common starting point of all groups: a pass over a few training documents, so that the groups' weights can be averaged."""
     h = F.xxhash64("doc_id")
     got = docs.filter((crc_mod("doc_id", PARTS) != HOLD) & F.col("text").isNotNull()).orderBy(h, "doc_id", "text").select("text").limit(most_docs).toArrow()["text"].to_pylist()
     stream, starts, n = [], [], 0
@@ -257,6 +274,64 @@ def fit(docs: DataFrame, scorer: Scorer, most_docs: int = FIT_DOCS, most_words:
     scorer.network.train(np.array(stream, np.int64), np.array(starts, bool))
 
 
+def fit(docs: DataFrame, scorer: Scorer, group_words: int = GROUP_WORDS) -> int:
+    """Fits the network on every training row: rows are dealt by hash into groups of about group_words words, each group trains from the common start over
+    all its rows, in the order of their hashes, and the groups' weights are averaged by their numbers of words. Returns the words trained on."""
+    if not scorer.total:
+        return 0
+    start(docs, scorer)
+    spark, groups = docs.sparkSession, max(1, round(scorer.total / group_words))
+    shared, expected = spark.sparkContext.broadcast((scorer.place, scorer.network)), scorer.total / groups
+
+    def tokens(batches):
+        place, network = shared.value
+        for b in batches:
+            yield {"h": b["h"], "tokens": [np.array([place.get(w, network.words) for w in (*words_of(t), END)], ">u2").tobytes() for t in b["text"]]}
+
+    def learn(batches):
+        import copy
+
+        network, stream, starts, held, n = copy.deepcopy(shared.value[1]), [], [], 0, 0
+        state = network.moments()
+
+        def flush():
+            nonlocal held, n
+            network.train(np.concatenate(stream), np.concatenate(starts), GROUP_RATE, GROUP_LANES, state, n / expected, held / expected)
+            stream.clear()
+            starts.clear()
+            n, held = n + held, 0
+
+        for b in batches:
+            for t in b["tokens"]:
+                x = np.frombuffer(t, ">u2").astype(np.int64)
+                stream.append(x)
+                starts.append(np.arange(len(x)) == 0)
+                held += len(x)
+                if held >= CHUNK_WORDS:
+                    flush()
+        if held:
+            flush()
+        if n:
+            parts = np.array_split(np.concatenate([v.ravel() for v in network.w.values()]), SLICES)
+            yield {"slice": list(range(SLICES)), "words": [n] * SLICES, "weights": [p.tobytes() for p in parts]}
+
+    def mean(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["words", "weights"])  # one order of the sums
+        total = sum(n * np.frombuffer(w, np.float32).astype(np.float64) for n, w in zip(frame["words"].tolist(), frame["weights"]))
+        words = int(frame["words"].sum())
+        return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "words": [words], "weights": [(total / words).astype(np.float32).tobytes()]})
+
+    rows = docs.filter(crc_mod("doc_id", PARTS) != HOLD).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    dealt = arrow_map(rows, tokens, "h long, tokens binary").repartition(groups, "h").sortWithinPartitions("h", "tokens")
+    learned = arrow_map(dealt, learn, "slice int, words long, weights binary")
+    got = learned.groupBy("slice").applyInPandas(mean, "slice int, words long, weights binary").orderBy("slice").collect()
+    flat, at = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in got]), 0
+    for q, v in scorer.network.w.items():
+        scorer.network.w[q] = flat[at : at + v.size].reshape(v.shape).copy()
+        at += v.size
+    return got[0]["words"]
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
