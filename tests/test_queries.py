@@ -34,6 +34,19 @@ def test_query(spark, con, name):
         assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+def test_video_codec_covers_all_frames(spark, con):
+    rows_ = con.execute("select vec_id, embedding from embeddings order by vec_id").fetchall()
+    quantized = lambda x, q: [round(round(v / q, 2) * q, 2) for v in x]
+    want, last, now = {}, None, None
+    for f, e in rows_:
+        x = [float(int(abs(v) * 255.0)) for v in e]
+        now = quantized(x, 10) if last is None else [a + b for a, b in zip(now, quantized([a - b for a, b in zip(x, last)], 100))]
+        want.update({(f, i): v for i, v in enumerate(now)})
+        last = x
+    got = {(r["frame_id"], r["i"]): r["v"] for r in QUERIES["f9_video_codec"](spark, SF).collect()}
+    assert len(rows_) > 40 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
