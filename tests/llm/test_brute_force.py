@@ -326,6 +326,15 @@ def test_packing_of_hard_sizes(spark):
     assert n <= best_fit * 1.01 + 1
 
 
+def test_packing_ends_with_many_pieces_over_half(spark):
+    """More pieces that no other joins than a block holds: levels that do not shrink end the packing."""
+    from tidewake.llm.packing import pack
+
+    for rows in ([(i, 0, 0, 3000, i) for i in range(300)], [(i, 0, 0, 2500 if i < 300 else 500, i) for i in range(500)]):
+        df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        assert check_packing(pack(df, block_items=100).collect(), collections.Counter(rows)) <= 303
+
+
 def plain_tiles(item, doc, least=5):
     """Greedy string tiling by scanning."""
     mi, md, out = [False] * len(item), [False] * len(doc), []

@@ -4,7 +4,7 @@ Only documents longer than the capacity are cut; their full pieces are sequences
 On each block ISLANDS islands evolve packings (their genes are whole bins): crossover injects well-filled bins of one parent into another, drops
 the bins that hold the same documents, and best-fits the displaced ones; mutation dissolves the emptiest bins. After an epoch every island receives
 its neighbour's elite and evolves on. The best island of a block wins; its badly filled bins are dissolved, and their documents form the
-blocks of the next level, until one block is left. A block that meets the lower bound of its size stops at once.
+blocks of the next level, until one block is left or a level leaves more than SHRINK of its documents (then its bins stay as they are). A block that meets the lower bound of its size stops at once.
 
 Null and empty texts are one end token. Null ids are packed like others. Repeated rows are packed each. An empty table gives an empty result. Further columns
 are ignored. Nothing is dropped; a text of any length is cut into full pieces and a last one.
@@ -30,6 +30,7 @@ END = 1
 BLOCK_ITEMS = 4096
 ISLANDS = 2
 WELL_FILLED = 0.99
+SHRINK = 0.9
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -176,10 +177,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_I
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     out = pieces.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(names)
     rest, level = pieces.filter(F.col("length") < capacity), 0
-    while True:
-        n = rest.count()
-        if not n:
-            break
+    n = rest.count()
+    while n:
         blocks = math.ceil(n / block_items)
         items = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(blocks)).cast("long"))
         items = items.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
@@ -190,14 +189,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_I
         done = scratch.table(f"epoch2-{level}", _islands(both.select("block", "island", "source", "doc_id", "piece", "start", "length", "ids_crc32", "bin"), level, capacity, islands, migrated=True))
         best = done.groupBy("block").agg(F.min(F.struct("n_bins", "square", "island")).alias("b")).select("block", F.col("b.island").alias("island"))
         won = done.join(best, ["block", "island"])
-        last = blocks == 1
-        keep = F.lit(True) if last else F.col("fill") >= int(WELL_FILLED * capacity)
+        keep = F.col("fill") >= int(WELL_FILLED * capacity)
+        left = 0 if blocks == 1 else won.filter(~keep).count()
+        last = blocks == 1 or left > SHRINK * n
+        if last:
+            keep = F.lit(True)
         number = F.lit(level << 56) + F.col("block") * (1 << 24) + F.col("bin")
         out = out.unionByName(won.filter(keep).withColumn("sequence_id", number).select(names))
         scratch.drop(f"epoch1-{level}")
         if last:
             break
-        rest, level = won.filter(~keep).select("doc_id", "piece", "start", "length", "ids_crc32"), level + 1
+        rest, level, n = won.filter(~keep).select("doc_id", "piece", "start", "length", "ids_crc32"), level + 1, left
     return out
 
 
