@@ -439,3 +439,12 @@ def test_neighbours_in_blocks_with_ties_and_bad_vectors(spark):
     for q in (104, 150):
         s = sorted(((-float(good[q] @ v / math.sqrt((good[q] @ good[q]) * (v @ v))), i) for i, v in good.items() if i != q))[:5]
         assert [x for x, _ in got[q]] == [i for _, i in s] or np.allclose([x for _, x in got[q]], [-a for a, _ in s], atol=1e-12)
+
+
+def test_neighbours_among_repeated_rows_of_equal_vectors(spark):
+    from tidewake.llm.neighbours import block_matrix_join
+
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(1, 8) for _ in range(2)] + [(0, [1.0, 2.0, 3.1]), (20, [-1.0, 2.0, 0.5]), (21, [3.0, -2.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = block_matrix_join(df, df.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]

@@ -7,7 +7,7 @@ merged by heaps; the heaps of all tasks meet in one window per query.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part; so do ids that are null. Vectors are compared with those of
 their own length only. Ties go to the smaller vec_id. Repeated ids count once (the best score). Among equal vectors of a batch only the
-k + 1 smallest ids can be in an answer, so only those are kept. An empty table gives an empty result. Further columns are ignored.
+k + 1 smallest distinct ids can be in an answer, so only those are kept. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,6 +61,8 @@ def _few_per_vector(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarr
     ids, x = ids[order], np.ascontiguousarray(x[order])
     _, group = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True)
     by = np.argsort(group, kind="stable")
+    again = (np.diff(group[by], prepend=-1) == 0) & np.concatenate([[False], np.diff(ids[by]) == 0])
+    by = by[~again]  # a repeated row takes no place
     place = np.arange(len(by)) - np.searchsorted(group[by], group[by])
     keep = np.sort(by[place < most])
     return ids[keep], x[keep]
