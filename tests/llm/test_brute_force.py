@@ -115,6 +115,16 @@ def test_op4_held_out_accuracy(spark, docs):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.95
 
 
+def test_long_tokens_are_read_to_their_end():
+    from tidewake.llm.language_crf import fit, words_in
+
+    model = fit(["the cat sat on the mat with the hat"] * 20 + ["der hund und die katze sind nicht hier"] * 20, ["en"] * 20 + ["de"] * 20)
+    model.prepare()
+    head, tail = "the-cat-sat-on-the-mat-with-the-hat-the-cat", "-der-hund-und-die-katze-sind-nicht-hier" * 20
+    assert model.predict([head, head + tail, (head + tail).replace("-", "")])[0] == ["en", "de", "de"]
+    assert "".join(words_in("ab" * 5000)) == "ab" * 5000 and words_in("Short words-stay") == ["short", "words-stay"]
+
+
 def test_crf_forward_backward_equals_enumeration():
     import itertools
 

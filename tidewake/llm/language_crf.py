@@ -13,6 +13,7 @@ predicted each. With no training rows every document is `und`. Further columns a
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ HOLD = 2
 PARTS = 4
 SPLICE = (8, 40)
 STEP_WORDS = 400_000
+LONG = 40
+_SIGNS = re.compile(r"[\W\d_]+")
 
 
 def core_of(word: str) -> str:
@@ -41,9 +44,20 @@ def core_of(word: str) -> str:
     return word[a:b]
 
 
+def words_in(text: str) -> list[str]:
+    """White-space tokens in lower case; a longer one than LONG is parted at signs and digits, and then into pieces of LONG characters."""
+    out = []
+    for w in text.lower().split():
+        if len(w) <= LONG:
+            out.append(w)
+        else:
+            out += [p[i : i + LONG] for p in _SIGNS.split(w) for i in range(0, len(p), LONG)]
+    return out
+
+
 def features(core: str) -> list[str]:
     """Affixes of 1 to 3, inner bigrams and trigrams with borders, and the word itself (lexicon)."""
-    c = core[:40]
+    c = core
     w = f"^{c}$"
     out = ["=" + core, "b"]
     out += ["<" + c[:n] for n in (1, 2, 3) if n <= len(c)] + [">" + c[-n:] for n in (1, 2, 3) if n <= len(c)]
@@ -123,7 +137,7 @@ class Model:
 
     def word_ids(self, text: str) -> np.ndarray:
         """Rows of the emission table for the words that have a letter."""
-        words = text.lower().split()
+        words = words_in(text)
         out = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
         return out[out > 0]
 
@@ -192,7 +206,7 @@ def fit(texts: list[str], langs: list[str], steps: int = 25, least: int = 3, rat
     if not labels:
         return Model([], {}, np.zeros((0, 0)), np.zeros((0, 0)))
     of = {x: i for i, x in enumerate(labels)}
-    docs = [([c for w in t.lower().split() if (c := core_of(w))], of[x]) for t, x in zip(texts, langs)]
+    docs = [([c for w in words_in(t) if (c := core_of(w))], of[x]) for t, x in zip(texts, langs)]
     types: dict[str, int] = {}
     seqs, gold = [], []
     for words, y in spliced(docs):
