@@ -107,6 +107,19 @@ def test_main_text_cases():
     assert main_text("<div class='cookie-notice'>We use cookies</div><p>Short.</p>") == "Short."
 
 
+def test_main_text_is_not_lost_around_removed_elements():
+    from tidewake.llm.html_text import main_text
+
+    long, end = "word " * 60 + "long.", "The closing paragraph is sixty characters long or about so."
+    ad = "<div class=ad>buy this</div>"
+    assert main_text(f"<p>{long}</p>{ad}<p>{end}</p>") == f"{long}\n{end}"
+    assert main_text(f"<h1>Head</h1><div class=share>x</div><p>{long}</p>") == f"Head\n{long}"
+    assert main_text(f"<p class=notice>gone<p>{long}<p>{end}") == f"{long}\n{end}"
+    assert main_text(f"<ul><li class=share>gone<li>{long}</ul><p>{end}</p>") == f"{long}\n{end}"
+    assert main_text(f"<ul><li class=share>gone<ul><li>gone</ul></ul><p>{long}</p>") == long
+    assert main_text(f"<p>{long}</p><p>{long}</p><article>A short teaser</article>").startswith(f"{long}\n{long}")
+
+
 def plain_pipeline(spark, d):
     """The stages' decisions by plain code; language ID is taken from the operator (it is a learned model)."""
     from tests.llm.test_brute_force import components_of, plain_tiles, shingles

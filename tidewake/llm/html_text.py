@@ -1,8 +1,8 @@
 """Operator 5, main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element. A line counts its characters outside links. Lines of elements that say what they are
-not (menus, page headers and footers, sidebars, notices, adverts, forms, comments) are emptied and part the lines around them;
-lines inside article or main count a bonus. The sums over windows of WINDOW lines rise (surge) where text begins and fall to
+not (menus, page headers and footers, sidebars, notices, adverts, forms, comments) are left out, and the lines around them
+join; where article or main hold the larger part of the text, only their lines count. The sums over windows of WINDOW lines rise (surge) where text begins and fall to
 nothing (dive) where it ends; the lines between are kept, in page order.
 
 Null html and pages without text give an empty string. Whole pages are read, however long. Repeated rows and ids stay separate rows;
@@ -12,6 +12,7 @@ null ids and urls are kept. An empty table gives an empty result. Further column
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,8 @@ _SKIP = frozenset("nav footer aside form button dialog menu fieldset audio video
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BODY = frozenset(("article", "main"))
+# Elements whose end tag may be omitted -> start tags that end them; the end tag of a parent ends them too.
+_OMIT = {"p": _BLOCK - {"td", "th", "body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}}
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
@@ -45,7 +48,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = links = body = at = 0
-    skip, depth = "", 0
+    skip, depth, inner = "", 0, 0
 
     def close():
         nonlocal linked
@@ -68,6 +71,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         name, shut = m[2].lower(), m[1]
         if name in _BODY and skip and not shut:
             skip = ""  # something left out was never closed
+        if skip in _OMIT and not inner and (name in _BLOCK and name != skip if shut else name in _OMIT[skip]):
+            skip = ""
+        if skip in _OMIT:
+            if shut and name == skip and not inner:
+                skip = ""
+            elif name in _BLOCK and name not in _OMIT and name not in _VOID:
+                inner = max(0, inner - 1) if shut else inner + 1
+            continue
         if skip:
             if name == skip:
                 depth += -1 if shut else 1
@@ -98,7 +109,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 if name in _BLOCK:
                     close()
                     out.append(("", 0, False))
-                skip, depth = name, 1
+                skip, depth, inner = name, 1, 0
             elif name in _BODY:
                 body += 1
     if not skip and at < len(src):
@@ -114,20 +125,22 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     lines = lines_of(page)
     if not any(t for t, _, _ in lines):
         return ""
-    marked = any(b for _, _, b in lines)
+    inside = sum(n for _, n, b in lines if b)
+    marked = inside > 0 and 2 * inside >= sum(n for _, n, _ in lines)
     weight = [(n + BONUS if b else 0) if marked else n for _, n, b in lines]
+    following = lambda i: itertools.islice((j for j in range(i, len(lines)) if lines[j][0]), window)
     spans, begin = [], None  # runs between surge and dive
     for i, (t, _, b) in enumerate(lines):
-        gap = not t or marked and not b
+        if not t:  # something left out ends no span
+            continue
+        gap = marked and not b
         if begin is None and not gap:
             block = 0
-            for j in range(i, min(i + window, len(lines))):
-                if not lines[j][0]:
-                    break
+            for j in following(i):
                 block += weight[j]
             if block > surge:
                 begin = i
-        elif begin is not None and (gap or not sum(weight[i : i + window])):
+        elif begin is not None and (gap or not sum(weight[j] for j in following(i))):
             spans.append((begin, i))
             begin = None
     if begin is not None:
