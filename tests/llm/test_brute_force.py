@@ -262,7 +262,7 @@ def test_near_copies_around_the_threshold(spark, monkeypatch, block):
     from tidewake.llm import near_copies
     from tidewake.llm.near_copies import near_duplicates
 
-    monkeypatch.setattr(near_copies, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(near_copies, "BLOCK_LEAST", block)
     r, rows, n = random.Random(8), [], 0
     for family in range(12):
         base = [f"w{r.randrange(5000)}" for _ in range(120)]

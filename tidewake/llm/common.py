@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,15 +14,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+PIECE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a run inside one JVM (as in tests) gets a temporary one;
+    a cluster has to name its own."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="tidewake-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -35,8 +42,16 @@ class Scratch:
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", {}
 
     def table(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", codec).parquet(path)
+        """Writes a table and reads it again. Meanwhile Arrow batches are small, which bounds what a task holds outside the heap."""
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = {k: conf.get(k) for k in _BATCHES}
+        for k, v in _BATCHES.items():
+            conf.set(k, v)
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.set(k, v)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -53,21 +68,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str) -> DataFrame:
-    """mapInArrow whose function sees each batch as {column: list} and yields {column: list or array}."""
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str | StructType, piece: int = PIECE_BYTES) -> DataFrame:
+    """mapInArrow whose function sees {column: list} for pieces of about `piece` bytes of each batch and yields {column: list or array}."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    out = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
+
+    def pieces(batches):
+        for b in batches:
+            step = max(1, b.num_rows * piece // max(1, b.nbytes))
+            for at in range(0, b.num_rows, step):
+                yield b.slice(at, step).to_pydict()
 
     def run(batches):
-        for got in fn(b.to_pydict() for b in batches):
+        for got in fn(pieces(batches)):
             if len(got[out.names[0]]):
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
+class Memory:
+    """What a worker remembers between tasks belongs to one operator at a time: when another one starts, it is forgotten."""
+
+    owner: str | None = None
+    forget: dict[str, Callable[[], None]] = {}
+
+    @classmethod
+    def use(cls, owner: str, forget: Callable[[], None]) -> None:
+        if cls.owner != owner:
+            if cls.owner:
+                cls.forget[cls.owner]()
+            cls.owner = owner
+        cls.forget[owner] = forget
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id written as text, modulo n; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -94,6 +130,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
+    Memory.use("words", WORDS.clear)
     out = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
     WORDS.trim()
     return out

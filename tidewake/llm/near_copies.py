@@ -1,16 +1,18 @@
 """Operator 7, near duplicates by SetSketch registers.
 
-A document's set is its distinct 5-word shingles (after lower-casing A-Z; fewer words make one shingle). Equal sets fall into one class.
-A class's sketch holds REGISTERS registers: the logarithm to a base near 1, rounded down, of the smallest of the set's exponential hashes, so sketches of
-unions are maxima of registers. Bands of BAND registers make bucket keys (a pair at the threshold shares none of the BANDS keys in 3 of 10 million cases).
+A document's set is its distinct 5-word shingles (after lower-casing A-Z; fewer words make one shingle). Equal sets (two fingerprints of 64 bits agree) fall
+into one class, numbered when the classes are written. A class's sketch holds REGISTERS registers: the logarithm to a base near 1, rounded down, of the smallest
+of the set's exponential hashes, so sketches of unions are maxima of registers. Bands of BAND registers make bucket keys (a pair at the threshold shares none
+of the BANDS keys in 3 of 10 million cases).
 
 Links are confirmed on the full shingle sets. First every class meets the smallest head of its buckets. Buckets that still hold two components form families
-(connected by bucket heads); a family is cut into blocks, and inside pairs of blocks, pairs in different components whose likelihood estimate of the
-similarity from both sketches (known set sizes) is not SLACK, five standard errors, below the threshold are confirmed too. A pair already in one component
-needs no test, only links that join components leave a task, and none of those is lost.
+(connected by bucket heads). Inside a family, by pairs of blocks, sketches alone tell which classes have a partner in another component whose likelihood
+estimate of the similarity (known set sizes) is not SLACK, five standard errors, below the threshold; the full sets of these go, by pairs of blocks again, to
+confirm the links. A pair already in one component needs no test, only links that join components leave a task, and none of those is lost.
 
 Null and empty texts (no words) have an empty set and link with nothing. Rows with a null id take no part: their component is null and they are kept.
-Repeated rows share their class and their id. An empty table gives an empty result. Further columns are ignored or kept by keep_one_of_each().
+Repeated rows share their class and their id; an id with several texts is in several classes, which it does not link. An empty table gives an empty result.
+Further columns are ignored, or kept by keep_one_of_each().
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ REGISTERS = BANDS * BAND
 BASE = 1.001
 SHIFT = 4000
 SLACK = 0.17
-FAMILY_BLOCK = 256
+BLOCK_LEAST, BLOCK_MOST, BLOCK_SETS = 256, 4096, 16 << 20
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -86,27 +88,31 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return j[np.arange(len(j)), like.argmax(1)]
 
 
+def fingerprints(s: np.ndarray) -> tuple[int, int]:
+    """Two independent sums over a non-empty set."""
+    m = mixed(s)
+    return int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed(m)).view(np.int64))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cid (class: a 64-bit fingerprint of the set), check (a second one), regs (null for empty sets)."""
+    """doc_id, h (a hash of the text), n_shingles, f1, f2 (fingerprints of the set), regs (null for empty sets)."""
 
     def sketch(batches):
         for b in batches:
-            out = {k: [] for k in ("doc_id", "n_shingles", "cid", "check", "regs")}
-            out["doc_id"] = b["doc_id"]
+            out = {"doc_id": b["doc_id"], "h": b["h"], **{k: [] for k in ("n_shingles", "f1", "f2", "regs")}}
             seen: dict[str, tuple] = {}
             for t in b["text"]:
                 row = seen.get(t) if t else None
                 if row is None:
                     s = shingle_set(t)
-                    m = mixed(s)
-                    row = (len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed(m)).view(np.int64)) if len(s) else 0, registers(s).tobytes() if len(s) else None)
+                    row = (len(s), *fingerprints(s), registers(s).tobytes()) if len(s) else (0, 0, 0, None)
                     if t:
                         seen[t] = row
-                for k, x in zip(("n_shingles", "cid", "check", "regs"), row):
+                for k, x in zip(("n_shingles", "f1", "f2", "regs"), row):
                     out[k].append(x)
             yield out
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sketch, "doc_id long, n_shingles long, cid long, check long, regs binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text"), sketch, "doc_id long, h long, n_shingles long, f1 long, f2 long, regs binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -115,12 +121,10 @@ def band_keys(classes: DataFrame) -> DataFrame:
 
     def keys(batches):
         for b in batches:
-            if not b["cid"]:
-                continue
             x = np.frombuffer(b"".join(b["regs"]), "<u8").reshape(-1, BANDS)
             yield {"key": mixed(x ^ salt).ravel().view(np.int64), "cid": np.repeat(np.array(b["cid"], np.int64), BANDS)}
 
-    return arrow_map(classes.select("cid", "regs"), keys, "key long, cid long")
+    return arrow_map(classes.select("cid", "regs"), keys, "key long, cid long", piece=1 << 20)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,14 +149,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, s): the sorted shingle hashes of the wanted classes, made from the text of the class's smallest id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("cid", F.col("rep").alias("doc_id")), "doc_id").select("cid", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("cid", "f1", "f2", F.col("rep").alias("doc_id")), "doc_id").select("cid", "f1", "f2", "text")
 
     def make(batches):
         for b in batches:
             cids, out = [], []
-            for c, t in zip(b["cid"], b["text"]):
+            for c, f1, f2, t in zip(b["cid"], b["f1"], b["f2"], b["text"]):
                 s = shingle_set(t)
-                if int(mixed(s).sum(dtype=np.uint64).view(np.int64)) == c:  # an id may be repeated with another text
+                if len(s) and fingerprints(s) == (f1, f2):  # an id may be repeated with another text
                     cids.append(c)
                     out.append(s.astype("<u8").tobytes())
             yield {"cid": cids, "s": out}
@@ -176,35 +180,50 @@ def _common(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np
     return out.astype(np.int64)
 
 
-def links_across(x: list[tuple], y: list[tuple] | None) -> list[tuple[int, int]]:
-    """Links between classes of different labels, of two blocks or inside one: (cid, label, n, regs, set) each. Pairs whose estimate is near or over
-    the threshold are confirmed on the full sets, the most alike first; a pair that earlier links of the call have joined is passed over."""
+def _column(rows: list[tuple], i: int) -> np.ndarray:
+    return np.array([r[i] for r in rows], np.int64)
+
+
+def _near_pairs(x: list[tuple], y: list[tuple] | None, tile: int = 512):
+    """Pairs (i, j) of two blocks, or inside one, of different labels whose estimate is near or over the threshold, and their shares of equal
+    registers. Rows begin with cid, label, n, regs. Some rows of x are compared with some of y at a time."""
     same = y is None
     y = x if same else y
-    col = lambda rows, i: np.array([r[i] for r in rows], np.int64)
     regs = lambda rows: np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), -1)
-    nx, ny, kx, ky = col(x, 2), col(y, 2), regs(x), regs(y)
-    open_ = (col(x, 1)[:, None] != col(y, 1)[None, :]) & (100 * np.minimum(nx[:, None], ny[None, :]) >= PERCENT * np.maximum(nx[:, None], ny[None, :]))
-    if same:
-        open_ &= np.tri(len(x), k=-1, dtype=bool)
-    i, j = np.nonzero(open_)
-    if not len(i):
-        return []
-    alike = np.concatenate([(kx[i[s : s + 8192]] == ky[j[s : s + 8192]]).sum(1) for s in range(0, len(i), 8192)]) / REGISTERS
-    near = alike >= PERCENT / 100 - SLACK - 0.04
-    i, j, alike = i[near], j[near], alike[near]
-    if not len(i):
-        return []
-    good = np.concatenate([estimate(kx[i[s : s + 2048]], ky[j[s : s + 2048]], nx[i[s : s + 2048]], ny[j[s : s + 2048]]) for s in range(0, len(i), 2048)]) >= PERCENT / 100 - SLACK
-    i, j, alike = i[good], j[good], alike[good]
-    if not len(i):
-        return []
-    sx, sy = [np.frombuffer(r[4], "<u8") for r in x], [np.frombuffer(r[4], "<u8") for r in y]
-    if len(i) > 64:
-        both = _common(sx, sy)[i, j]
-    else:
-        both = np.array([len(sx[p]) + len(sy[q]) - len(np.union1d(sx[p], sy[q])) for p, q in zip(i, j)])
-    linked = 100 * both >= PERCENT * (nx[i] + ny[j] - both)
+    nx, ny, lx, ly, kx, ky = _column(x, 2), _column(y, 2), _column(x, 1), _column(y, 1), regs(x), regs(y)
+    for s in range(0, len(x), tile):
+        for t in range(0, s + tile if same else len(y), tile):
+            a, b = slice(s, s + tile), slice(t, t + tile)
+            open_ = (lx[a, None] != ly[None, b]) & (100 * np.minimum(nx[a, None], ny[None, b]) >= PERCENT * np.maximum(nx[a, None], ny[None, b]))
+            if same and s == t:
+                open_ &= np.tri(*open_.shape, k=-1, dtype=bool)
+            i, j = np.nonzero(open_)
+            i, j = i + s, j + t
+            for c in range(0, len(i), 8192):
+                p, q = i[c : c + 8192], j[c : c + 8192]
+                alike = (kx[p] == ky[q]).sum(1) / REGISTERS
+                near = np.flatnonzero(alike >= PERCENT / 100 - SLACK - 0.04)
+                for d in range(0, len(near), 2048):
+                    e = near[d : d + 2048]
+                    good = e[estimate(kx[p[e]], ky[q[e]], nx[p[e]], ny[q[e]]) >= PERCENT / 100 - SLACK]
+                    if len(good):
+                        yield p[good], q[good], alike[good]
+
+
+def nearby(x: list[tuple], y: list[tuple] | None) -> list[int]:
+    """Classes of two blocks, or of one, that have a partner of another label near or over the threshold."""
+    found: set[int] = set()
+    cx, cy = _column(x, 0), _column(x if y is None else y, 0)
+    for i, j, _ in _near_pairs(x, y):
+        found.update(cx[i].tolist(), cy[j].tolist())
+    return sorted(found)
+
+
+def links_across(x: list[tuple], y: list[tuple] | None) -> list[tuple[int, int]]:
+    """Links between classes of different labels, of two blocks or inside one: (cid, label, n, regs, set) each. Near pairs are confirmed on the full sets,
+    tile by tile, the most alike first; a pair that earlier links of the call have joined is passed over."""
+    z = x if y is None else y
+    sx, sy = [np.frombuffer(r[4], "<u8") for r in x], [np.frombuffer(r[4], "<u8") for r in z]
     parent: dict[int, int] = {}
 
     def find(v: int) -> int:
@@ -213,86 +232,123 @@ def links_across(x: list[tuple], y: list[tuple] | None) -> list[tuple[int, int]]
         return v
 
     out = []
-    order = np.argsort(-alike, kind="stable")
-    for p, q in zip(i[order][linked[order]].tolist(), j[order][linked[order]].tolist()):
-        a, b = find(x[p][1]), find(y[q][1])
-        if a != b:
-            parent[b] = a
-            out.append((x[p][0], y[q][0]))
+    for i, j, alike in _near_pairs(x, y):
+        open_ = np.array([find(x[p][1]) != find(z[q][1]) for p, q in zip(i.tolist(), j.tolist())])
+        i, j, alike = i[open_], j[open_], alike[open_]
+        if len(i) > 64:
+            ui, uj = np.unique(i), np.unique(j)
+            both = _common([sx[p] for p in ui], [sy[q] for q in uj])[np.searchsorted(ui, i), np.searchsorted(uj, j)]
+        else:
+            both = np.array([len(sx[p]) + len(sy[q]) - len(np.union1d(sx[p], sy[q])) for p, q in zip(i, j)], np.int64)
+        linked = 100 * both >= PERCENT * (np.array([len(sx[p]) for p in i], np.int64) + np.array([len(sy[q]) for q in j], np.int64) - both)
+        order = np.argsort(-alike, kind="stable")
+        for p, q in zip(i[order][linked[order]].tolist(), j[order][linked[order]].tolist()):
+            a, b = find(x[p][1]), find(z[q][1])
+            if a != b:
+                parent[b] = a
+                out.append((x[p][0], z[q][0]))
     return out
 
 
-def family_links(rows: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): links between different labels of a family. rows: family, label, cid, n, regs, s. Families are cut into blocks of about FAMILY_BLOCK
-    classes by a hash; every pair of blocks is one group, so a family of any size is spread over many tasks."""
-    sizes = rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("nb"))
+def by_block_pairs(rows: DataFrame, columns: list[str], blocks, each, schema: str, partitions: int) -> DataFrame:
+    """each(x, y) on the rows of every pair of blocks of a family (y is None inside one block); a family is cut into `blocks` (an aggregate) blocks by a hash,
+    and every pair of blocks is a group of its own, so a family of any size is spread over many tasks. Only two blocks are held at a time."""
+    sizes = rows.groupBy("family").agg(blocks.cast("int").alias("nb"))
     r = rows.join(sizes, "family").withColumn("b", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
     keys = ["family", "i", "j"]
-    r = r.select(*keys, "b", "cid", "label", "n", "regs", "s").repartition(partitions, *keys).sortWithinPartitions(*keys, "b", "cid")
+    r = r.select(*keys, "b", *columns).repartition(partitions, *keys).sortWithinPartitions(*keys, "b", "cid")
 
-    def search(batches):
+    def run(batches):
         now, blocks = None, {}
 
         def close():
             if now is not None:
-                x = blocks.get(now[1], [])
-                y = None if now[1] == now[2] else blocks.get(now[2], [])
-                got = links_across(x, y) if x and (y is None or y) else []
-                if got:
-                    yield {"a": [g[0] for g in got], "b": [g[1] for g in got]}
+                x, y = blocks.get(now[1], []), None if now[1] == now[2] else blocks.get(now[2], [])
+                if x and (y is None or y):
+                    yield from each(x, y)
 
         for b in batches:
-            for f, i, j, block, *row in zip(*(b[c] for c in (*keys, "b", "cid", "label", "n", "regs", "s"))):
+            for f, i, j, block, *row in zip(*(b[c] for c in (*keys, "b", *columns))):
                 if (f, i, j) != now:
                     yield from close()
                     now, blocks = (f, i, j), {}
                 blocks.setdefault(block, []).append(tuple(row))
         yield from close()
 
-    return arrow_map(r, search, "a long, b long")
+    return arrow_map(r, run, schema)
+
+
+def family_links(members: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
+    """(a, b): links between different labels of a family. members: family, cid, label. Sketches pick the classes whose sets are needed at all."""
+    tell = members.join(classes.select("cid", "n", "regs"), "cid")
+    n = F.count(F.lit(1))
+    small = F.ceil(n / F.least(F.greatest(n / 64, F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST)))
+    near = by_block_pairs(tell, ["cid", "label", "n", "regs"], small, lambda x, y: [{"cid": nearby(x, y)}], "cid long", partitions)
+    near = scratch.table("nearby", near.distinct())
+    full = tell.join(near, "cid").join(sets, "cid")
+    large = F.greatest(small, F.ceil(F.sum(F.octet_length("s")) / BLOCK_SETS))
+
+    def links(x, y):
+        got = links_across(x, y)
+        yield {"a": [g[0] for g in got], "b": [g[1] for g in got]}
+
+    return by_block_pairs(full, ["cid", "label", "n", "regs", "s"], large, links, "a long, b long", partitions)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+    """doc_id, n_shingles, component_id, kept of every row, and h, a hash of its text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     base = scratch.table("base", sketches(docs))
-    classes = scratch.table("classes", base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cid", "check").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
-    keys = band_keys(classes)
+    classes = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    classes = scratch.table("classes", classes.select(F.monotonically_increasing_id().alias("cid"), "*"))
+    keys = scratch.table("keys", band_keys(classes))
     heads = keys.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
     bucketed = scratch.table("bucketed", keys.join(heads, "key"))
-    stars = scratch.table("stars", bucketed.filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct())
-    touched = stars.select(F.col("a").alias("cid")).unionByName(stars.select(F.col("b").alias("cid"))).distinct()
-    sets = scratch.table("sets", full_sets(docs, touched.join(classes.select("cid", "rep"), "cid")), codec="uncompressed")
-
-    links = scratch.table("links1", confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets))
+    scratch.drop("keys")
+    stars = scratch.table("stars", bucketed.filter("cid <> head").groupBy("cid").agg(F.min("head").alias("a")).select("a", F.col("cid").alias("b")))
+    shared = bucketed.select("cid").distinct()
+    sets = scratch.table("sets", full_sets(docs, shared.join(classes.drop("regs"), "cid")), codec="uncompressed")
+    links = scratch.table("links1", confirmed(stars, sets))
+    scratch.drop("stars")
     labels = scratch.table("labels1", components(links, scratch, "c1"))
 
     named = bucketed.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", "head", F.coalesce("label", "cid").alias("label"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi AND n > 1").select("key")
+    named = scratch.table("named", named)
+    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     rest = scratch.table("rest", named.join(open_keys, "key").select("cid", "head", "label").distinct())
+    scratch.drop("bucketed", "named", "labels1")
     families = scratch.table("families", components(rest.select(F.col("head").alias("a"), F.col("cid").alias("b")), scratch, "cf"))
-    members = families.select(F.col("node").alias("cid"), F.col("label").alias("family")).join(rest.select("cid", "label").distinct(), "cid")
-    full = members.join(classes.select("cid", "n", "regs"), "cid").join(sets, "cid")
-    links = scratch.table("links2", links.unionByName(family_links(full, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    members = scratch.table("members", families.select(F.col("node").alias("cid"), F.col("label").alias("family")).join(rest.select("cid", "label").distinct(), "cid"))
+    links = scratch.table("links2", links.unionByName(family_links(members, classes, sets, scratch, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     labels = scratch.table("labels2", components(links, scratch, "c2"))
-    scratch.drop("bucketed", "stars", "sets", "rest", "families", "links1", "links2", "labels1")
+    scratch.drop("sets", "rest", "families", "members", "nearby", "links1", "links2")
 
-    lowest = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    joined = lowest.join(lowest.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select(F.col("node").alias("cid"), F.col("component_id"))
-    alone = classes.filter("copies > 1").select("cid", "rep").join(joined.select("cid"), "cid", "left_anti").select("cid", F.col("rep").alias("component_id"))
+    # The smallest id of a component, for every class that a row of its own does not tell it.
+    lowest = labels.join(classes.select(F.col("cid").alias("node"), "f1", "f2", "rep"), "node")
+    joined = lowest.join(lowest.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("f1", "f2", "component_id")
+    alone = classes.filter("copies > 1").join(labels.select(F.col("node").alias("cid")), "cid", "left_anti").select("f1", "f2", F.col("rep").alias("component_id"))
     moved = scratch.table("moved", joined.unionByName(alone))
-    rows = base.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("cid")).alias("cid"))
-    out = rows.join(moved, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    scratch.drop("classes", "labels2")
+    takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    rows = base.select("doc_id", "h", "n_shingles", *[F.when(takes_part, F.col(x)).alias(x) for x in ("f1", "f2")])
+    out = rows.join(moved, ["f1", "f2"], "left").select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group of linked documents the one with the smallest id stays; all columns stay."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Pipeline stage: of every group of linked documents the one with the smallest id stays; all columns stay. Rows go by id and text, so an id with
+    several texts keeps those that are linked to no smaller id; of rows that repeat an id and its text one stays. Rows with a null id stay."""
+    scratch = Scratch(spark, "keep")
+    verdicts = scratch.table("verdicts", near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1"))
+    same = (docs["doc_id"].cast("long") == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_h"))
+    out = docs.join(verdicts.filter("NOT kept"), same, "left_anti")
+    again = verdicts.filter("kept")
+    if again.isEmpty():
+        return out
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op7_setsketch_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
