@@ -7,11 +7,14 @@ import re
 import sys
 from array import array
 
+from .common import Memory
+
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 _SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _LOADED: dict[str, Encoder] = {}
+_BIG = sys.byteorder == "big"
 
 
 class _Irregular(Exception):
@@ -58,20 +61,31 @@ class Encoder:
         self.model, self.spaced = self.tok.model, spaced
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         mapped = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(1, 256)}  # a character's bytes as the model sees them
-        self.letters = {c: mapped[c] for c in mapped}
-        self.pretokens = _Memory(self._pretoken, most // 2)
-        self.plain = _Memory(self._chunk, most if not spaced else most // 10)
+        self.letters = mapped
+        self.pretokens = _Memory(self._pretoken, most // 8)
+        self.plain = _Memory(self._chunk, most if not spaced else most // 8)
         self.after = _Memory(self._spaced, most)
 
+    def forget(self) -> None:
+        for m in (self.pretokens, self.plain, self.after):
+            m.clear()
+            m.old = {}
+
+    def _model(self, pretoken: str) -> bytes:
+        return _little([t.id for t in self.model.tokenize(pretoken)])
+
     def _pretoken(self, word: str) -> bytes:
-        return _little([t.id for t in self.model.tokenize(word if word.isascii() and word[0] != " " and word != "\n" else word.translate(self.letters))])
+        return self._model(word if word.isascii() and word[0] != " " and word != "\n" else word.translate(self.letters))
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
         if not self.spaced and (m := _WORD.fullmatch(chunk)):
             word, signs = m.groups()
-            return self.pretokens[word.lower()] + self.pretokens[signs] if signs else self.pretokens[word.lower()]
+            low = word.lower()
+            if signs:
+                return self.plain[low] + self.pretokens[signs]
+            return self._model(low if low.isascii() else low.translate(self.letters)) if low == chunk else self.plain[low]
         body = chunk[1:] if chunk[0] == " " else chunk
         runs = _SIMPLE.findall(body)
         if not runs or sum(map(len, runs)) != len(body):
@@ -91,9 +105,12 @@ class Encoder:
         return b"".join(map(self.pretokens.__getitem__, out))
 
     def _spaced(self, piece: str) -> bytes:
+        """A piece that follows a space, as the letter that the model sees for it tells."""
+        if piece.isalpha() and piece.isascii():
+            return self._model(self.letters[32] + piece)
         if m := _WORD.fullmatch(piece):
             word, signs = m.groups()
-            return self.pretokens[" " + word] + self.pretokens[signs] if signs else self.pretokens[" " + word]
+            return self.after[word] + self.pretokens[signs] if signs else self._model(self.letters[32] + word.translate(self.letters))
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Irregular
         return self._chunk(" " + piece)
@@ -115,7 +132,7 @@ class Encoder:
 
 def _little(ids: list[int]) -> bytes:
     a = array("I", ids)
-    if sys.byteorder == "big":
+    if _BIG:
         a.byteswap()
     return a.tobytes()
 
@@ -131,6 +148,7 @@ def encoder(name: str) -> Encoder:
         import public_tokenizers
 
         _LOADED[name] = Encoder(name if os.sep in name else public_tokenizers.path(name), spaced="byte" in os.path.basename(name))
+    Memory.use(f"encoder {name}", _LOADED[name].forget)
     return _LOADED[name]
 
 

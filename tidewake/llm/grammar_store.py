@@ -1,9 +1,9 @@
 """Operator 3, binary token ids: shards of documents in ascending id order, compressed by Re-Pair.
 
-Each shard is one self-contained binary value (layout at pack()). Re-Pair runs in rounds: all neighbouring id pairs inside
-documents are counted, frequent pairs become nonterminals (most frequent first), and every occurrence that wins over its
-overlapping neighbours is replaced. Rules keep their expansion lengths, so a document, or a span of its ids, is decoded without
-expanding the rest of its shard.
+Each shard is one self-contained binary value (layout at pack()). Re-Pair counts all neighbouring id pairs inside documents once and keeps the counts
+up to date: again and again the most frequent pairs become nonterminals, and every occurrence that wins over its overlapping neighbours is replaced, until no
+pair occurs LEAST times any more. LEAST follows from the layout: a replacement saves a symbol of 4 bytes, a rule takes 12. Rules keep their expansion
+lengths, so a document, or a span of its ids, is decoded without expanding the rest of its shard.
 
 Null and empty texts encode to the end id alone. Null doc_id sorts first. Repeated ids and rows stay as separate entries,
 neighbours in the order. An empty table gives an empty result. Further columns are ignored. Long texts make long shards; a text is never cut.
@@ -24,76 +24,114 @@ from .common import Scratch, arrow_map, table
 from .encode import BYTE, encoder, end_bytes
 
 END = 0
-SHARD_IDS = 1_000_000
+SHARD_IDS = 500_000
+RANGE_DOCS = 50_000
 FIRST_RULE = 1 << 20
+LEAST = 4
 MAGIC = b"RPG1"
+_NEVER = np.iinfo(np.int32).max
 
 
-def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """20-bit hashes of pairs."""
-    x = a * np.uint32(0x9E3779B1)
-    x += b * np.uint32(0x85EBCA6B)
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0x2C1B3C6D)
-    x >>= np.uint32(12)
+def _bucket(code: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of pairs, of so many bits."""
+    x = code * np.uint64(0x9E3779B97F4A7C15)
+    x >>= np.uint64(64 - bits)
     return x.astype(np.intp)
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, rounds: int = 6, least: int = 24, per_round: int = 4096):
+def _codes(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    code = seq[at].astype(np.uint64)
+    code <<= np.uint64(32)
+    code |= seq[at + 1]
+    return code
+
+
+def _numbered(seq: np.ndarray, at: np.ndarray, least: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers the pairs at some positions that occur `least` times there: (positions, their pairs' numbers from base on, pairs, counts)."""
+    code = _codes(seq, at)
+    bits = max(8, min(20, len(code).bit_length()))
+    bucket = _bucket(code, bits)
+    some = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]  # no pair is rarer than its bucket
+    at, code = at[some], code[some]
+    order = np.argsort(code)
+    ordered = code[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.intp)
+    counts = np.diff(np.append(first, len(ordered)))
+    good = counts >= least
+    number = np.where(good, base + np.cumsum(good) - 1, 0).astype(np.int32)
+    return at[order], np.repeat(number, counts), ordered[first[good]], counts[good]
+
+
+def _odd_in_run(rank: np.ndarray) -> np.ndarray:
+    """Positions with an odd place in a run of one pair (a, a): they overlap the one before them."""
+    e = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] != _NEVER)) + 1
+    if not len(e):
+        return e
+    first = np.flatnonzero(np.concatenate([[True], np.diff(e) != 1]))
+    start = np.repeat(e[first] - 1, np.diff(np.append(first, len(e))))
+    return e[((e - start) & 1) == 1]
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
     """Re-Pair over one shard. ends marks positions that close a document (no pair starts there).
 
-    Returns (sequence, rules as an (r, 2) array, rule lengths, positions in the sequence that close documents).
-    A pair becomes a rule if it occurs at least `least` times; each round takes up to per_round pairs, the most frequent first.
+    Returns (sequence, rules as an (r, 2) array, rule lengths, positions in the sequence that close documents). A round ranks all pairs that
+    occur `least` times by their counts (ties by a hash) and replaces the occurrences that rank before both neighbours, of pairs with at
+    least `least` of these; only pairs beside a replacement are counted anew. It ends when no pair is left that occurs `least` times without overlapping.
     """
-    seq, close = ids.astype(np.uint32), ends.copy()
-    rules, lengths = [], []
-    for _ in range(rounds):
-        if len(seq) < 2:
+    seq, close, rules = ids.astype(np.uint32), ends.copy(), []
+    slot, pairs, count = np.zeros(len(seq), np.int32), np.zeros(1, np.uint64), np.zeros(1, np.int64)  # slot[i]: number of the pair at i, 0: rare
+    if len(seq) > 1:
+        at, number, new, counts = _numbered(seq, np.flatnonzero(~close[:-1]), least, 1)
+        slot[at] = number
+        pairs, count = np.concatenate([pairs, new]), np.concatenate([count, counts])
+    made = 0
+    while True:
+        live = np.flatnonzero(count >= least)
+        if not len(live):
             break
-        left, right = seq[:-1], seq[1:]
-        bucket = _bucket(left, right)
-        often = (np.bincount(bucket, minlength=1 << 20) >= least)[bucket]  # no pair is rarer than its bucket
-        often &= ~close[:-1]
-        at = np.flatnonzero(often)
-        if not len(at):
-            break
-        code = left[at].astype(np.uint64)
-        code <<= np.uint64(32)
-        code |= right[at]
-        bucket = bucket[at]
-        ordered = np.sort(code)
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(first, len(ordered)))
-        pairs, counts = ordered[first[counts >= least]], counts[counts >= least]
-        pairs = pairs[np.argsort(-counts, kind="stable")[:per_round]]
-        if not len(pairs):
-            break
-        slot = np.full(1 << 20, -1, np.int32)  # of pairs that share a bucket the most frequent waits for no other
-        home = _bucket((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
-        slot[home[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
-        rank = slot[bucket]
-        ok = (rank >= 0) & (pairs[rank] == code)
-        never = np.iinfo(np.int32).max
-        where = np.full(len(seq) + 1, never, np.int32)
-        where[at[ok] + 1] = rank[ok]  # where[i + 1]: the rank of the pair at i
-        here = where[1:-1]
-        pick = np.flatnonzero((here < where[:-2]) & (here <= where[2:]) & (here != never))
-        used, renamed = np.unique(here[pick], return_inverse=True)
-        base = FIRST_RULE + len(rules)
-        for p in pairs[used].tolist():
-            rules.append((p >> 32, p & 0xFFFFFFFF))
-        seq = seq.copy()
-        seq[pick] = (base + renamed).astype(np.uint32)
-        close[pick] = close[pick + 1]
+        rank = np.full(len(count), _NEVER, np.int32)
+        rank[live[np.lexsort((_bucket(pairs[live], 32), -count[live]))]] = np.arange(len(live), dtype=np.int32)
+        padded = np.full(len(seq) + 2, _NEVER, np.int32)  # padded[i + 1]: the rank of the pair at i
+        rank.take(slot, out=padded[1:-1])
+        here = padded[1:-1]
+        best = here <= padded[:-2]
+        best &= here <= padded[2:]
+        best &= here != _NEVER
+        best[_odd_in_run(here)] = False
+        pick = np.flatnonzero(best)
+        wins = np.bincount(slot[pick], minlength=len(count))
+        if not (wins >= least).any():  # pairs that no other one keeps from winning overlap themselves too often
+            beaten = np.bincount(slot[(here > padded[:-2]) | (here > padded[2:])], minlength=len(count))
+            count[(wins > 0) & (beaten == 0)] = 0
+            continue
+        pick = pick[(wins >= least)[slot[pick]]]
+        used = np.flatnonzero(wins >= least)
+        symbol = np.zeros(len(count), np.uint32)
+        symbol[used] = np.arange(FIRST_RULE + made, FIRST_RULE + made + len(used), dtype=np.uint32)
+        rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        made += len(used)
+        before = pick[np.concatenate([pick[:1] > 0, np.diff(pick) > 2])] - 1  # not counted again as the place after the pick before
+        for gone in (pick, pick + 1, before):
+            count -= np.bincount(slot[gone], minlength=len(count))
+        count[0] = 0
+        seq[pick], close[pick], slot[pick] = symbol[slot[pick]], close[pick + 1], 0
         keep = np.ones(len(seq), bool)
         keep[pick + 1] = False
-        seq, close = seq[keep], close[keep]
-    size = {}
-    for i, (a, b) in enumerate(rules):
-        n = (size[a - FIRST_RULE] if a >= FIRST_RULE else 1) + (size[b - FIRST_RULE] if b >= FIRST_RULE else 1)
-        size[i] = n
-        lengths.append(n)
-    return seq, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32), np.flatnonzero(close)
+        seq, close, slot = seq[keep], close[keep], slot[keep]
+        now = pick - np.arange(len(pick))
+        before = now[np.concatenate([now[:1] > 0, np.diff(now) > 1])] - 1
+        slot[before] = 0
+        beside = np.concatenate([before, now])
+        beside = beside[beside < len(seq) - 1]
+        at, number, new, counts = _numbered(seq, beside[~close[beside]], least, len(count))
+        slot[at] = number
+        pairs, count = np.concatenate([pairs, new]), np.concatenate([count, counts])
+    rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    lengths = [0] * len(rules)
+    for i, (a, b) in enumerate(rules.tolist()):
+        lengths[i] = (lengths[a - FIRST_RULE] if a >= FIRST_RULE else 1) + (lengths[b - FIRST_RULE] if b >= FIRST_RULE else 1)
+    return seq, rules, np.array(lengths, np.uint32), np.flatnonzero(close)
 
 
 def pack(doc_ids: list, blobs: list[bytes]) -> tuple[bytes, int]:
@@ -176,8 +214,7 @@ class Shard:
 
 def write_shards(docs: DataFrame, tokenizer: str = BYTE, end: int = END, shard_ids: int = SHARD_IDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, seq, n_docs, n_ids, payload): shards in ascending id order, (part, seq) is that order."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_DOCS))
     ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange(n, F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first())
 
     def cut(batches):
