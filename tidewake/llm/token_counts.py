@@ -1,7 +1,7 @@
 """Operator 1, token counts: the exact length histogram and what suffix sums over it answer.
 
 Documents are encoded whole and aggregated by their encoded length (partial counts before the shuffle). The histogram
-has one row per distinct length; block sums and window sums inside blocks of lengths turn it into suffix sums, so no
+has one row per distinct length and is written once, since both levels of the sums read it; block sums and window sums inside blocks of lengths turn it into suffix sums, so no
 task holds more than one block. From these follow, for every context limit, the totals, the documents that fit, the
 tokens left after truncation, and quantiles.
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, table
+from .common import Scratch, arrow_map, table
 from .encode import BYTE, encoder
 
 BLOCK = 128
@@ -78,4 +78,5 @@ def length_quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_report(length_histogram(encoded_lengths(table(spark, sf_dir, "documents"))))
+    histogram = Scratch(spark, "op1").table("histogram", length_histogram(encoded_lengths(table(spark, sf_dir, "documents"))))
+    return context_report(histogram)
