@@ -89,6 +89,20 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, keep: Callable[[list], list[bool]], column: str, piece: int = PIECE_BYTES) -> DataFrame:
+    """Rows for which keep() of the values of a column holds, piece by piece; no other column is converted."""
+    at = df.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            step = max(1, b.num_rows * piece // max(1, b.nbytes))
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class Memory:
     """What a worker remembers between tasks belongs to one operator at a time: when another one starts, it is forgotten."""
 

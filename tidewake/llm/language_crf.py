@@ -3,8 +3,8 @@
 Every word has affix, character n-gram and lexicon features; label transitions are learned on spliced (code-switched) sequences.
 Forward-backward gives each word's label marginals; a document's label is the one with the largest sum of marginals over all its words.
 
-The classifier is fitted on a bounded sample: about PER_LABEL labelled documents per label (SAMPLE_MOST in all), chosen by a hash of the id among the training rows;
-their whole texts are used. Prediction covers every word of every document and reads nothing but the text.
+The classifier is fitted on a bounded sample: about PER_LABEL labelled documents per label (about SAMPLE_MOST in all, at least one for each of as many labels), chosen by
+a hash of the id among the training rows of at most SAMPLE_CHARS characters; their whole texts are used. Prediction covers every word of every document and reads nothing but the text.
 
 Null texts and texts without a letter are `und` with score 0. Null ids are never trained on and never held out. Null labels are never trained on. Repeated rows are
 predicted each. With no training rows every document is `und`. Further columns are ignored or passed through by label_documents().
@@ -19,11 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, table
+from .common import Memory, arrow_filter, arrow_map, crc_mod, table
 
 UND = "und"
 PER_LABEL = 120
 SAMPLE_MOST = 4000
+SAMPLE_CHARS = 100_000
 HOLD = 2
 PARTS = 4
 SPLICE = (8, 40)
@@ -131,6 +132,13 @@ class Model:
     def __init__(self, labels: list[str], index: dict[str, int], weights: np.ndarray, transition: np.ndarray):
         self.labels, self.index, self.weights, self.transition = labels, index, weights, transition
 
+    def ready(self) -> Model:
+        """The model in a worker, with its memory of words."""
+        if not hasattr(self, "known"):
+            self.prepare()
+        Memory.use("language", self.prepare)
+        return self
+
     def prepare(self) -> None:
         self.known = _Rows(self)
         self.rows = np.zeros((1 << 12, len(self.labels)), np.float32)
@@ -248,15 +256,17 @@ def fit(texts: list[str], langs: list[str], steps: int = 25, least: int = 3, rat
     return Model(labels, index, w.astype(np.float32), move)
 
 
-def train(docs: DataFrame, per_label: int = PER_LABEL, most: int = SAMPLE_MOST) -> Model:
-    """Fits on about per_label (expected) labelled rows per label, `most` in all, of those with crc32(id) mod 4 not 2."""
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (crc_mod("doc_id", PARTS) != HOLD))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+def train(docs: DataFrame, per_label: int = PER_LABEL, most: int = SAMPLE_MOST, most_chars: int = SAMPLE_CHARS) -> Model:
+    """Fits on labelled rows with crc32(id) mod 4 not 2 and texts of at most most_chars characters: of every label the row of smallest hash, and by the hash about
+    per_label (less, where there are more than most / per_label labels) others."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    rows = docs.select("doc_id", "text", "lang", h.alias("h")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars) & (crc_mod("doc_id", PARTS) != HOLD))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).orderBy("lang").limit(most).collect()
     if not counts:
         return fit([], [])
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_label / n))])
-    got = rows.filter(F.col("text").isNotNull() & (h < share[F.col("lang")] * (1 << 40))).orderBy(h, "doc_id", "text").select("text", "lang").limit(most).toArrow()
+    per_label = min(per_label, max(1, most // len(counts)))
+    upto = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["least"], int(min(1.0, per_label / r["n"]) * (1 << 40))))])
+    got = rows.filter(F.col("h") <= upto[F.col("lang")]).orderBy("h", "doc_id", "text").select("text", "lang").toArrow()
     return fit(got["text"].to_pylist(), got["lang"].to_pylist())
 
 
@@ -265,35 +275,23 @@ def label_documents(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
-        m = shared.value
-        if not hasattr(m, "known"):
-            m.prepare()
+        m = shared.value.ready()
         for b in batches:
             labels, scores = m.predict(b["text"])
             yield {"doc_id": b["doc_id"], "lang_pred": labels, "score": scores}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), predict, "doc_id long, lang_pred string, score double")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), predict, "doc_id long, lang_pred string, score double", piece=16 << 20)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.4) -> DataFrame:
     """Pipeline stage: documents whose language is known and holds at least `least` of the words' marginals; all columns stay."""
     shared = spark.sparkContext.broadcast(train(docs))
-    names = docs.columns
-
-    def keep(batches):
-        m = shared.value
-        if not hasattr(m, "known"):
-            m.prepare()
-        for b in batches:
-            labels, scores = m.predict(b["text"])
-            rows = [i for i, (x, s) in enumerate(zip(labels, scores)) if x != UND and s >= least]
-            yield {c: [b[c][i] for i in rows] for c in names}
-
-    return arrow_map(docs, keep, _ddl(docs))
 
+    def keep(texts):
+        labels, scores = shared.value.ready().predict(texts)
+        return [x != UND and s >= least for x, s in zip(labels, scores)]
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return arrow_filter(docs, keep, "text", piece=16 << 20)
 
 
 def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
