@@ -19,6 +19,7 @@ from random import Random
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,23 +32,26 @@ BLOCK_ITEMS = 4096
 ISLANDS = 2
 WELL_FILLED = 0.99
 SHRINK = 0.9
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
+_NAMES = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def cut_documents(docs: DataFrame, tokenizer: str = WORD, end: int = END, capacity: int = CAPACITY) -> DataFrame:
-    """A row per piece of every document's ids: doc_id, piece, start, length, ids_crc32."""
+    """A row per piece of every document's ids: row (a number of its own), doc_id, piece, start, length, ids_crc32. To be written before it is used:
+    the numbers belong to one run."""
 
     def cut(batches):
-        enc, stop = encoder(tokenizer), end_bytes(end)
+        enc, stop, row = encoder(tokenizer), end_bytes(end), TaskContext.get().partitionId() << 33
         for b in batches:
             rows = []
             for d, t in zip(b["doc_id"], b["text"]):
                 ids = memoryview(enc.ids(t) + stop)
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((d, n, at // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((row, d, n, at // 4, len(part) // 4, zlib.crc32(part)))
+                    row += 1
             if rows:
-                yield dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), map(list, zip(*rows))))
+                yield dict(zip(_NAMES, map(list, zip(*rows))))
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, _PIECE)
 
@@ -144,14 +148,13 @@ def _islands(items: DataFrame, level: int, capacity: int, islands: int, migrated
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         island, block = int(frame["island"].iloc[0]), int(frame["block"].iloc[0])
-        order = ["doc_id", "piece", "start", "ids_crc32", "length"]
         own = frame[frame["source"] == island] if migrated else frame
-        own = own.sort_values(order, kind="stable").reset_index(drop=True)
+        own = own.sort_values("row").reset_index(drop=True)
         sizes = own["length"].astype(int).tolist()
         start = []
         if migrated:
             for _, part in frame.groupby("source"):
-                part = part.sort_values(order + ["bin"], kind="stable").reset_index(drop=True)
+                part = part.sort_values("row").reset_index(drop=True)
                 p = Packing(sizes, capacity)
                 for _, rows in part.groupby("bin").indices.items():
                     p.bins.append(rows.tolist())
@@ -166,13 +169,14 @@ def _islands(items: DataFrame, level: int, capacity: int, islands: int, migrated
                 place[x], fill[x], offset[x] = n, best.fills[n], at
                 at += sizes[x]
         n, square = best.key()
-        return own.assign(bin=place, fill=fill, offset=offset, n_bins=n, square=square)[["block", "island", "doc_id", "piece", "start", "length", "ids_crc32", "bin", "fill", "offset", "n_bins", "square"]]
+        return own.assign(bin=place, fill=fill, offset=offset, n_bins=n, square=square)[["block", "island", *_NAMES, "bin", "fill", "offset", "n_bins", "square"]]
 
     return items.groupBy("block", "island").applyInPandas(run, f"block long, island int, {_PIECE}, bin long, fill long, offset long, n_bins long, square double")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS) -> DataFrame:
-    """Adds sequence_id and offset to pieces of at most the capacity."""
+    """Adds sequence_id and offset to written pieces (as of cut_documents()) of at most the capacity. Blocks are dealt by the row's number, so repeated rows
+    spread like others."""
     scratch = Scratch(pieces.sparkSession, "pack")
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     out = pieces.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(names)
@@ -180,13 +184,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_I
     n = rest.count()
     while n:
         blocks = math.ceil(n / block_items)
-        items = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(blocks)).cast("long"))
+        items = rest.withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(blocks)).cast("long"))
         items = items.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
         first = scratch.table(f"epoch1-{level}", _islands(items, level, capacity, islands, migrated=False))
         sent = first.withColumn("source", F.col("island"))
         moved = sent.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
         both = sent.unionByName(moved) if islands > 1 else sent
-        done = scratch.table(f"epoch2-{level}", _islands(both.select("block", "island", "source", "doc_id", "piece", "start", "length", "ids_crc32", "bin"), level, capacity, islands, migrated=True))
+        done = scratch.table(f"epoch2-{level}", _islands(both.select("block", "island", "source", *_NAMES, "bin"), level, capacity, islands, migrated=True))
         best = done.groupBy("block").agg(F.min(F.struct("n_bins", "square", "island")).alias("b")).select("block", F.col("b.island").alias("island"))
         won = done.join(best, ["block", "island"])
         keep = F.col("fill") >= int(WELL_FILLED * capacity)
@@ -199,7 +203,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_I
         scratch.drop(f"epoch1-{level}")
         if last:
             break
-        rest, level, n = won.filter(~keep).select("doc_id", "piece", "start", "length", "ids_crc32"), level + 1, left
+        rest, level, n = won.filter(~keep).select(_NAMES), level + 1, left
     return out
 
 
