@@ -1,10 +1,13 @@
 """Operator 10, nearest neighbours by cosine: a block matrix join.
 
-Queries come in blocks of a bounded size; each block is joined with all rows in one scan. Vectors are scaled to unit length and rounded to
-int8. A tile of products of small integers (exact in float32, dimensions up to 1000) gives each cosine within a bound from the rounding residues of
+Queries come in blocks of a bounded size; each block is joined with all rows in one scan, and its answers are written before the next block is
+broadcast, so one block is held at a time. Vectors are scaled to unit length and rounded to
+int8. A tile of products of small integers (exact in float32 up to dimension EXACT, in float64 beyond) gives each cosine within a bound from the rounding residues of
 both vectors. Pairs whose upper bound reaches the k-th best so far are recomputed in double on the original vectors and
 merged by heaps; the heaps of all tasks meet in one window per query.
 
+Cosines are taken in double on the original vectors, scaled by powers of two (which changes no digit) so that products neither overflow nor vanish.
+
 Vectors that are null, empty, zero, or hold null or non-finite components take no part; so do ids that are null. Vectors are compared with those of
 their own length only. Ties go to the smaller vec_id. Repeated ids count once (the best score). Among equal vectors of a batch only the
 k + 1 smallest distinct ids can be in an answer, so only those are kept. An empty table gives an empty result. Further columns are ignored.
@@ -24,6 +27,7 @@ from .common import Scratch, arrow_map, table
 K = 5
 EVERY = 50
 BLOCK = 8192
+EXACT = 1000
 
 
 def _matrices(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -39,7 +43,9 @@ def _matrices(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarra
         x, i = np.array(b, np.float64), np.array(a, np.int64)
         ok = np.isfinite(x).all(1) & (np.abs(x).max(1) > 0)
         if ok.any():
-            done[d] = i[ok], x[ok]
+            x = x[ok]
+            _, power = np.frexp(np.abs(x).max(1))
+            done[d] = i[ok], np.ldexp(x, -power[:, None])
     return done
 
 
@@ -49,11 +55,10 @@ def _norms(x: np.ndarray) -> np.ndarray:
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(int8 rows as float32, scales, lengths of the rounding residues) of unit vectors."""
-    u = x / np.abs(x).max(1, keepdims=True)
-    u /= _norms(u)[:, None]
+    u = x / _norms(x)[:, None]
     scale = np.abs(u).max(1) / 127
     q = np.rint(u / scale[:, None]).astype(np.int8)
-    return q.astype(np.float32), scale, _norms(u - q * scale[:, None]) + 1e-9
+    return q.astype(np.float32 if x.shape[1] <= EXACT else np.float64), scale, _norms(u - q * scale[:, None]) + 1e-9
 
 
 def _few_per_vector(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,28 +134,38 @@ class BlockSearch:
 
 def block_matrix_join(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest rows. Both sides have vec_id and embedding. The queries are
-    gathered block by block (at most about `block` of them at once), the rows are scanned once per block."""
+    gathered block by block (about `block` of them at once), the rows are scanned once per block. A query id with several vectors asks with the least of
+    those that take part."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "knn")
-    q = scratch.table("queries", queries.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding")))
+    valid = "embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(embedding, x -> x <> 0)"
+    q = queries.filter("vec_id IS NOT NULL").filter(valid).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
+    q = scratch.table("queries", q)
     blocks = max(1, -(-q.count() // block))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    found = None
-    for i in range(blocks):
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def answers(i: int) -> DataFrame:
         got = q.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow()
         here = spark.sparkContext.broadcast(_matrices(got["vec_id"].to_pylist(), got["embedding"].to_pylist()))
 
-        def search(batches, here=here):
+        def search(batches):
             s = BlockSearch(here.value, k)
             for b in batches:
                 s.add(b["vec_id"], b["embedding"])
             yield from s.rows()
 
-        part = arrow_map(rows, search, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = arrow_map(rows, search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:
+            found = scratch.table(f"found-{i}", found)
+            here.destroy()
+        return found
+
+    out = answers(0)
+    for i in range(1, blocks):
+        out = out.unionByName(answers(i))
+    return out
 
 
 def op10_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
