@@ -172,7 +172,7 @@ def test_gru_learns_from_every_training_row(spark):
     """Word order of the rows behind the first START_DOCS (by hash) counts as well, and groups cover all words."""
     from pyspark.sql import functions as F
 
-    from tidewake.llm.gru_lm import PARTS, HOLD, START_DOCS, Scorer, crc_mod, fit, score_documents, word_counts
+    from tidewake.llm.gru_lm import PARTS, HOLD, START_DOCS, Scorer, crc_mod, fit, prepared, score_documents, word_counts
 
     n = 2 * START_DOCS
     ids = spark.range(n).withColumnRenamed("id", "doc_id")
@@ -186,7 +186,8 @@ def test_gru_learns_from_every_training_row(spark):
     counts = word_counts(docs).collect()
     total = sum(r["trained"] for r in counts)
     scorer = Scorer([(bytes(r["word"]), r["trained"]) for r in counts], total, len(counts))
-    assert fit(docs, scorer, group_words=3000) == total == 9 * sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(n))
+    rows = prepared(docs, spark.sparkContext.broadcast(scorer)).cache()
+    assert fit(rows, scorer, group_words=3000) == total == 9 * sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(n))
 
 
 def test_gru_gradients_and_normalisation():

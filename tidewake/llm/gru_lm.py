@@ -5,7 +5,8 @@ vocabulary, dealt into classes by frequency; a word outside it is the tail class
 counts, one share standing for all unseen words. The output is a class-factored softmax: P(class | state) * P(word | class, state). The state is carried across windows through the whole
 document, so a score is the log-likelihood of the complete text; in training, gradients are truncated at window borders.
 
-All counts cover all documents. The network's weights are fitted on all training documents: groups of about GROUP_WORDS words, dealt by hash, train side by side from one
+All counts cover all documents. After them one pass over the texts writes every row's token numbers, known sums and rare words under a number of its own; training,
+scoring and the join of rare words read that table. The network's weights are fitted on all training documents: groups of about GROUP_WORDS words, dealt by hash, train side by side from one
 starting point (a pass over START_DOCS documents), and their weights are averaged by words; the number of groups grows with the input.
 Counts of the KNOWN most frequent words are broadcast (a fixed bound); all other words meet their counts in a join on the word.
 
@@ -15,15 +16,16 @@ untrained network. An empty table gives an empty result. Further columns are ign
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, crc_mod, table, words_of
+from .common import Memory, Scratch, arrow_map, crc_mod, table, words_of
 
 PARTS, HOLD = 5, 1
 VOCABULARY = 2048
@@ -32,7 +34,7 @@ HIDDEN = 16
 KNOWN = 131_072
 START_DOCS, START_WORDS = 1500, 300_000
 LANES, WINDOW = 48, 20
-GROUP_WORDS, CHUNK_WORDS, GROUP_LANES, GROUP_RATE = 2_000_000, 500_000, 192, 0.005
+GROUP_WORDS, CHUNK_WORDS, GROUP_LANES, GROUP_RATE = 2_000_000, 500_000, 384, 0.007
 SLICES = 64
 END = b"\n"  # no word holds white space
 
@@ -67,7 +69,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)  # exp stays finite
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x *= 2
+    _sigmoid(x)
+    x *= 2
+    x -= 1
+    return x
 
 
 class Network:
@@ -105,7 +121,7 @@ class Network:
         gx, gh = self.w["x"][tokens], h @ self.w["u"]
         zr = _sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
         z, r = zr[:, :k], zr[:, k:]
-        c = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
+        c = _tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
         return c + z * (h - c), (zr, c, gh)
 
     def class_of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,37 +129,43 @@ class Network:
         return np.where(tail, 0, 1 + tokens // self.per), np.where(tail, 0, tokens % self.per)
 
     def outputs(self, h: np.ndarray, tokens: np.ndarray, grads: bool = False):
-        """Natural log probability of each token at its state; with grads, also d(-sum)/dh and adds the output gradients."""
+        """Natural log probability of each token at its state; with grads, also d(-sum)/dh and the output gradients."""
         cls, place = self.class_of(tokens)
         a = h @ self.w["c"] + self.w["cb"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1)
+        e = np.exp(np.minimum(a, 80, out=a))  # biases are at most 0, states within 1: far from any overflow
+        s = e @ np.ones(self.classes, np.float32)
         at = np.arange(len(h))
         lp = a[at, cls] - np.log(s)
         if grads:
-            g = e / s[:, None]
-            g[at, cls] -= 1
-            d = {"c": h.T @ g, "cb": g.sum(0), "o": np.zeros_like(self.w["o"]), "ob": np.zeros_like(self.w["ob"])}
-            dh = g @ self.w["c"].T
+            e /= s[:, None]
+            e[at, cls] -= 1
+            d = {"c": h.T @ e, "cb": np.ones(len(h), np.float32) @ e, "o": np.zeros_like(self.w["o"]), "ob": np.zeros_like(self.w["ob"])}
+            dh = e @ self.w["c"].T
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        edges = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        hs, places = h.take(order, 0), place.take(order)
+        every = np.ones(self.per, np.float32)
+        more, back = np.zeros(len(h), lp.dtype), np.zeros_like(h) if grads else None
         for k in range(1, self.classes):
-            rows = order[edges[k] : edges[k + 1]]
-            if not len(rows):
+            i, j = edges[k], edges[k + 1]
+            if i == j:
                 continue
-            b = h[rows] @ self.w["o"][k].T + self.w["ob"][k]
-            b -= b.max(1, keepdims=True)
-            f = np.exp(b)
-            t = f.sum(1)
-            i, p = np.arange(len(rows)), place[rows]
-            lp[rows] += b[i, p] - np.log(t)
+            own, to = hs[i:j], (np.arange(j - i), places[i:j])
+            b = own @ self.w["o"][k].T
+            b += self.w["ob"][k]
+            f = np.exp(np.minimum(b, 80, out=b))
+            t = f @ every
+            more[i:j] = b[to] - np.log(t)
             if grads:
                 f /= t[:, None]
-                f[i, p] -= 1
-                d["o"][k], d["ob"][k] = f.T @ h[rows], f.sum(0)
-                dh[rows] += f @ self.w["o"][k]
-        return (lp, dh, d) if grads else lp
+                f[to] -= 1
+                d["o"][k], d["ob"][k] = f.T @ own, f.sum(0)
+                back[i:j] = f @ self.w["o"][k]
+        lp[order] += more
+        if not grads:
+            return lp
+        dh[order] += back
+        return lp, dh, d
 
     def moments(self) -> dict:
         """Optimiser state of a run of train() calls."""
@@ -165,28 +187,32 @@ class Network:
             b = min(a + WINDOW, n)
             m["turn"] += 1
             turn, tokens = m["turn"], np.maximum(x[a:b], 0)
-            before, saved = np.empty((b - a, lanes, k), np.float32), []
-            for t in range(b - a):
+            size = b - a
+            before, gates, news, pulls = (np.empty((size, lanes, n * k), np.float32) for n in (1, 2, 1, 1))
+            for t in range(size):
                 h = np.where(new[a + t][:, None], np.float32(0), h)
                 before[t] = h
-                h, s = self.step(tokens[t], h)
-                saved.append(s)
+                h, (gates[t], news[t], gh) = self.step(tokens[t], h)
+                pulls[t] = gh[:, 2 * k :]
             real = x[a:b] >= 0
             dh_out = np.zeros_like(before)
             _, dh_out[real], g = self.outputs(before[real], x[a:b][real], grads=True)
-            gx, gg = np.empty((b - a, lanes, 3 * k), np.float32), np.empty((b - a, lanes, 3 * k), np.float32)
-            dh, back = np.zeros((lanes, k), np.float32), self.w["u"].T  # from later windows: cut off
-            for t in range(b - a - 1, -1, -1):
-                (zr, c, gh), hp = saved[t], before[t]
-                z, r = zr[:, :k], zr[:, k:]
-                dc = dh * (1 - z) * (1 - c * c)
-                gx[t, :, :k] = dh * (hp - c) * z * (1 - z)
-                gx[t, :, k : 2 * k] = dc * gh[:, 2 * k :] * r * (1 - r)
-                gx[t, :, 2 * k :] = dc
-                gg[t, :, : 2 * k] = gx[t, :, : 2 * k]
-                gg[t, :, 2 * k :] = dc * r
-                dh = dh * z + gg[t] @ back + dh_out[t]
-                dh[new[a + t]] = 0
+            z, r = gates[:, :, :k], gates[:, :, k:]
+            to_new, to_z, to_r = (1 - z) * (1 - news * news), (before - news) * z * (1 - z), pulls * r * (1 - r)
+            gx, gg = np.empty((size, lanes, 3 * k), np.float32), np.empty((size, lanes, 3 * k), np.float32)
+            dh, back, going = np.zeros((lanes, k), np.float32), self.w["u"].T.copy(), ~new[a:b, :, None]  # from later windows: cut off
+            for t in range(size - 1, -1, -1):
+                dc = dh * to_new[t]
+                own = gx[t]
+                np.multiply(dh, to_z[t], out=own[:, :k])
+                np.multiply(dc, to_r[t], out=own[:, k : 2 * k])
+                own[:, 2 * k :] = dc
+                gg[t] = own
+                gg[t, :, 2 * k :] *= r[t]
+                dh *= z[t]
+                dh += gg[t] @ back
+                dh += dh_out[t]
+                dh *= going[t]
             g["u"] = before.reshape(-1, k).T @ gg.reshape(-1, 3 * k)
             flat = tokens.ravel()
             order = np.argsort(flat, kind="stable")
@@ -196,10 +222,19 @@ class Network:
             scale = np.float32(1 / real.sum())
             lr = rate * min(1.0, turn / 20) * max(0.1, 1 - done - share * a / n)
             for q, v in self.w.items():
-                d = np.clip(g[q] * scale, -1, 1)
-                m[q][0] += 0.1 * (d - m[q][0])
-                m[q][1] += 0.002 * (d * d - m[q][1])
-                v -= (lr * (m[q][0] / (1 - 0.9**turn)) / (np.sqrt(m[q][1] / (1 - 0.998**turn)) + 1e-8)).astype(np.float32)
+                d = g[q]
+                d *= scale
+                np.minimum(np.maximum(d, -1, out=d), 1, out=d)
+                first, second = m[q]
+                first *= 0.9
+                first += 0.1 * d
+                second *= 0.998
+                d *= d
+                d *= 0.002
+                second += d
+                step = np.sqrt(second * np.float32(1 / (1 - 0.998**turn)), out=d)
+                step += 1e-8
+                v -= first * np.float32(lr / (1 - 0.9**turn)) / step
             self.w["ob"][dead] = -1e9
 
     def log_likelihoods(self, docs: list[np.ndarray], lanes: int = 512, window: int = 64) -> np.ndarray:
@@ -208,21 +243,19 @@ class Network:
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         for s in range(0, len(order), lanes):
             group = order[s : s + lanes]
-            lengths = np.array([len(docs[i]) for i in group])
+            flat, lengths = np.concatenate([docs[i] for i in group]), np.array([len(docs[i]) for i in group])
+            begin = np.cumsum(lengths) - lengths
             h = np.zeros((len(group), self.hidden), np.float32)
             total = np.zeros(len(group))
             for a in range(0, int(lengths[0]), window):
                 live = int((lengths > a).sum())
-                size = min(window, int(lengths[0]) - a)
-                x = np.full((size, live), -1, np.int32)
-                for j in range(live):
-                    part = docs[group[j]][a : a + window]
-                    x[: len(part), j] = part
-                h, states = h[:live], np.empty((size, live, self.hidden), np.float32)
-                for t in range(size):
+                place = np.arange(a, min(a + window, int(lengths[0])))[:, None]
+                real = place < lengths[None, :live]
+                x = flat.take(np.where(real, begin[None, :live] + place, 0))
+                h, states = h[:live], np.empty((len(x), live, self.hidden), np.float32)
+                for t in range(len(x)):
                     states[t] = h
-                    h, _ = self.step(np.maximum(x[t], 0), h)
-                real = x >= 0
+                    h, _ = self.step(x[t], h)
                 lp = np.zeros(x.shape)
                 lp[real] = self.outputs(states[real], x[real])
                 total[:live] += lp.sum(0)
@@ -253,45 +286,65 @@ class Scorer:
         cols = list(zip(*rows))
         self.token, self.log, self.have, self.share = np.array(cols[0], np.int32), np.array(cols[1]), np.array(cols[2]), np.array(cols[3])
 
-    def rows_of(self, words: list[bytes]) -> np.ndarray:
-        other = len(self.at)
-        get = self.at.get
-        return np.array([get(w, other) for w in words], np.int64)
 
+def prepared(docs: DataFrame, shared) -> DataFrame:
+    """A row per document under a number of its own (key): doc_id, train, h (a hash of the id, for an order), n_tokens, n_known, base_score, share (log10 parts that
+    the broadcast counts tell), tail (tokens outside the vocabulary), tokens (16-bit numbers), and the words without broadcast counts with their times."""
+    columns = ["key", "doc_id", "train", "h", "n_tokens", "n_known", "base_score", "share", "tail", "tokens", "rare", "times"]
+
+    def prepare(batches):
+        from collections import Counter
 
-def start(docs: DataFrame, scorer: Scorer, most_docs: int = START_DOCS, most_words: int = START_WORDS) -> None:
-    """Common starting point of all groups: a pass over a few training documents, so that the groups' weights can be averaged."""
-    h = F.xxhash64("doc_id")
-    got = docs.filter((crc_mod("doc_id", PARTS) != HOLD) & F.col("text").isNotNull()).orderBy(h, "doc_id", "text").select("text").limit(most_docs).toArrow()["text"].to_pylist()
-    stream, starts, n = [], [], 0
+        s, key = shared.value, TaskContext.get().partitionId() << 33
+        if not hasattr(s, "at"):
+            s.prepare()
+        Memory.use("gru", lambda: None)
+        other, get = len(s.at), s.at.get
+        for b in batches:
+            out = {k: [] for k in columns}
+            out |= {k: b[k] for k in ("doc_id", "train", "h")}
+            for t in b["text"]:
+                words = [*words_of(t), END]
+                r = np.fromiter(map(get, words, itertools.repeat(other)), np.int64, len(words))
+                tokens = s.token[r]
+                rare = Counter(words[i] for i in np.flatnonzero(r == other).tolist())
+                row = (key, len(words), int(s.have[r].sum()), float(s.log[r].sum()) - len(words) * s.base, float(s.share[r].sum()), int((tokens == s.network.words).sum()), tokens.astype("<u2").tobytes(), list(rare.keys()), list(rare.values()))
+                for k, x in zip(("key", *columns[4:]), row):
+                    out[k].append(x)
+                key += 1
+            yield out
+
+    train = F.coalesce(crc_mod("doc_id", PARTS) != HOLD, F.lit(False)).alias("train")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train, F.xxhash64("doc_id").alias("h"), "text")
+    return arrow_map(rows, prepare, "key long, doc_id long, train boolean, h long, n_tokens long, n_known long, base_score double, share double, tail long, tokens binary, rare array<binary>, times array<long>")
+
+
+def start(rows: DataFrame, scorer: Scorer, most_docs: int = START_DOCS, most_words: int = START_WORDS) -> None:
+    """Common starting point of all groups: a pass over a few training rows, so that the groups' weights can be averaged."""
+    got = rows.filter("train").orderBy("h", "tokens").select("tokens").limit(most_docs).toArrow()["tokens"].to_pylist()
+    stream, n = [], 0
     for t in got:
         if n >= most_words:
             break
-        words = [*words_of(t), END]
-        stream += [scorer.place.get(w, scorer.network.words) for w in words]
-        starts += [True] + [False] * (len(words) - 1)
-        n += len(words)
-    scorer.network.train(np.array(stream, np.int64), np.array(starts, bool))
+        stream.append(np.frombuffer(t, "<u2").astype(np.int64))
+        n += len(stream[-1])
+    if stream:
+        scorer.network.train(np.concatenate(stream), np.concatenate([np.arange(len(x)) == 0 for x in stream]))
 
 
-def fit(docs: DataFrame, scorer: Scorer, group_words: int = GROUP_WORDS) -> int:
-    """Fits the network on every training row: rows are dealt by hash into groups of about group_words words, each group trains from the common start over
-    all its rows, in the order of their hashes, and the groups' weights are averaged by their numbers of words. Returns the words trained on."""
+def fit(rows: DataFrame, scorer: Scorer, group_words: int = GROUP_WORDS) -> int:
+    """Fits the network on every training row of prepared(): rows are dealt by a hash of their numbers (so repeated rows spread) into groups of about
+    group_words words, each group trains from the common start over all its rows, in the order of their ids' hashes, and the groups' weights are averaged by their numbers of words. Returns the words trained on."""
     if not scorer.total:
         return 0
-    start(docs, scorer)
-    spark, groups = docs.sparkSession, max(1, round(scorer.total / group_words))
-    shared, expected = spark.sparkContext.broadcast((scorer.place, scorer.network)), scorer.total / groups
-
-    def tokens(batches):
-        place, network = shared.value
-        for b in batches:
-            yield {"h": b["h"], "tokens": [np.array([place.get(w, network.words) for w in (*words_of(t), END)], ">u2").tobytes() for t in b["text"]]}
+    start(rows, scorer)
+    spark, groups = rows.sparkSession, max(1, round(scorer.total / group_words))
+    shared, expected = spark.sparkContext.broadcast(scorer.network), scorer.total / groups
 
     def learn(batches):
         import copy
 
-        network, stream, starts, held, n = copy.deepcopy(shared.value[1]), [], [], 0, 0
+        network, stream, starts, held, n = copy.deepcopy(shared.value), [], [], 0, 0
         state = network.moments()
 
         def flush():
@@ -303,7 +356,7 @@ def fit(docs: DataFrame, scorer: Scorer, group_words: int = GROUP_WORDS) -> int:
 
         for b in batches:
             for t in b["tokens"]:
-                x = np.frombuffer(t, ">u2").astype(np.int64)
+                x = np.frombuffer(t, "<u2").astype(np.int64)
                 stream.append(x)
                 starts.append(np.arange(len(x)) == 0)
                 held += len(x)
@@ -321,9 +374,8 @@ def fit(docs: DataFrame, scorer: Scorer, group_words: int = GROUP_WORDS) -> int:
         words = int(frame["words"].sum())
         return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "words": [words], "weights": [(total / words).astype(np.float32).tobytes()]})
 
-    rows = docs.filter(crc_mod("doc_id", PARTS) != HOLD).select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    dealt = arrow_map(rows, tokens, "h long, tokens binary").repartition(groups, "h").sortWithinPartitions("h", "tokens")
-    learned = arrow_map(dealt, learn, "slice int, words long, weights binary")
+    dealt = rows.filter("train").select("h", "tokens", F.xxhash64("key").alias("deal")).repartition(groups, "deal").sortWithinPartitions("h", "tokens")
+    learned = arrow_map(dealt.select("tokens"), learn, "slice int, words long, weights binary")
     got = learned.groupBy("slice").applyInPandas(mean, "slice int, words long, weights binary").orderBy("slice").collect()
     flat, at = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in got]), 0
     for q, v in scorer.network.w.items():
@@ -332,6 +384,18 @@ def fit(docs: DataFrame, scorer: Scorer, group_words: int = GROUP_WORDS) -> int:
     return got[0]["words"]
 
 
+def network_scores(rows: DataFrame, network: Network) -> DataFrame:
+    """(key, lp): the network's log10 probability of every prepared row's tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast(network)
+
+    def score(batches):
+        for b in batches:
+            tokens = [np.frombuffer(t, "<u2").astype(np.int32) for t in b["tokens"]]
+            yield {"key": b["key"], "lp": shared.value.log_likelihoods(tokens) / math.log(10)}
+
+    return arrow_map(rows.select("key", "tokens"), score, "key long, lp double", piece=1 << 20)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
@@ -341,70 +405,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
     total, distinct = int(got[0]), int(got[1])
     top = counts.orderBy(F.desc("seen"), "word").limit(KNOWN).select("word", "trained").toArrow()
     scorer = Scorer(list(zip(map(bytes, top["word"].to_pylist()), top["trained"].to_pylist())), total, distinct)
-    fit(docs, scorer)
-    shared = spark.sparkContext.broadcast(scorer)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def key_of(d, t) -> int:
-        return int(np.uint64(xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass"), seed=(d or 0) & 0xFFFFFFFF)).view(np.int64))
-
-    def score(batches):
-        s = shared.value
-        if not hasattr(s, "at"):
-            s.prepare()
-        for b in batches:
-            at, size = 0, len(b["text"])
-            while at < size:
-                out = {k: [] for k in ("key", "doc_id", "n_tokens", "n_known", "base_score", "score")}
-                tokens, words = [], 0
-                while at < size and words < 500_000:
-                    d, t = b["doc_id"][at], b["text"][at]
-                    r = s.rows_of([*words_of(t), END])
-                    tail = int((s.token[r] == s.network.words).sum())
-                    tokens.append(s.token[r])
-                    words += len(r)
-                    out["key"].append(key_of(d, t))
-                    out["doc_id"].append(d)
-                    out["n_tokens"].append(len(r))
-                    out["n_known"].append(int(s.have[r].sum()))
-                    out["base_score"].append(float(s.log[r].sum()) - len(r) * s.base)
-                    out["score"].append(float(s.share[r].sum()) - tail * s.tail)
-                    at += 1
-                lp = s.network.log_likelihoods(tokens) / math.log(10)
-                out["score"] = [x + y for x, y in zip(out["score"], lp.tolist())]
-                yield out
-
-    def tails(batches):
-        from collections import Counter
-
-        s = shared.value
-        if not hasattr(s, "at"):
-            s.prepare()
-        for b in batches:
-            keys, words, times = [], [], []
-            for d, t in zip(b["doc_id"], b["text"]):
-                rare = Counter(w for w in words_of(t) if w not in s.at)
-                if rare:
-                    keys += [key_of(d, t)] * len(rare)
-                    words += rare.keys()
-                    times += rare.values()
-                if len(keys) > 200_000:
-                    yield {"key": keys, "word": words, "times": times}
-                    keys, words, times = [], [], []
-            yield {"key": keys, "word": words, "times": times}
-
-    scored = arrow_map(rows, score, "key long, doc_id long, n_tokens long, n_known long, base_score double, score double")
-    rare = arrow_map(rows, tails, "key long, word binary, times long")
+    rows = scratch.table("prepared", prepared(docs, spark.sparkContext.broadcast(scorer)))
+    fit(rows, scorer)
     c = F.coalesce("trained", F.lit(0))
+    rare = rows.filter(F.size("rare") > 0).select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     rare = rare.join(counts.select("word", "trained"), "word", "left").groupBy("key").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(F.lit(0))).alias("more_known"), F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"))
-    # A key is a row's id and text, so repeated rows meet here and are told apart again by their number.
-    both = scored.withColumn("rows", F.lit(1)).withColumn("more_known", F.lit(0).cast("long")).withColumn("more", F.lit(0.0)).unionByName(
-        rare.select("key", *[F.lit(None).cast("long").alias(x) for x in ("doc_id", "n_tokens", "n_known")], *[F.lit(None).cast("double").alias(x) for x in ("base_score", "score")], F.lit(0).alias("rows"), "more_known", "more"))
-    one = both.groupBy("key").agg(*[F.max(x).alias(x) for x in ("doc_id", "n_tokens", "n_known", "base_score", "score")], F.sum("rows").alias("rows"), F.sum("more_known").alias("more_known"), F.sum("more").alias("more"))
-    share = lambda x: F.col(x) / F.col("rows")
-    one = one.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return one.select("doc_id", "n_tokens", (F.col("n_known") + share("more_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + share("more")).alias("base_score"), (F.col("score") + share("more")).alias("score"))
+    known = rows.select("key", "doc_id", "n_tokens", "n_known", "base_score", "share", "tail")
+    one = known.join(network_scores(rows, scorer.network), "key").join(rare, "key", "left")
+    more = F.coalesce("more", F.lit(0.0))
+    return one.select(
+        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base_score") + more).alias("base_score"), (F.col("lp") + F.col("share") - F.col("tail") * F.lit(scorer.tail) + more).alias("score"))
 
 
 def op6_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
