@@ -12,30 +12,45 @@ from ..columns import AIS, Spec
 from ..functions.exprs import haversine_m
 
 METRES_PER_DEGREE = 111_194.9  # of latitude, on the sphere in use; cells are a little larger than the radius
+EARTH_M = 6_371_008.8
 BROADCAST_AREAS = 20_000
 
 
-def _cells(radius_m: float, max_abs_lat: float) -> tuple[float, float]:
-    """(degrees of longitude, of latitude) of a cell that no pair within the radius skips over."""
-    lat = radius_m / METRES_PER_DEGREE * 1.01
-    return min(360.0, lat / max(0.01, math.cos(math.radians(min(89.0, max_abs_lat + 2 * lat))))), lat
+class Grid:
+    """Cells that no two points within the radius skip over, on the whole sphere. Bands of latitude are a radius high; a band is cut into a whole number of
+    cells, each as wide as the radius may reach in longitude anywhere in the band or beside it, so the cells wrap at the date line and are few near the poles."""
 
+    def __init__(self, radius_m: float):
+        self.height = radius_m / METRES_PER_DEGREE * 1.01
+        self.half = math.sin(min(math.pi / 2, radius_m / (2 * EARTH_M))) * 1.01
 
-def _neighbours(df: DataFrame, x: str, y: str) -> DataFrame:
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    return df.withColumn("_d", near).withColumn(x, F.col(x) + F.col("_d.i")).withColumn(y, F.col(y) + F.col("_d.j")).drop("_d")
+    def band(self, lat):
+        return F.floor(lat / self.height)
 
+    def _across(self, band):
+        edge = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(self.height))
+        reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(self.half) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9)))))
+        return F.greatest(F.lit(1), F.floor(F.lit(360.0) / reach))
 
-def pairs_within(df: DataFrame, radius_m: float, frame: str = "ts", s: Spec = AIS, max_abs_lat: float = 60.0, legacy_axes: bool = False) -> DataFrame:
+    def cell(self, lon, band):
+        n = self._across(band)
+        return F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n), n - 1)
+
+    def around(self, lon, band):
+        """The cell and its neighbours in a band, each once."""
+        c, n = self.cell(lon, band), self._across(band)
+        return F.array_distinct(F.array(*[F.pmod(c + i, n) for i in (-1, 0, 1)]))
+
+
+def pairs_within(df: DataFrame, radius_m: float, frame: str = "ts", s: Spec = AIS, legacy_axes: bool = False) -> DataFrame:
     """(frame, src, dst, metres), src < dst, of all pairs of objects of a frame strictly within the radius. Points meet those of their own
-    and the neighbouring cells in an equi-join on frame and cell. max_abs_lat bounds the latitudes (wider cells nearer the poles)."""
-    dx, dy = _cells(radius_m, max_abs_lat if not legacy_axes else 88.0)
-    p = df.select(F.col(frame).alias("frame"), F.col(s.oid).alias("o"), F.col(s.lon).alias("x"), F.col(s.lat).alias("y"), F.floor(F.col(s.lon) / dx).alias("cx"), F.floor(F.col(s.lat) / dy).alias("cy"))
-    # Half of the neighbourhood meets every pair once: the own cell, and four of the eight around it.
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
-    a = p.select("frame", "cx", "cy", F.col("o").alias("oa"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = p.withColumn("_d", near).select("frame", (F.col("cx") + F.col("_d.i")).alias("cx"), (F.col("cy") + F.col("_d.j")).alias("cy"), F.col("o").alias("ob"), F.col("x").alias("bx"), F.col("y").alias("by"), ((F.col("_d.i") == 0) & (F.col("_d.j") == 0)).alias("own"))
-    met = a.join(b, ["frame", "cx", "cy"]).filter(F.when(F.col("own"), F.col("oa") < F.col("ob")).otherwise(F.col("oa") != F.col("ob")))
+    and the neighbouring cells in an equi-join on frame and cell; a point goes to the cells around it in its own band and in the next one, so every pair meets once."""
+    g, (lon, lat) = Grid(radius_m), (s.lat, s.lon) if legacy_axes else (s.lon, s.lat)
+    p = df.select(F.col(frame).alias("frame"), F.col(s.oid).alias("o"), F.col(s.lon).alias("x"), F.col(s.lat).alias("y"), F.col(lon).alias("_lon"), g.band(F.col(lat)).alias("own"))
+    a = p.select("frame", F.col("own").alias("band"), g.cell(F.col("_lon"), F.col("own")).alias("cell"), F.col("o").alias("oa"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = p.withColumn("band", F.explode(F.array("own", F.col("own") + 1))).withColumn("cell", F.explode(g.around(F.col("_lon"), F.col("band"))))
+    b = b.select("frame", "band", "cell", F.col("o").alias("ob"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("band") == F.col("own")).alias("own"))
+    met = a.join(b, ["frame", "band", "cell"]).filter(F.when(F.col("own"), F.col("oa") < F.col("ob")).otherwise(F.col("oa") != F.col("ob")))
     first = F.col("oa") < F.col("ob")
     side = lambda one, other: F.when(first, F.col(one)).otherwise(F.col(other))
     m = haversine_m(side("ax", "bx"), side("ay", "by"), side("bx", "ax"), side("by", "ay"), legacy_axes)
@@ -49,31 +64,33 @@ def area_bounds(areas: DataFrame, radius_m: float) -> DataFrame:
     return areas.select("area_id", (F.col("lon") - dx).alias("west"), (F.col("lon") + dx).alias("east"), (F.col("lat") - dy).alias("south"), (F.col("lat") + dy).alias("north"))
 
 
-def classify_areas(df: DataFrame, areas: DataFrame, radius_m: float = 2000.0, s: Spec = AIS, max_abs_lat: float = 60.0) -> DataFrame:
+def classify_areas(df: DataFrame, areas: DataFrame, radius_m: float = 2000.0, s: Spec = AIS) -> DataFrame:
     """Adds area_id (the last area, by id, that holds the point) and label (-1 inside, 0 outside; later duplicates of object and time get 0).
-    Few areas are broadcast after a count; many meet the points cell by cell."""
-    dx, dy = _cells(radius_m, max_abs_lat)
-    a = areas.select(F.col("area_id").alias("_a"), F.col("lon").alias("_x"), F.col("lat").alias("_y"))
-    key = df.select(*{s.oid: 0, s.ts: 0, s.lon: 0, s.lat: 0, **dict.fromkeys(s.tie, 0)})
-    cells = lambda d, x, y: d.withColumn("_cx", F.floor(F.col(x) / dx)).withColumn("_cy", F.floor(F.col(y) / dy))
-    grid = _neighbours(cells(a, "_x", "_y"), "_cx", "_cy")
+    Areas go to the cells around them, points look up their own. Few areas are broadcast after a count; many meet the points in a shuffle."""
+    g = Grid(radius_m)
+    grid = areas.select(F.col("area_id").alias("_a"), F.col("lon").alias("_x"), F.col("lat").alias("_y"))
+    grid = grid.withColumn("_band", F.explode(F.array(*[g.band(F.col("_y")) + i for i in (-1, 0, 1)]))).withColumn("_cell", F.explode(g.around(F.col("_x"), F.col("_band"))))
+    key = df.select(*{s.oid: 0, s.ts: 0, s.lon: 0, s.lat: 0, **dict.fromkeys(s.tie, 0)}).withColumn("_band", g.band(F.col(s.lat)))
     if areas.limit(BROADCAST_AREAS + 1).count() <= BROADCAST_AREAS:
         grid = F.broadcast(grid)
     ids = [s.oid, s.ts, *s.tie]
-    hit = cells(key, s.lon, s.lat).join(grid, ["_cx", "_cy"]).filter(haversine_m(s.lon, s.lat, "_x", "_y") <= radius_m).groupBy(*ids).agg(F.max("_a").alias("area_id"))
+    hit = key.withColumn("_cell", g.cell(F.col(s.lon), F.col("_band"))).join(grid, ["_band", "_cell"]).filter(haversine_m(s.lon, s.lat, "_x", "_y") <= radius_m).groupBy(*ids).agg(F.max("_a").alias("area_id"))
     out = df.join(hit, ids, "left")
     first = F.row_number().over(Window.partitionBy(s.oid, s.ts).orderBy(*s.tie)) == 1
     return out.withColumn("label", F.when(F.col("area_id").isNotNull() & first, -1).otherwise(0))
 
 
-def nearest_area(df: DataFrame, areas: DataFrame, s: Spec = AIS) -> DataFrame:
-    """Adds nearest: the least planar distance, in degrees, to any area. The areas are folded into one array (a small, counted table)."""
-    n = areas.count()
-    if n > BROADCAST_AREAS:
-        raise ValueError("nearest_area takes at most 20,000 areas; classify_areas() takes any number")
-    pts = areas.agg(F.sort_array(F.collect_list(F.struct("lon", "lat"))).alias("_p"))
+def nearest_area(df: DataFrame, areas: DataFrame, s: Spec = AIS, block: int = BROADCAST_AREAS) -> DataFrame:
+    """Adds nearest: the least planar distance, in degrees, to any area (null without areas). Areas are folded into arrays of about `block` each, one broadcast row
+    per array, and the rows pass by all of them."""
+    blocks = max(1, -(-areas.count() // block))
     d = lambda p: F.sqrt((p["lon"] - F.col(s.lon)) * (p["lon"] - F.col(s.lon)) + (p["lat"] - F.col(s.lat)) * (p["lat"] - F.col(s.lat)))
-    return df.crossJoin(F.broadcast(pts)).withColumn("nearest", F.array_min(F.transform("_p", d))).drop("_p")
+    out = df.withColumn("nearest", F.lit(None).cast("double"))
+    for i in range(blocks):
+        here = areas.filter(F.pmod(F.xxhash64("lon", "lat"), F.lit(blocks)) == i)
+        pts = here.agg(F.sort_array(F.collect_list(F.struct("lon", "lat"))).alias("_p"))
+        out = out.crossJoin(F.broadcast(pts)).withColumn("nearest", F.least("nearest", F.array_min(F.transform("_p", d)))).drop("_p")
+    return out
 
 
 def in_polygons(df: DataFrame, polygons: DataFrame, s: Spec = AIS) -> DataFrame:

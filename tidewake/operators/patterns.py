@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import connected
+
 CLUSTER = "frame long, clusters array<bigint>"
 PATTERN = "clusters array<bigint>, st long, et long"
 
@@ -76,11 +78,17 @@ def numbered(clusters: DataFrame) -> DataFrame:
     return clusters.select("clusters", F.col("frame").alias("st"), F.col("frame").alias("et"))
 
 
-def merge_equal(p: DataFrame) -> DataFrame:
-    return p.groupBy("clusters").agg(F.min("st").alias("st"), F.max("et").alias("et"))
+def translate(positions: DataFrame, rows: DataFrame) -> DataFrame:
+    """Clusters of row positions (frame, cluster, positions) as sorted lists of ids; rows: frame, pos, id."""
+    p = positions.select("frame", "cluster", F.explode("positions").alias("pos"))
+    return p.join(rows, ["frame", "pos"]).groupBy("frame", "cluster").agg(F.array_sort(F.collect_list("id")).alias("clusters"))
+
+
+def merge_equal(p: DataFrame, on: list[str] = ()) -> DataFrame:
+    return p.groupBy(*on, "clusters").agg(F.min("st").alias("st"), F.max("et").alias("et"))
 
 
-def _shared(present: DataFrame, past: DataFrame, on: list[str]) -> DataFrame:
+def shared_members(present: DataFrame, past: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of patterns that share a member, with the shared members: an equi-join on members, grouped."""
     b = present.select(*on, F.col("clusters").alias("b"), F.col("st").alias("bst"), F.col("et").alias("bet"), F.explode("clusters").alias("_m"))
     a = past.select(*on, F.col("clusters").alias("a"), F.col("st").alias("ast"), F.col("et").alias("aet"), F.explode("clusters").alias("_m"))
@@ -91,7 +99,7 @@ def intersection_links(present: DataFrame, past: DataFrame, least: int, on: list
     """The next active patterns: every intersection of at least `least` members (start of the past, end of the present), and each present pattern
     that is no such intersection; equal sets are merged. `on` names columns that keep independent frames apart."""
     on = list(on)
-    s = _shared(present, past, on).filter(F.size("common") >= least)
+    s = shared_members(present, past, on).filter(F.size("common") >= least)
     kept = s.select(*on, F.col("common").alias("clusters"), F.col("ast").alias("st"), F.col("bet").alias("et"))
     whole = s.filter(F.size("common") == F.size("b")).select(*on, F.col("b").alias("clusters")).distinct()
     fresh = present.select(*on, "clusters", "st", "et").join(whole, [*on, "clusters"], "left_anti")
@@ -101,14 +109,14 @@ def intersection_links(present: DataFrame, past: DataFrame, least: int, on: list
 def subset_of_past(present: DataFrame, past: DataFrame, on: list[str] = ()) -> DataFrame:
     """Present patterns; those inside a past one inherit the earliest start."""
     on = list(on)
-    s = _shared(present, past, on).filter(F.size("common") == F.size("b")).groupBy(*on, F.col("b").alias("clusters")).agg(F.min("ast").alias("_s"))
+    s = shared_members(present, past, on).filter(F.size("common") == F.size("b")).groupBy(*on, F.col("b").alias("clusters")).agg(F.min("ast").alias("_s"))
     return present.join(s, [*on, "clusters"], "left").withColumn("st", F.least("st", F.coalesce("_s", "st"))).drop("_s")
 
 
 def past_inside_present(present: DataFrame, past: DataFrame, on: list[str] = ()) -> DataFrame:
     """Past patterns strictly inside a present one live on to its end; those equal to a present one go."""
     on = list(on)
-    s = _shared(present, past, on).filter((F.size("common") == F.size("a")) & (F.size("b") > F.size("a"))).groupBy(*on, F.col("a").alias("clusters")).agg(F.max("bet").alias("_e"))
+    s = shared_members(present, past, on).filter((F.size("common") == F.size("a")) & (F.size("b") > F.size("a"))).groupBy(*on, F.col("a").alias("clusters")).agg(F.max("bet").alias("_e"))
     out = past.join(s, [*on, "clusters"], "left").withColumn("et", F.coalesce("_e", "et")).drop("_e")
     return out.join(present.select(*on, "clusters").distinct(), [*on, "clusters"], "left_anti")
 
@@ -161,17 +169,22 @@ def fold(frames: list[tuple[int, int, list]], least: int, threshold_s: int, last
     return out
 
 
+def meeting_groups(clusters: DataFrame) -> DataFrame:
+    """(object, grp): objects that are in one cluster in some frame, directly or by way of others."""
+    edges = clusters.select(F.element_at("clusters", 1).alias("a"), F.explode("clusters").alias("b")).distinct()
+    return connected(edges).select(F.col("node").alias("object"), F.col("label").alias("grp"))
+
+
 def mine(clusters: DataFrame, frames: DataFrame, least: int = 2, threshold_s: int = 1800, groups: DataFrame | None = None) -> DataFrame:
     """Group patterns (clusters, st, et) by the intersection rule. frames: all frame times; consecutive means the next time present in the data.
-    groups (object, grp) splits the work into objects that never meet, each folded by itself; without it one task folds all clusters (not the points)."""
+    groups (object, grp) splits the work into objects that never meet, each folded by itself; without it they are the components of all frames' clusters.
+    Where most objects meet in the end, mine_partition() and reduce_partitions() split by time instead."""
+    groups = meeting_groups(clusters) if groups is None else groups
     order = frames.select("frame").distinct().withColumn("_i", F.row_number().over(Window.orderBy("frame")).cast("long"))  # a row per frame time
     c = clusters.join(order, "frame")
     top = order.agg(F.max("_i").alias("_top"))
     c = c.crossJoin(F.broadcast(top))  # one row
-    if groups is not None:
-        c = c.withColumn("_o", F.element_at("clusters", 1)).join(groups.select(F.col("object").alias("_o"), "grp"), "_o").drop("_o")
-    else:
-        c = c.withColumn("grp", F.lit(0).cast("long"))
+    c = c.withColumn("_o", F.element_at("clusters", 1)).join(groups.select(F.col("object").alias("_o"), "grp"), "_o").drop("_o")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = fold([(int(i), int(t), [list(map(int, x)) for x in g["clusters"]]) for (i, t), g in pdf.sort_values("_i").groupby(["_i", "frame"])], least, threshold_s, int(pdf["_top"].iloc[0]))
@@ -222,33 +235,42 @@ def reduce_partitions(parts: DataFrame, least: int, step_s: int, threshold_s: in
     return parts.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, PATTERN)
 
 
-def mine_by_containment(clusters: DataFrame, frames: DataFrame, least: int, threshold_s: int) -> DataFrame:
-    """The older rule: only containment links patterns, intersections make none."""
-    order = frames.select("frame").distinct().withColumn("_i", F.row_number().over(Window.orderBy("frame")).cast("long"))
+def mine_by_containment(clusters: DataFrame, least: int, threshold_s: int) -> DataFrame:
+    """The older rule: only containment links patterns, intersections make none. Consecutive frames are those that hold clusters. Objects that never
+    meet are folded apart."""
+    order = clusters.select("frame").distinct().withColumn("_i", F.row_number().over(Window.orderBy("frame")).cast("long"))  # a row per frame time
+    order = order.crossJoin(F.broadcast(order.agg(F.max("frame").alias("_end"))))  # one row
+    order = order.withColumn("_prev", F.lag("frame").over(Window.orderBy("frame")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known: dict = {}
         closed: list = []
-        before = None
-        for (_, t), g in pdf.sort_values("_i").groupby(["_i", "frame"]):
+
+        def close(open_):
+            closed.extend((sorted(a), s, e) for a, (s, e) in open_ if e - s >= threshold_s and len(a) >= least)
+
+        for (_, t, prev), g in pdf.sort_values("_i").groupby(["_i", "frame", "_prev"], dropna=False):
             t = int(t)
             present = {frozenset(map(int, c)): t for c in g["clusters"]}
-            open_ = {c: s for c, (s, e) in known.items() if e == before}
+            open_ = {c: s for c, (s, e) in known.items() if e == prev}
+            close((c, x) for c, x in known.items() if x[1] != prev)
             new = {}
             for b, st in present.items():
                 new[b] = (min([st, *(s for a, s in open_.items() if b <= a)]), t)
             for a, s in open_.items():
-                if a in present:
-                    continue
-                if any(a < b for b in present):
-                    new[a] = (s, t)
-                elif before - s >= threshold_s and len(a) >= least:
-                    closed.append((sorted(a), s, before))
-            known, before = new, t
-        out = closed + [(sorted(c), s, e) for c, (s, e) in known.items() if len(c) >= least]
+                if a not in present:
+                    if any(a < b for b in present):
+                        new[a] = (s, t)
+                    else:
+                        close([(a, (s, int(prev)))])
+            known = new
+        end = int(pdf["_end"].iloc[0])
+        close((c, x) for c, x in known.items() if x[1] != end)
+        out = closed + [(sorted(c), s, e) for c, (s, e) in known.items() if e == end and len(c) >= least]
         return pd.DataFrame(out, columns=["clusters", "st", "et"])
 
-    return clusters.join(order, "frame").withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, PATTERN)
+    c = clusters.join(order, "frame").withColumn("_o", F.element_at("clusters", 1)).join(meeting_groups(clusters).withColumnRenamed("object", "_o"), "_o").drop("_o")
+    return c.groupBy("grp").applyInPandas(run, PATTERN)
 
 
 def merge_by_containment(a: list, b: list, threshold_s: int) -> list:

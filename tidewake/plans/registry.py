@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, tracks, video  # noqa: F401
+from . import entries, groups, tracks, video  # noqa: F401
 from .views import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,38 @@ class Job:
     def as_dict(self) -> dict:
         return asdict(self)
 
+    def file_name(self) -> str:
+        """A name that tells the parameters."""
+        return f"{self.gp_type}_card-{self.cardinality}_dt-{self.dt_min}_dist-{self.distance_m:g}_step-{self.step_s}"
+
+
+def write_job(spark: SparkSession, job: Job, path: str) -> None:
+    """One JSON text, on any store that Spark writes to."""
+    spark.createDataFrame([(json.dumps(job.as_dict()),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_job(spark: SparkSession, path: str) -> Job:
+    return Job(**json.loads(spark.read.text(path, wholetext=True).first()[0]))
+
+
+# Names of units of time and their seconds.
+_UNITS = {"d": 86_400, "day": 86_400, "days": 86_400, "h": 3600, "hr": 3600, "hour": 3600, "hours": 3600, "m": 60, "t": 60, "min": 60, "minute": 60, "minutes": 60, "s": 1, "sec": 1, "second": 1, "seconds": 1}
+
+
+def duration_seconds(text: str | int) -> int:
+    """Seconds of texts such as '30 min', '1h', '1 day 02:30:00' or '90' (seconds)."""
+    left = str(text).strip().lower()
+    if re.fullmatch(r"\d+", left):
+        return int(left)
+    total = 0
+    if clock := re.search(r"(\d+):(\d\d):(\d\d)$", left):
+        total += 3600 * int(clock[1]) + 60 * int(clock[2]) + int(clock[3])
+        left = left[: clock.start()]
+    parts = re.findall(r"(\d+)\s*([a-z]+)", left)
+    if re.sub(r"\d+\s*[a-z]+", "", left).strip() or not (parts or total) or any(u not in _UNITS for _, u in parts):
+        raise ValueError(f"no duration: {text}")
+    return total + sum(int(n) * _UNITS[u] for n, u in parts)
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
     return spark.read.schema(schema).option("sep", sep).option("header", header).csv(path)
@@ -55,6 +89,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_patterns_csv(patterns: DataFrame, folder: str, job: Job) -> str:
+    """Writes under a name that tells the parameters and returns the path."""
+    path = f"{folder}/{job.file_name()}.csv"
+    write_csv(patterns, path)
+    return path
+
+
 def read_patterns_csv(spark: SparkSession, path: str) -> DataFrame:
     d = read_csv(spark, path, "clusters string, st long, et long")
     return d.withColumn("clusters", F.from_json("clusters", "array<bigint>"))

@@ -87,6 +87,17 @@ class IncrementalMiner:
         self.active: dict = {}
         self.closed: list = []
 
+    def resume(self, snapshot: DataFrame) -> None:
+        """Takes up active and closed patterns (clusters, st, et, open) of an earlier run."""
+        for r in snapshot.toLocalIterator():
+            if r["open"]:
+                self.active[frozenset(r["clusters"])] = (r["st"], r["et"])
+            else:
+                self.closed.append((sorted(r["clusters"]), r["st"], r["et"]))
+
+    def state(self) -> list[tuple[list[int], int, int, bool]]:
+        return [(*c, False) for c in self.closed] + [(sorted(c), s, e, True) for c, (s, e) in self.active.items()]
+
     def __call__(self, batch: DataFrame, epoch: int = 0) -> None:
         frames: dict[int, list] = {}
         for r in batch.orderBy("frame").toLocalIterator():  # clusters of one micro-batch, not points
