@@ -13,10 +13,15 @@ def long_pixels(frames: DataFrame, width: int = 8) -> DataFrame:
     return frames.select("frame_id", F.posexplode("pixels").alias("i", "v")).select("frame_id", F.floor(F.col("i") / width).cast("int").alias("row"), (F.col("i") % width).cast("int").alias("col"), "v")
 
 
-def frame_differences(frames: DataFrame, by: list[str] = ()) -> DataFrame:
-    """pixels of the frame before minus this one; the first frame goes."""
-    w = Window.partitionBy(*by).orderBy("frame_id")
-    return frames.withColumn("_p", F.lag("pixels").over(w)).filter("_p IS NOT NULL").withColumn("pixels", F.zip_with("_p", "pixels", lambda a, b: a - b)).drop("_p")
+def frame_differences(frames: DataFrame, by: list[str] = (), span: int = 1000) -> DataFrame:
+    """pixels of the frame before minus this one; the first frame goes. Frames are compared inside ranges of `span` numbers; the first of a range
+    takes the last of the range before (a row per range)."""
+    r = frames.withColumn("_r", F.floor(F.col("frame_id") / span))
+    w = Window.partitionBy(*by, "_r").orderBy("frame_id")
+    ends = r.groupBy(*by, "_r").agg(F.max_by("pixels", "frame_id").alias("_e")).withColumn("_e", F.lag("_e").over(Window.partitionBy(*by).orderBy("_r")))
+    r = r.withColumn("_p", F.lag("pixels").over(w)).withColumn("_first", F.row_number().over(w) == 1).join(ends, [*by, "_r"])
+    r = r.withColumn("_p", F.when(F.col("_first"), F.col("_e")).otherwise(F.col("_p"))).filter("_p IS NOT NULL")
+    return r.select(*[F.zip_with("_p", "pixels", lambda a, b: a - b).alias(c) if c == "pixels" else c for c in frames.columns])
 
 
 def reconstruct(first: DataFrame, differences: DataFrame) -> DataFrame:
@@ -71,14 +76,19 @@ def swap_blocks(front: DataFrame, back: DataFrame, coords: DataFrame) -> DataFra
     return front.join(b, keys, "left").withColumn("block", F.coalesce("_b", "block")).drop("_b")
 
 
+def neighbourhood(target: DataFrame, k: int, size: int, height: int, width: int) -> DataFrame:
+    """The target's rows with dy, dx of its nine candidate positions, and whether each lies inside (strict bounds)."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i * k).alias("dy"), F.lit(j * k).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    t = target.withColumn("_o", cells).withColumn("dy", F.col("_o.dy")).withColumn("dx", F.col("_o.dx")).drop("_o")
+    yy, xx = F.col("y") + F.col("dy"), F.col("x") + F.col("dx")
+    return t.withColumn("inside", (yy >= 0) & (xx >= 0) & (yy + size < height) & (xx + size < width))
+
+
 def neighbourhood_sad(reference: DataFrame, target: DataFrame, k: int, size: int, height: int, width: int) -> DataFrame:
     """(frame_id, y, x, dy, dx, sad) of the nine candidate positions of every target block; null outside (strict bounds). Both sides hold one
     row per frame: pixels; positions come from the target's block coordinates (y, x)."""
-    cells = F.explode(F.array(*[F.struct(F.lit(i * k).alias("dy"), F.lit(j * k).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    t = target.withColumn("_o", cells).select("frame_id", "y", "x", "block", F.col("_o.dy").alias("dy"), F.col("_o.dx").alias("dx"))
-    j = t.join(reference.select("frame_id", F.col("pixels").alias("_p")), "frame_id")
-    yy, xx = F.col("y") + F.col("dy"), F.col("x") + F.col("dx")
-    inside = (yy >= 0) & (xx >= 0) & (yy + size < height) & (xx + size < width)
+    j = neighbourhood(target, k, size, height, width).join(reference.select("frame_id", F.col("pixels").alias("_p")), "frame_id")
+    yy, xx, inside = F.col("y") + F.col("dy"), F.col("x") + F.col("dx"), F.col("inside")
     cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda r: F.slice("_p", (yy + r) * width + xx + 1, size)))
     return j.withColumn("sad", F.when(inside, sad(F.when(inside, cut), "block"))).select("frame_id", "y", "x", "dy", "dx", "sad")
 

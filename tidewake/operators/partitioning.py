@@ -38,10 +38,13 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("xored"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("summed"))
 
 
-def exact_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """sha256 over the sorted row digests; rows are digested first, so that the gathered text is 64 characters a row (small tables)."""
+def exact_fingerprint(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
+    """sha256 over sha256s of sorted row digests: rows are digested, digests of equal first `digits` hexadecimal digits are gathered, sorted and digested
+    together, and the 16 ** digits results once more."""
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("checksum"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    parts = df.select(row.alias("_h")).groupBy(F.substring("_h", 1, digits).alias("_p")).agg(joined("_h").alias("_h"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"]), ""), 256).alias("checksum"))
 
 
 def numbered_bins(df: DataFrame, ts: str, n: int) -> DataFrame:

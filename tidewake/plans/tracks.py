@@ -26,7 +26,14 @@ query("s3_column_scan", "SELECT count(DISTINCT user_id) AS n_objects FROM events
 query("s4_range_scan", f"WITH {AIS} SELECT event_id, mmsi, ts FROM ais WHERE ts > 1704200000 AND ts <= 1705000000")(lambda s, d: io.scan_range(ais(s, d), "ts", 1704200000, 1705000000).select("event_id", "mmsi", "ts"))
 query("s4_open_range_scan", f"WITH {AIS} SELECT event_id, mmsi, ts FROM ais WHERE ts > 1704200000 AND ts < 1704900000")(lambda s, d: io.scan_between(ais(s, d), "ts", 1704200000, 1704900000).select("event_id", "mmsi", "ts"))
 query("s5_max_scan", f"WITH {AIS} SELECT max(ts) AS max_ts FROM ais")(lambda s, d: ais(s, d).agg(F.max("ts").alias("max_ts")))
-query("s13_checksum", "SELECT sha256(string_agg(h, '' ORDER BY h)) AS checksum FROM (SELECT sha256(concat_ws('|', n_nationkey, n_name, n_regionkey)) AS h FROM nation)")(lambda s, d: P.exact_fingerprint(table(s, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"]))
+
+
+@query("s13_checksum", """WITH h AS (SELECT sha256(concat_ws('|', event_id, user_id, event_type)) AS h FROM events), p AS (SELECT h[1:3] AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
+SELECT sha256(string_agg(h, '' ORDER BY p)) AS checksum FROM p""")
+def s13_checksum(s, d):
+    return P.exact_fingerprint(table(s, d, "events"), ["event_id", "user_id", "event_type"])
+
+
 query("s15_plot_thresholds", f"WITH {AIS}, q AS (SELECT quantile_cont(speed, 0.25) AS a, quantile_cont(speed, 0.75) AS b FROM ais) SELECT {r6('a - 3 * (b - a)')} AS low, {r6('b + 3 * (b - a)')} AS high FROM q")(
     lambda s, d: C.iqr_outliers(ais(s, d), "speed", 3.0).select(r(F.col("low")).alias("low"), r(F.col("high")).alias("high")).distinct())
 

@@ -62,8 +62,13 @@ query("f8_rle_decode", f"WITH {PIX} SELECT frame_id, row * 8 + col AS i, CAST(fl
 query("f6_greyscale", f"WITH {FR} SELECT frame_id, {r6('CAST(0.2989 AS DOUBLE) * pixels[1] + CAST(0.587 AS DOUBLE) * pixels[2] + CAST(0.114 AS DOUBLE) * pixels[3]')} AS grey FROM fr")(lambda s, d: frames(s, d).select("frame_id", R(X.greyscale(F.col("pixels")[0], F.col("pixels")[1], F.col("pixels")[2])).alias("grey")))
 query("f7_quantize", f"WITH {PIX} SELECT frame_id, row * 8 + col AS i, round_even(round_even(v / 10, 2) * 10, 2) AS v FROM px")(lambda s, d: frames(s, d).select("frame_id", F.posexplode(X.quantize("pixels", 10)).alias("i", "v")))
 query("f9_video_codec")(lambda s, d: V.video_decode(V.video_encode(frames(s, d))).select("frame_id", "i", R(F.col("v")).alias("v")))
-query("f10_macroblocks", f"WITH {PIX} SELECT frame_id, CAST(row // 3 AS INTEGER) AS by, CAST(col // 3 AS INTEGER) AS bx, sum(v) AS total, count(*) AS n FROM px GROUP BY 1, 2, 3")(
-    lambda s, d: V.macroblocks(pix(s, d), 3).select("frame_id", "by", "bx", F.aggregate("block", F.lit(0.0), lambda a, x: a + x).alias("total"), ((F.lit(3) - F.when(F.col("by") == 2, 1).otherwise(0)) * (F.lit(3) - F.when(F.col("bx") == 2, 1).otherwise(0))).cast("long").alias("n")))
+@query("f10_macroblocks", f"""WITH {PIX}, c AS (SELECT frame_id, by, bx, k FROM (SELECT DISTINCT frame_id FROM px), (SELECT unnest(range(0, 3)) AS by), (SELECT unnest(range(0, 3)) AS bx), (SELECT unnest(range(0, 9)) AS k))
+SELECT c.frame_id, CAST(by AS INTEGER) AS by, CAST(bx AS INTEGER) AS bx, CAST(k AS INTEGER) AS k, coalesce(v, 0) AS v FROM c LEFT JOIN px ON px.frame_id = c.frame_id AND px.row = by * 3 + k // 3 AND px.col = bx * 3 + k % 3""")
+def f10_macroblocks(s, d):
+    """Blocks of 3 x 3 of 8 x 8 images, the last ones padded with zeros, pixel by pixel."""
+    return V.macroblocks(pix(s, d), 3).select("frame_id", "by", "bx", F.posexplode("block").alias("k", "v"))
+
+
 query("f11_unblock", f"WITH {PIX} SELECT frame_id, row, col, v FROM px")(lambda s, d: V.unblock(V.macroblocks(pix(s, d), 4), 4))
 
 
@@ -77,10 +82,33 @@ query("f13_neighbourhood_sad", f"""WITH {PIX}, t AS (SELECT frame_id - 1 AS fram
 o AS (SELECT a.dy, b.dx FROM (VALUES (-2), (0), (2)) a(dy), (VALUES (-2), (0), (2)) b(dx))
 SELECT t.frame_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, dy, dx, sum(abs(p.v - t.v)) AS sad FROM t, o JOIN px p ON p.frame_id = t.frame_id AND p.row = y + dy + r AND p.col = x + dx + c WHERE y + dy + 2 < 8 AND x + dx + 2 < 8 AND y + dy >= 0 AND x + dx >= 0 GROUP BY 1, 2, 3, 4, 5""")(
     lambda s, d: V.neighbourhood_sad(frames(s, d), targets(s, d), 2, 2, 8, 8).filter("sad IS NOT NULL"))
-query("f12_neighbourhood", f"""WITH {PIX}, t AS (SELECT DISTINCT frame_id - 1 AS frame_id, row // 2 * 2 AS y, col // 2 * 2 AS x FROM px), o AS (SELECT a.dy, b.dx FROM (VALUES (-2), (0), (2)) a(dy), (VALUES (-2), (0), (2)) b(dx))
-SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, count(*) AS n FROM t, o WHERE t.frame_id IN (SELECT frame_id FROM px) AND y + dy + 2 < 8 AND x + dx + 2 < 8 AND y + dy >= 0 AND x + dx >= 0 GROUP BY 1, 2""")(
-    lambda s, d: V.neighbourhood_sad(frames(s, d), targets(s, d), 2, 2, 8, 8).filter("sad IS NOT NULL").groupBy("y", "x").agg(F.count(F.lit(1)).alias("n")))
-query("f14_motion_search")(lambda s, d: V.motion_search(frames(s, d), targets(s, d), 2, 2, 8, 8))
-query("f15_motion_compensation")(lambda s, d: V.motion_search(frames(s, d), targets(s, d), 2, 2, 8, 8).groupBy((F.col("to_y") - F.col("y")).alias("dy"), (F.col("to_x") - F.col("x")).alias("dx")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("f12_neighbourhood", f"""WITH {PIX}, t AS (SELECT DISTINCT frame_id - 1 AS frame_id, row // 2 * 2 AS y, col // 2 * 2 AS x FROM px), o AS (SELECT a.dy, b.dx FROM (VALUES (-2), (0), (2)) a(dy), (VALUES (-2), (0), (2)) b(dx))
+SELECT frame_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, dy, dx, CAST(y + dy + 2 < 8 AND x + dx + 2 < 8 AND y + dy >= 0 AND x + dx >= 0 AS INTEGER) AS inside FROM t, o""")
+def f12_neighbourhood(s, d):
+    return V.neighbourhood(targets(s, d), 2, 2, 8, 8).select("frame_id", "y", "x", "dy", "dx", F.col("inside").cast("int").alias("inside"))
+
+
+# The search in SQL: a row per block and round, until its step is 0. Ties go to the first candidate, row by row.
+SEARCH = f"""{PIX}, t AS (SELECT frame_id - 1 AS frame_id, row // 2 * 2 AS y, col // 2 * 2 AS x, row % 2 AS r, col % 2 AS c, v FROM px), tb AS (SELECT frame_id, y, x FROM t WHERE frame_id IN (SELECT frame_id FROM px) GROUP BY ALL),
+cost AS (SELECT t.frame_id, t.y, t.x, g.yy, g.xx, sum(abs(p.v - t.v)) AS sad FROM t, (SELECT a.yy, b.xx FROM (SELECT unnest(range(0, 6)) AS yy) a, (SELECT unnest(range(0, 6)) AS xx) b) g JOIN px p ON p.frame_id = t.frame_id AND p.row = g.yy + t.r AND p.col = g.xx + t.c GROUP BY 1, 2, 3, 4, 5),
+walk(frame_id, y, x, cy, cx, step) AS (SELECT frame_id, y, x, y, x, CAST(2 AS BIGINT) FROM tb UNION ALL
+ SELECT frame_id, y, x, coalesce(b.yy, cy), coalesce(b.xx, cx), CASE WHEN b.yy IS NULL OR b.yy = cy AND b.xx = cx THEN step // 2 ELSE step END FROM (
+  SELECT w.frame_id, w.y, w.x, w.cy, w.cx, w.step, (SELECT arg_min({{'yy': k.yy, 'xx': k.xx}}, [k.sad, k.yy, k.xx]) FROM cost k WHERE k.frame_id = w.frame_id AND k.y = w.y AND k.x = w.x AND abs(k.yy - w.cy) IN (0, w.step) AND abs(k.xx - w.cx) IN (0, w.step)) AS b FROM walk w WHERE w.step > 0)),
+found AS (SELECT frame_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(cy AS INTEGER) AS to_y, CAST(cx AS INTEGER) AS to_x FROM walk WHERE step = 0)"""
+
+
+@query("f14_motion_search", f"WITH RECURSIVE {SEARCH} SELECT * FROM found")
+def f14_motion_search(s, d):
+    return V.motion_search(frames(s, d), targets(s, d), 2, 2, 8, 8)
+
+
+@query("f15_motion_compensation", f"WITH RECURSIVE {SEARCH} SELECT to_y - y AS dy, to_x - x AS dx, count(*) AS n FROM found GROUP BY 1, 2")
+def f15_motion_compensation(s, d):
+    m = V.motion_search(frames(s, d), targets(s, d), 2, 2, 8, 8)
+    return m.groupBy((F.col("to_y") - F.col("y")).alias("dy"), (F.col("to_x") - F.col("x")).alias("dx")).agg(F.count(F.lit(1)).alias("n"))
+
+
 query("f16_swap_blocks", f"WITH {PIX} SELECT a.frame_id, a.row, a.col, CASE WHEN a.row < 4 AND a.col < 4 AND b.v IS NOT NULL THEN b.v ELSE a.v END AS v FROM px a LEFT JOIN px b ON b.frame_id = a.frame_id - 1 AND b.row = a.row AND b.col = a.col")(
     lambda s, d: (lambda b: V.unblock(V.swap_blocks(b, b.withColumn("frame_id", F.col("frame_id") + 1), b.filter("by = 0 AND bx = 0").select("frame_id", "by", "bx")), 4))(V.macroblocks(pix(s, d), 4)))
