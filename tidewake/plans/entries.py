@@ -17,9 +17,9 @@ from ..sources.shared import fresh_path
 from ..streaming import align as T
 from ..streaming import driver as D
 from .groups import FRAME_S, LINKS, SIDES, TEXT, pairs, sides, text
-from .tracks import ENDS, NM, POI, W
-from .video import FR, PIX
-from .views import AIS, AIS1, FRAMES, ORACLE_SQL, ais, ais1, frames_at, query, r6, table
+from .tracks import ENDS, NM, POI, TRIPS, W, grid_sql
+from .video import PIX
+from .views import AIS, AIS1, FRAMES, ORACLE_SQL, ais, ais1, frames_at, hav, query, r6, table
 
 EVENT = "event_id long, user_id long, event_type string, value double"
 EVENT_SQL = "SELECT event_id, user_id, event_type, value FROM events"
@@ -281,6 +281,26 @@ NEXT = f"nx AS (SELECT *, lead(ts) OVER w AS n_ts, lead(lon) OVER w AS n_lon, le
 ORACLE_SQL["r9_control_points"] = f"WITH {AIS1}, {NEXT.format('ais1')} SELECT event_id, cx, cy FROM cr"
 ORACLE_SQL["r11_bezier_alignment"] = f"""WITH {AIS1}, {ENDS}, {NEXT.format('arr')}, g AS (SELECT *, (n_ts - 1) // 3600 * 3600 AS g FROM cr), t AS (SELECT *, CAST(g - ts AS DOUBLE) / CAST(n_ts - ts AS DOUBLE) AS t FROM g WHERE ts <= g)
 SELECT mmsi, g AS grid_ts, {r6('(1 - t) * (1 - t) * lon + 2 * t * (1 - t) * cx + t * t * n_lon')} AS lon, {r6('(1 - t) * (1 - t) * lat + 2 * t * (1 - t) * cy + t * t * n_lat')} AS lat FROM t"""
+
+
+def _prepared(points: str) -> str:
+    """Velocity on the grid and segments between points of interest (alpha 3, windows of 5), object by object."""
+    leg = hav("lon", "lat", "lead(lon) OVER g", "lead(lat) OVER g")
+    velocity = f"gv AS (SELECT mmsi, grid_ts AS ts, {leg} * {NM} * 3600 / abs(lead(grid_ts) OVER g - grid_ts) AS velocity FROM grid WINDOW g AS (PARTITION BY mmsi ORDER BY grid_ts) QUALIFY lead(grid_ts) OVER g IS NOT NULL OR count(*) OVER (PARTITION BY mmsi) = 1)"
+    poi = POI.replace("FROM ais1", "FROM gv").replace("speed", "velocity").replace("ts, event_id", "ts").replace("1.5::DOUBLE", "3.0::DOUBLE")
+    return f"{grid_sql(points, 'mmsi', 3600)}, {velocity}, {poi}, pt AS (SELECT c.mmsi, c.ts, velocity, (SELECT count(*) FROM k WHERE k.mmsi = c.mmsi AND k.i > 0 AND k.i < c.last AND k.i <= c.i) AS traj_id FROM chg c)"
+
+
+ORACLE_SQL["r3_prepared_tracks"] = f"WITH {AIS1}, {_prepared('ais1')} SELECT mmsi, ts, {r6('velocity', '1e5')} AS velocity, CAST(traj_id AS INTEGER) AS traj_id FROM pt"
+ORACLE_SQL["r4_prepared_in_pieces"] = f"""WITH {AIS1}, {TRIPS}, tracks AS (SELECT * REPLACE (mmsi || ':' || trip_id AS mmsi) FROM trip), {_prepared('tracks')},
+pc AS (SELECT CAST(split_part(mmsi, ':', 1) AS BIGINT) AS mmsi, CAST(split_part(mmsi, ':', 2) AS INTEGER) AS piece, ts, velocity, traj_id FROM pt), top AS (SELECT mmsi, piece, max(traj_id) + 1 AS n FROM pc GROUP BY 1, 2),
+off AS (SELECT mmsi, piece, coalesce(sum(n) OVER (PARTITION BY mmsi ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM top)
+SELECT mmsi, ts, {r6('velocity', '1e5')} AS velocity, CAST(traj_id + off AS INTEGER) AS traj_id FROM pc JOIN off USING (mmsi, piece)"""
+ORACLE_SQL["r14_interpolation"] = f"""WITH RECURSIVE {AIS1}, {ENDS}, d AS (SELECT mmsi, ts, lon, e.e, e.s // 3600 * 3600 AS s0, CASE WHEN ts = e.s THEN e.s // 3600 * 3600 ELSE greatest(e.s // 3600 * 3600, (ts - 1) // 3600 * 3600) END AS k, row_number() OVER (PARTITION BY mmsi ORDER BY ts) AS n FROM arr, e),
+acc AS (SELECT mmsi, n, ts AS last, true AS ok FROM d WHERE n = 1 UNION ALL SELECT d.mmsi, d.n, CASE WHEN acc.last < d.k THEN d.ts ELSE acc.last END, acc.last < d.k FROM acc JOIN d ON d.mmsi = acc.mmsi AND d.n = acc.n + 1),
+kept AS (SELECT d.*, lead(ts) OVER q AS b, lead(lon) OVER q AS y, lead(ts, 2) OVER q AS nx FROM d JOIN acc USING (mmsi, n) WHERE acc.ok WINDOW q AS (PARTITION BY mmsi ORDER BY ts)),
+g AS (SELECT *, unnest(generate_series(greatest((ts + 3599) // 3600 * 3600, s0, (b - 1) // 3600 * 3600), b // 3600 * 3600, 3600)) AS g FROM kept WHERE b IS NOT NULL)
+SELECT mmsi, g AS grid_ts, {r6('lon + (y - lon) * (CAST(g - ts AS DOUBLE) / CAST(b - ts AS DOUBLE))', '1e9')} AS lon FROM g WHERE g + 3600 < coalesce(nx, e) AND g + 3600 < e"""
 ORACLE_SQL["r12_mode_dispatch"] = "SELECT * FROM (VALUES ('bezierInterp1d', 1), ('bezierIinterp1d', 1), ('delayed', 1), ('extrap1d', 1), ('interp1d', 1), ('spline', 0)) v(mode, known)"
 
 
