@@ -69,23 +69,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
+    """In place. Where exp overflows, the result is 0."""
     np.negative(x, out=x)
-    np.minimum(x, 80, out=x)  # exp stays finite
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _tanh(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 2
-    _sigmoid(x)
-    x *= 2
-    x -= 1
-    return x
-
-
 class Network:
     """Input rows per token (embedding times input weights, learned as one table), a GRU, class and word outputs.
 
@@ -121,7 +111,9 @@ class Network:
         gx, gh = self.w["x"][tokens], h @ self.w["u"]
         zr = _sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
         z, r = zr[:, :k], zr[:, k:]
-        c = _tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
+        c = r * gh[:, 2 * k :]
+        c += gx[:, 2 * k :]
+        np.tanh(c, out=c)
         return c + z * (h - c), (zr, c, gh)
 
     def class_of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +123,10 @@ class Network:
     def outputs(self, h: np.ndarray, tokens: np.ndarray, grads: bool = False):
         """Natural log probability of each token at its state; with grads, also d(-sum)/dh and the output gradients."""
         cls, place = self.class_of(tokens)
-        a = h @ self.w["c"] + self.w["cb"]
-        e = np.exp(np.minimum(a, 80, out=a))  # biases are at most 0, states within 1: far from any overflow
+        a = h @ self.w["c"]
+        a += self.w["cb"]
+        wide = max(np.abs(self.w["c"]).sum(0).max(), np.abs(self.w["o"]).sum(2).max(), self.w["cb"].max(), self.w["ob"].max()) > 40  # states are within 1
+        e = np.exp(np.minimum(a, 80, out=a) if wide else a)
         s = e @ np.ones(self.classes, np.float32)
         at = np.arange(len(h))
         lp = a[at, cls] - np.log(s)
@@ -153,7 +147,7 @@ class Network:
             own, to = hs[i:j], (np.arange(j - i), places[i:j])
             b = own @ self.w["o"][k].T
             b += self.w["ob"][k]
-            f = np.exp(np.minimum(b, 80, out=b))
+            f = np.exp(np.minimum(b, 80, out=b) if wide else b)
             t = f @ every
             more[i:j] = b[to] - np.log(t)
             if grads:
@@ -171,6 +165,7 @@ class Network:
         """Optimiser state of a run of train() calls."""
         return {"turn": 0, **{q: [np.zeros_like(v), np.zeros_like(v)] for q, v in self.w.items()}}
 
+    @np.errstate(over="ignore")
     def train(self, stream: np.ndarray, starts: np.ndarray, rate: float = 0.01, most_lanes: int = LANES, state: dict | None = None, done: float = 0.0, share: float = 1.0) -> None:
         """One pass of truncated backpropagation over a stream of tokens cut into lanes (the last one filled up with places that do not count);
         starts marks first tokens of documents. The stream is `share` of a run that has `done` (a part of 1) behind it; the rate falls along the run."""
@@ -189,9 +184,9 @@ class Network:
             turn, tokens = m["turn"], np.maximum(x[a:b], 0)
             size = b - a
             before, gates, news, pulls = (np.empty((size, lanes, n * k), np.float32) for n in (1, 2, 1, 1))
+            going = (~new[a:b, :, None]).astype(np.float32)
             for t in range(size):
-                h = np.where(new[a + t][:, None], np.float32(0), h)
-                before[t] = h
+                h = np.multiply(h, going[t], out=before[t])
                 h, (gates[t], news[t], gh) = self.step(tokens[t], h)
                 pulls[t] = gh[:, 2 * k :]
             real = x[a:b] >= 0
@@ -200,7 +195,7 @@ class Network:
             z, r = gates[:, :, :k], gates[:, :, k:]
             to_new, to_z, to_r = (1 - z) * (1 - news * news), (before - news) * z * (1 - z), pulls * r * (1 - r)
             gx, gg = np.empty((size, lanes, 3 * k), np.float32), np.empty((size, lanes, 3 * k), np.float32)
-            dh, back, going = np.zeros((lanes, k), np.float32), self.w["u"].T.copy(), ~new[a:b, :, None]  # from later windows: cut off
+            dh, back = np.zeros((lanes, k), np.float32), self.w["u"].T.copy()  # from later windows: cut off
             for t in range(size - 1, -1, -1):
                 dc = dh * to_new[t]
                 own = gx[t]
@@ -224,7 +219,6 @@ class Network:
             for q, v in self.w.items():
                 d = g[q]
                 d *= scale
-                np.minimum(np.maximum(d, -1, out=d), 1, out=d)
                 first, second = m[q]
                 first *= 0.9
                 first += 0.1 * d
@@ -237,6 +231,7 @@ class Network:
                 v -= first * np.float32(lr / (1 - 0.9**turn)) / step
             self.w["ob"][dead] = -1e9
 
+    @np.errstate(over="ignore")
     def log_likelihoods(self, docs: list[np.ndarray], lanes: int = 512, window: int = 64) -> np.ndarray:
         """Natural log probability of each document; documents run side by side, states are carried from window to window."""
         out = np.zeros(len(docs))
@@ -333,10 +328,12 @@ def start(rows: DataFrame, scorer: Scorer, most_docs: int = START_DOCS, most_wor
 
 
 def fit(rows: DataFrame, scorer: Scorer, group_words: int = GROUP_WORDS) -> int:
-    """Fits the network on every training row of prepared(): rows are dealt by a hash of their numbers (so repeated rows spread) into groups of about
+    """Fits the network on every training row of prepared() (or of documents, which are prepared first): rows are dealt by a hash of their numbers (so repeated rows spread) into groups of about
     group_words words, each group trains from the common start over all its rows, in the order of their ids' hashes, and the groups' weights are averaged by their numbers of words. Returns the words trained on."""
     if not scorer.total:
         return 0
+    if "tokens" not in rows.columns:
+        rows = Scratch(rows.sparkSession, "gru-fit").table("prepared", prepared(rows, rows.sparkSession.sparkContext.broadcast(scorer)))
     start(rows, scorer)
     spark, groups = rows.sparkSession, max(1, round(scorer.total / group_words))
     shared, expected = spark.sparkContext.broadcast(scorer.network), scorer.total / groups
@@ -385,15 +382,16 @@ def fit(rows: DataFrame, scorer: Scorer, group_words: int = GROUP_WORDS) -> int:
 
 
 def network_scores(rows: DataFrame, network: Network) -> DataFrame:
-    """(key, lp): the network's log10 probability of every prepared row's tokens."""
+    """Prepared rows without their words, with lp, the network's log10 probability of the tokens."""
     shared = rows.sparkSession.sparkContext.broadcast(network)
+    told = ["key", "doc_id", "n_tokens", "n_known", "base_score", "share", "tail"]
 
     def score(batches):
         for b in batches:
             tokens = [np.frombuffer(t, "<u2").astype(np.int32) for t in b["tokens"]]
-            yield {"key": b["key"], "lp": shared.value.log_likelihoods(tokens) / math.log(10)}
+            yield {k: b[k] for k in told} | {"lp": shared.value.log_likelihoods(tokens) / math.log(10)}
 
-    return arrow_map(rows.select("key", "tokens"), score, "key long, lp double", piece=1 << 20)
+    return arrow_map(rows.select(*told, "tokens"), score, "key long, doc_id long, n_tokens long, n_known long, base_score double, share double, tail long, lp double", piece=1 << 20)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -411,8 +409,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rare = rows.filter(F.size("rare") > 0).select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     rare = rare.join(counts.select("word", "trained"), "word", "left").groupBy("key").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(F.lit(0))).alias("more_known"), F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"))
-    known = rows.select("key", "doc_id", "n_tokens", "n_known", "base_score", "share", "tail")
-    one = known.join(network_scores(rows, scorer.network), "key").join(rare, "key", "left")
+    one = network_scores(rows, scorer.network).join(rare, "key", "left")
     more = F.coalesce("more", F.lit(0.0))
     return one.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
