@@ -90,8 +90,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[
 
 
 def arrow_filter(df: DataFrame, keep: Callable[[list], list[bool]], column: str, piece: int = PIECE_BYTES) -> DataFrame:
-    """Rows for which keep() of the values of a column holds, piece by piece; no other column is converted."""
-    at = df.columns.index(column)
+    """Rows for which keep() of the values of a column holds, piece by piece; no other column is converted. Columns may have any names."""
+    at, plain = df.columns.index(column), df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
     def run(batches):
         for b in batches:
@@ -100,7 +100,7 @@ def arrow_filter(df: DataFrame, keep: Callable[[list], list[bool]], column: str,
                 part = b.slice(i, step)
                 yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 class Memory:
