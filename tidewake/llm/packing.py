@@ -175,9 +175,11 @@ def _islands(items: DataFrame, level: int, capacity: int, islands: int, migrated
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS) -> DataFrame:
-    """Adds sequence_id and offset to written pieces (as of cut_documents()) of at most the capacity. Blocks are dealt by the row's number, so repeated rows
-    spread like others."""
+    """Adds sequence_id and offset to pieces (those of cut_documents(), written, or others, which get numbers here) of at most the capacity. Blocks are dealt
+    by the row's number, so repeated rows spread like others."""
     scratch = Scratch(pieces.sparkSession, "pack")
+    if "row" not in pieces.columns:
+        pieces = scratch.table("numbered", pieces.withColumn("row", F.monotonically_increasing_id()))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     out = pieces.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(names)
     rest, level = pieces.filter(F.col("length") < capacity), 0
