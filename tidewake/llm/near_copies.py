@@ -33,7 +33,7 @@ REGISTERS = BANDS * BAND
 BASE = 1.001
 SHIFT = 4000
 SLACK = 0.17
-BLOCK_LEAST, BLOCK_MOST, BLOCK_SETS = 256, 4096, 16 << 20
+FAMILY_BLOCK, BLOCK_MOST, BLOCK_SETS = 256, 4096, 16 << 20
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -283,7 +283,7 @@ def family_links(members: DataFrame, classes: DataFrame, sets: DataFrame, scratc
     """(a, b): links between different labels of a family. members: family, cid, label. Sketches pick the classes whose sets are needed at all."""
     tell = members.join(classes.select("cid", "n", "regs"), "cid")
     n = F.count(F.lit(1))
-    small = F.ceil(n / F.least(F.greatest(n / 64, F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST)))
+    small = F.ceil(n / F.least(F.greatest(n / 64, F.lit(FAMILY_BLOCK)), F.lit(BLOCK_MOST)))
     near = by_block_pairs(tell, ["cid", "label", "n", "regs"], small, lambda x, y: [{"cid": nearby(x, y)}], "cid long", partitions)
     near = scratch.table("nearby", near.distinct())
     full = tell.join(near, "cid").join(sets, "cid")
