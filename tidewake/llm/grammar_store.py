@@ -30,6 +30,7 @@ FIRST_RULE = 1 << 20
 LEAST = 4
 MAGIC = b"RPG1"
 _NEVER = np.iinfo(np.int32).max
+_CLOSES = np.uint32(1 << 31)  # marks symbols that end a document, inside repair()
 
 
 def _bucket(code: np.ndarray, bits: int) -> np.ndarray:
@@ -39,37 +40,32 @@ def _bucket(code: np.ndarray, bits: int) -> np.ndarray:
     return x.astype(np.intp)
 
 
-def _codes(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-    code = seq[at].astype(np.uint64)
-    code <<= np.uint64(32)
-    code |= seq[at + 1]
-    return code
-
-
 def _numbered(seq: np.ndarray, at: np.ndarray, least: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers the pairs at some positions that occur `least` times there: (positions, their pairs' numbers from base on, pairs, counts)."""
-    code = _codes(seq, at)
+    code = seq[at].astype(np.uint64)
+    code <<= np.uint64(32)
+    code |= seq[at + 1] & ~_CLOSES
     bits = max(8, min(20, len(code).bit_length()))
     bucket = _bucket(code, bits)
     some = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]  # no pair is rarer than its bucket
-    at, code = at[some], code[some]
-    order = np.argsort(code)
-    ordered = code[order]
+    at, code, bucket = at[some], code[some], bucket[some]
+    ordered = np.sort(code)
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.intp)
     counts = np.diff(np.append(first, len(ordered)))
     good = counts >= least
-    number = np.where(good, base + np.cumsum(good) - 1, 0).astype(np.int32)
-    return at[order], np.repeat(number, counts), ordered[first[good]], counts[good]
-
-
-def _odd_in_run(rank: np.ndarray) -> np.ndarray:
-    """Positions with an odd place in a run of one pair (a, a): they overlap the one before them."""
-    e = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] != _NEVER)) + 1
-    if not len(e):
-        return e
-    first = np.flatnonzero(np.concatenate([[True], np.diff(e) != 1]))
-    start = np.repeat(e[first] - 1, np.diff(np.append(first, len(e))))
-    return e[((e - start) & 1) == 1]
+    pairs, counts = ordered[first[good]], counts[good]
+    if not len(pairs):
+        return at[:0], np.zeros(0, np.int32), pairs, counts
+    home = _bucket(pairs, bits)
+    table = np.zeros(1 << bits, np.int32)  # a bucket's last pair; others of a shared bucket are searched
+    table[home] = np.arange(len(pairs), dtype=np.int32)
+    shared = np.bincount(home, minlength=1 << bits) > 1
+    number = table[bucket]
+    hit = pairs[number] == code
+    rest = np.flatnonzero(shared[bucket] & ~hit)
+    found = np.minimum(np.searchsorted(pairs, code[rest]), len(pairs) - 1)
+    number[rest], hit[rest] = found, pairs[found] == code[rest]
+    return at[hit], number[hit] + np.int32(base), pairs, counts
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
@@ -79,59 +75,68 @@ def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
     occur `least` times by their counts (ties by a hash) and replaces the occurrences that rank before both neighbours, of pairs with at
     least `least` of these; only pairs beside a replacement are counted anew. It ends when no pair is left that occurs `least` times without overlapping.
     """
-    seq, close, rules = ids.astype(np.uint32), ends.copy(), []
+    seq, rules, made = ids.astype(np.uint32), [], 0
+    seq[ends] |= _CLOSES
     slot, pairs, count = np.zeros(len(seq), np.int32), np.zeros(1, np.uint64), np.zeros(1, np.int64)  # slot[i]: number of the pair at i, 0: rare
-    if len(seq) > 1:
-        at, number, new, counts = _numbered(seq, np.flatnonzero(~close[:-1]), least, 1)
-        slot[at] = number
+
+    def number(at):
+        nonlocal pairs, count
+        at, numbers, new, counts = _numbered(seq, at[seq[at] < _CLOSES], least, len(count))
+        slot[at] = numbers
         pairs, count = np.concatenate([pairs, new]), np.concatenate([count, counts])
-    made = 0
+
+    number(np.arange(len(seq) - 1))
     while True:
         live = np.flatnonzero(count >= least)
         if not len(live):
             break
         rank = np.full(len(count), _NEVER, np.int32)
         rank[live[np.lexsort((_bucket(pairs[live], 32), -count[live]))]] = np.arange(len(live), dtype=np.int32)
-        padded = np.full(len(seq) + 2, _NEVER, np.int32)  # padded[i + 1]: the rank of the pair at i
-        rank.take(slot, out=padded[1:-1])
-        here = padded[1:-1]
-        best = here <= padded[:-2]
-        best &= here <= padded[2:]
-        best &= here != _NEVER
-        best[_odd_in_run(here)] = False
-        pick = np.flatnonzero(best)
+        at = np.flatnonzero(slot)
+        here = rank[slot[at]]
+        dead = here == _NEVER
+        slot[at[dead]] = 0  # counts of pairs only fall
+        at, here = at[~dead], here[~dead]
+        beside = np.diff(at) == 1
+        beaten = np.zeros(len(at), bool)
+        beaten[1:] = beside & (here[:-1] < here[1:])
+        beaten[:-1] |= beside & (here[1:] < here[:-1])
+        again = np.flatnonzero(beside & (here[1:] == here[:-1])) + 1  # a pair (a, a) right after itself: every other one of a run counts
+        overlaps = np.zeros(len(at), bool)
+        if len(again):
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(again) != 1]))
+            start = np.repeat(again[begin] - 1, np.diff(np.append(begin, len(again))))
+            overlaps[again[((again - start) & 1) == 1]] = True
+        pick = at[~(beaten | overlaps)]
         wins = np.bincount(slot[pick], minlength=len(count))
-        if not (wins >= least).any():  # pairs that no other one keeps from winning overlap themselves too often
-            beaten = np.bincount(slot[(here > padded[:-2]) | (here > padded[2:])], minlength=len(count))
-            count[(wins > 0) & (beaten == 0)] = 0
+        enough = wins >= least
+        if not enough.any():  # pairs that no other one keeps from winning overlap themselves too often
+            lost = np.bincount(slot[at[beaten]], minlength=len(count))
+            count[(wins > 0) & (lost == 0)] = 0
             continue
-        pick = pick[(wins >= least)[slot[pick]]]
-        used = np.flatnonzero(wins >= least)
+        pick = pick[enough[slot[pick]]]
+        used = np.flatnonzero(enough)
         symbol = np.zeros(len(count), np.uint32)
         symbol[used] = np.arange(FIRST_RULE + made, FIRST_RULE + made + len(used), dtype=np.uint32)
         rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         made += len(used)
         before = pick[np.concatenate([pick[:1] > 0, np.diff(pick) > 2])] - 1  # not counted again as the place after the pick before
-        for gone in (pick, pick + 1, before):
-            count -= np.bincount(slot[gone], minlength=len(count))
+        count -= np.bincount(slot[np.concatenate([pick, pick + 1, before])], minlength=len(count))
         count[0] = 0
-        seq[pick], close[pick], slot[pick] = symbol[slot[pick]], close[pick + 1], 0
+        seq[pick], slot[pick] = symbol[slot[pick]] | (seq[pick + 1] & _CLOSES), 0
         keep = np.ones(len(seq), bool)
         keep[pick + 1] = False
-        seq, close, slot = seq[keep], close[keep], slot[keep]
+        seq, slot = seq[keep], slot[keep]
         now = pick - np.arange(len(pick))
         before = now[np.concatenate([now[:1] > 0, np.diff(now) > 1])] - 1
         slot[before] = 0
-        beside = np.concatenate([before, now])
-        beside = beside[beside < len(seq) - 1]
-        at, number, new, counts = _numbered(seq, beside[~close[beside]], least, len(count))
-        slot[at] = number
-        pairs, count = np.concatenate([pairs, new]), np.concatenate([count, counts])
+        new = np.concatenate([before, now])
+        number(new[new < len(seq) - 1])
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     lengths = [0] * len(rules)
     for i, (a, b) in enumerate(rules.tolist()):
         lengths[i] = (lengths[a - FIRST_RULE] if a >= FIRST_RULE else 1) + (lengths[b - FIRST_RULE] if b >= FIRST_RULE else 1)
-    return seq, rules, np.array(lengths, np.uint32), np.flatnonzero(close)
+    return seq & ~_CLOSES, rules, np.array(lengths, np.uint32), np.flatnonzero(seq & _CLOSES)
 
 
 def pack(doc_ids: list, blobs: list[bytes]) -> tuple[bytes, int]:
