@@ -55,6 +55,12 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def last(self, df: DataFrame) -> DataFrame:
+        """Writes a run's result and deletes all its other tables."""
+        out = self.table("result", df)
+        self.drop(*[n for n in self.paths if n != "result"])
+        return out
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later plan reads."""
         jvm = self.spark._jvm

@@ -271,5 +271,7 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 
 def op3_grammar_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = Scratch(spark, "op3").table("shards", write_shards(table(spark, sf_dir, "documents")))
-    return read_shards(shards).join(shard_starts(shards.select("part", "seq", "n_ids")), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    scratch = Scratch(spark, "op3")
+    shards = scratch.table("shards", write_shards(table(spark, sf_dir, "documents")))
+    read = read_shards(shards).join(shard_starts(shards.select("part", "seq", "n_ids")), ["part", "seq"])
+    return scratch.last(read.select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"))

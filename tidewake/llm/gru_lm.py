@@ -411,9 +411,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         F.sum(F.when(c > 0, F.col("times")).otherwise(F.lit(0))).alias("more_known"), F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"))
     one = network_scores(rows, scorer.network).join(rare, "key", "left")
     more = F.coalesce("more", F.lit(0.0))
-    return one.select(
+    return scratch.last(one.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"), (F.col("lp") + F.col("share") - F.col("tail") * F.lit(scorer.tail) + more).alias("score"))
+        (F.col("base_score") + more).alias("base_score"), (F.col("lp") + F.col("share") - F.col("tail") * F.lit(scorer.tail) + more).alias("score")))
 
 
 def op6_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,10 +174,10 @@ def _islands(items: DataFrame, level: int, capacity: int, islands: int, migrated
     return items.groupBy("block", "island").applyInPandas(run, f"block long, island int, {_PIECE}, bin long, fill long, offset long, n_bins long, square double")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, scratch: Scratch | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (those of cut_documents(), written, or others, which get numbers here) of at most the capacity. Blocks are dealt
     by the row's number, so repeated rows spread like others."""
-    scratch = Scratch(pieces.sparkSession, "pack")
+    scratch = scratch or Scratch(pieces.sparkSession, "pack")
     if "row" not in pieces.columns:
         pieces = scratch.table("numbered", pieces.withColumn("row", F.monotonically_increasing_id()))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -206,7 +206,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_I
         if last:
             break
         rest, level, n = won.filter(~keep).select(_NAMES), level + 1, left
-    return out
+    return scratch.last(out)
 
 
 def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,4 +215,5 @@ def op8_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the packing of all documents."""
-    return pack(Scratch(spark, "pieces").table("pieces", cut_documents(docs)))
+    scratch = Scratch(spark, "pack")
+    return pack(scratch.table("pieces", cut_documents(docs)), scratch=scratch)

@@ -174,7 +174,7 @@ def op2_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = s.table("monolithic", monolithic_archives(with_record_types(table(spark, sf_dir, "pages"))), codec="uncompressed")
     done = s.table("members", normalised_archives(raw), codec="uncompressed")
     s.drop("monolithic")
-    return read_archives(done).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return s.last(read_archives(done).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 OP2_SQL = """
