@@ -66,18 +66,18 @@ def area_bounds(areas: DataFrame, radius_m: float) -> DataFrame:
 
 def classify_areas(df: DataFrame, areas: DataFrame, radius_m: float = 2000.0, s: Spec = AIS) -> DataFrame:
     """Adds area_id (the last area, by id, that holds the point) and label (-1 inside, 0 outside; later duplicates of object and time get 0).
-    Areas go to the cells around them, points look up their own. Few areas are broadcast after a count; many meet the points in a shuffle."""
+    Areas go to the cells around them, a point looks up the list of its own cell: no row is multiplied. Few areas are broadcast after a count; many meet the points
+    in a shuffle."""
     g = Grid(radius_m)
-    grid = areas.select(F.col("area_id").alias("_a"), F.col("lon").alias("_x"), F.col("lat").alias("_y"))
-    grid = grid.withColumn("_band", F.explode(F.array(*[g.band(F.col("_y")) + i for i in (-1, 0, 1)]))).withColumn("_cell", F.explode(g.around(F.col("_x"), F.col("_band"))))
-    key = df.select(*{s.oid: 0, s.ts: 0, s.lon: 0, s.lat: 0, **dict.fromkeys(s.tie, 0)}).withColumn("_band", g.band(F.col(s.lat)))
+    grid = areas.select(F.col("area_id").alias("a"), F.col("lon").alias("x"), F.col("lat").alias("y")).withColumn("_band", F.explode(F.array(*[g.band(F.col("y")) + i for i in (-1, 0, 1)])))
+    grid = grid.withColumn("_cell", F.explode(g.around(F.col("x"), F.col("_band")))).groupBy("_band", "_cell").agg(F.collect_list(F.struct("a", "x", "y")).alias("_near"))  # the areas around a cell
     if areas.limit(BROADCAST_AREAS + 1).count() <= BROADCAST_AREAS:
         grid = F.broadcast(grid)
-    ids = [s.oid, s.ts, *s.tie]
-    hit = key.withColumn("_cell", g.cell(F.col(s.lon), F.col("_band"))).join(grid, ["_band", "_cell"]).filter(haversine_m(s.lon, s.lat, "_x", "_y") <= radius_m).groupBy(*ids).agg(F.max("_a").alias("area_id"))
-    out = df.join(hit, ids, "left")
-    first = F.row_number().over(Window.partitionBy(s.oid, s.ts).orderBy(*s.tie)) == 1
-    return out.withColumn("label", F.when(F.col("area_id").isNotNull() & first, -1).otherwise(0))
+    d = df.withColumn("_band", g.band(F.col(s.lat))).withColumn("_cell", g.cell(F.col(s.lon), F.col("_band"))).join(grid, ["_band", "_cell"], "left")
+    here = F.filter("_near", lambda p: haversine_m(s.lon, s.lat, p["x"], p["y"]) <= radius_m)
+    d = d.withColumn("area_id", F.array_max(F.transform(here, lambda p: p["a"]))).drop("_band", "_cell", "_near")
+    again = F.coalesce(F.lag(s.ts).over(Window.partitionBy(s.oid).orderBy(s.ts, *s.tie)) == F.col(s.ts), F.lit(False))
+    return d.withColumn("label", F.when(F.col("area_id").isNotNull() & ~again, -1).otherwise(0))
 
 
 def nearest_area(df: DataFrame, areas: DataFrame, s: Spec = AIS, block: int = BROADCAST_AREAS) -> DataFrame:

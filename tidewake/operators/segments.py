@@ -57,16 +57,16 @@ def points_of_interest(df: DataFrame, feature: str = "velocity", alpha: float =
     """(object, pois): row numbers from 0 where the smoothed change of the feature is an outlier, with 0 and the last row. Of the outliers the
     first and all others stay, except the last one if it does not follow its predecessor at once."""
     w, per = order_of(s), Window.partitionBy(s.oid)
-    d = smoothed_change(feature, window, s)(df.withColumn("_i", (F.row_number().over(w) - 1).cast("int")).withColumn("_last", (F.count(F.lit(1)).over(per) - 1).cast("int")))
-    q = d.groupBy(s.oid).agg(F.percentile("change", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.max("_last").alias("_last"))
+    d = smoothed_change(feature, window, s)(df.withColumn("_i", (F.row_number().over(w) - 1).cast("int")))
+    q = F.percentile("change", F.array(F.lit(0.25), F.lit(0.75))).over(per)
+    d = d.select(s.oid, "_i", "change", q.alias("_q"))  # all on the object's partitioning: one exchange
     iqr = (F.col("_q")[1] - F.col("_q")[0]) * F.lit(float(alpha))
-    x = d.drop("_last").join(q, s.oid).filter((F.col("change") > F.col("_q")[1] + iqr) | (F.col("change") < F.col("_q")[0] - iqr))
-    o = Window.partitionBy(s.oid).orderBy("_i")
-    x = x.withColumn("_before", F.lag("_i").over(o)).withColumn("_after", F.lead("_i").over(o))
-    x = x.filter(F.col("_before").isNull() | F.col("_after").isNotNull() | (F.col("_i") - F.col("_before") == 1))
-    kept = x.groupBy(s.oid).agg(F.collect_set("_i").alias("_k"))
-    none = F.array().cast("array<int>")
-    return q.join(kept, s.oid, "left").select(s.oid, F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.coalesce("_k", none), F.array("_last")))).alias("pois"))
+    out = (F.col("change") > F.col("_q")[1] + iqr) | (F.col("change") < F.col("_q")[0] - iqr)
+    g = d.groupBy(s.oid).agg(F.max("_i").alias("_last"), F.array_sort(F.collect_list(F.when(out, F.col("_i")))).alias("_k"))
+    n = F.size("_k")
+    loose = (n >= 2) & (F.get("_k", n - 1) - F.get("_k", n - 2) != 1)
+    kept = F.when(loose, F.slice("_k", F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(F.col("_k"))
+    return g.select(s.oid, F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), kept, F.array("_last")))).alias("pois"))
 
 
 def adaptive_points_of_interest(df: DataFrame, feature: str = "velocity", window: int = 100, most: int = 100, s: Spec = AIS) -> DataFrame:

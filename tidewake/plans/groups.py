@@ -169,8 +169,43 @@ def g3_mine_partitions(s, d):
     return _partitions(s, d).select("bin", text(), "st", "et")
 
 
-query("g5_reduce_partitions")(lambda s, d: G.reduce_partitions(_partitions(s, d), 2, FRAME_S, FRAME_S).select(text(), "st", "et"))
-query("g8_reduce_by_containment")(lambda s, d: G.reduce_by_containment(_partitions(s, d), FRAME_S, FRAME_S).select(text(), "st", "et"))
+# Partitions in time order: pt holds their patterns, dn what has been chained so far (all rows carry the last partition's number).
+PT = f"""{COMPONENTS}, {FOUR_PARTS}, {MINED}, e AS (SELECT part, max(n) AS top, min(frame) AS lo FROM nf GROUP BY part),
+mp AS (SELECT part, clusters, st, et FROM act a JOIN e USING (part) WHERE n = top OR {ENDED} AND (et - st >= {FRAME_S} OR st = lo)),
+pt AS (SELECT dense_rank() OVER (ORDER BY part) AS k, clusters, st, et, min(st) OVER (PARTITION BY part) AS s0 FROM mp)"""
+NEXT_TO = f"p.k = (SELECT max(k) + 1 FROM dn) AND p.s0 - (SELECT max(et) FROM dn) = {FRAME_S}"
+LAST = "a.et = (SELECT max(et) FROM dn)"
+FIRST = "SELECT k, clusters, st, et FROM pt WHERE k = 1"
+REST = f"SELECT p.k, p.clusters, p.st, p.et FROM pt p WHERE p.k = (SELECT max(k) + 1 FROM dn) AND NOT (p.st = p.s0 AND {NEXT_TO})"
+GOES_ON = "a.k < (SELECT max(k) FROM pt)"
+CHAINED = f"""dn(k, clusters, st, et) AS ({FIRST} UNION ALL SELECT * FROM (
+ SELECT a.k + 1, a.clusters, a.st, a.et FROM dn a WHERE {GOES_ON} AND NOT ({LAST} AND EXISTS (SELECT 1 FROM pt p WHERE {NEXT_TO} AND p.st = p.s0 AND list_has_all(p.clusters, a.clusters)))
+ UNION ALL {REST}
+ UNION ALL SELECT k, clusters, min(st), max(et) FROM (
+  SELECT p.k, list_sort(list_intersect(a.clusters, p.clusters)) AS clusters, a.st, p.et FROM dn a JOIN pt p ON {NEXT_TO} AND p.st = p.s0 WHERE {LAST} AND len(list_intersect(a.clusters, p.clusters)) >= 2
+  UNION ALL SELECT p.k, p.clusters, p.st, p.et FROM pt p WHERE {NEXT_TO} AND p.st = p.s0 AND NOT EXISTS (SELECT 1 FROM dn a WHERE {LAST} AND list_has_all(a.clusters, p.clusters))) GROUP BY k, clusters))"""
+
+
+@query("g5_reduce_partitions", f"""WITH RECURSIVE {PT}, {CHAINED}, z AS (SELECT * FROM dn WHERE k = (SELECT max(k) FROM pt))
+SELECT {TEXT}, st, et FROM z WHERE et = (SELECT max(et) FROM z) OR st = (SELECT min(st) FROM z) OR et - st >= {FRAME_S}""")
+def g5_reduce_partitions(s, d):
+    return G.reduce_partitions(_partitions(s, d), 2, FRAME_S, FRAME_S).select(text(), "st", "et")
+
+
+CONTAINED = f"""dn(k, clusters, st, et) AS ({FIRST} UNION ALL SELECT * FROM (
+ SELECT a.k + 1, a.clusters, a.st, a.et FROM dn a WHERE {GOES_ON} AND NOT ({LAST} AND EXISTS (SELECT 1 FROM pt p WHERE {NEXT_TO}))
+ UNION ALL {REST}
+ UNION ALL SELECT k, clusters, st, et FROM (
+  SELECT p.k, p.clusters, least(p.st, coalesce((SELECT min(a.st) FROM dn a WHERE {LAST} AND list_has_all(a.clusters, p.clusters)), p.st)) AS st, p.et FROM pt p WHERE {NEXT_TO} AND p.st = p.s0
+  UNION ALL SELECT a.k + 1, a.clusters, a.st, greatest(a.et, coalesce((SELECT max(p.et) FROM pt p WHERE {NEXT_TO} AND p.st = p.s0 AND list_has_all(p.clusters, a.clusters) AND len(p.clusters) > len(a.clusters)), a.et)) FROM dn a
+   WHERE {LAST} AND EXISTS (SELECT 1 FROM pt p WHERE {NEXT_TO}) AND NOT EXISTS (SELECT 1 FROM pt p WHERE {NEXT_TO} AND p.st = p.s0 AND p.clusters = a.clusters)) WHERE et - st >= {FRAME_S}))"""
+
+
+@query("g8_reduce_by_containment", f"WITH RECURSIVE {PT}, {CONTAINED} SELECT {TEXT}, st, et FROM dn WHERE k = (SELECT max(k) FROM pt)")
+def g8_reduce_by_containment(s, d):
+    return G.reduce_by_containment(_partitions(s, d), FRAME_S, FRAME_S).select(text(), "st", "et")
+
+
 HELD = f"""nf AS (SELECT frame, row_number() OVER (ORDER BY frame) AS n FROM (SELECT DISTINCT frame FROM groups)), present AS (SELECT n, clusters, frame FROM groups JOIN nf USING (frame)),
 act(n, clusters, st, et) AS (SELECT n, clusters, frame, frame FROM present WHERE n = 1 UNION ALL
  SELECT n, clusters, min(st), max(et) FROM (
