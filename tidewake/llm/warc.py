@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +29,20 @@ EPOCH = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_bytes(page_id, url: str | None, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    """One WARC/1.1 record. A revisit has no block; its headers tell the payload's digest and length and whom it repeats."""
+def record_id(kind: str, page_id, digest: str, place: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind}:{page_id}:{digest}:{place}')}>"
+
+
+def record_bytes(page_id, url: str | None, payload: bytes, digest: str, kind: str, refers_to, place: str = "") -> bytes:
+    """One WARC/1.1 record. A revisit has no block; its headers tell the payload's digest and length and whom it repeats. place makes the id of a record that
+    no other refers to its own, also where rows or null ids repeat."""
     block = payload if kind == "response" else b""
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}')}>", f"WARC-Date: {EPOCH}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(kind, page_id, digest, place if kind == 'revisit' or len(payload) < MIN_REVISIT else '')}", f"WARC-Date: {EPOCH}",
         f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{refers_to}')}>", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id('response', refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -117,13 +123,14 @@ def monolithic_archives(typed: DataFrame, archive_bytes: int = ARCHIVE_BYTES) ->
     """(archive): gzip streams over many records each, about archive_bytes of records per stream; a record is never split."""
 
     def write(batches):
-        c, size = None, 0
+        c, size, n, partition = None, 0, 0, TaskContext.get().partitionId()
         parts: list[bytes] = []
         for b in batches:
             for row in zip(b["page_id"], b["url"], b["payload"], b["digest"], b["record_type"], b["refers_to"]):
                 if c is None:
                     c, size, parts = zlib.compressobj(6, zlib.DEFLATED, 31), 0, []
-                r = record_bytes(*row)
+                r = record_bytes(*row, place=f"{partition}-{n}")
+                n += 1
                 parts.append(c.compress(r))
                 size += len(r)
                 if size >= archive_bytes:
