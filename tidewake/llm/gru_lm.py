@@ -135,7 +135,7 @@ class Network:
             e[at, cls] -= 1
             d = {"c": h.T @ e, "cb": np.ones(len(h), np.float32) @ e, "o": np.zeros_like(self.w["o"]), "ob": np.zeros_like(self.w["ob"])}
             dh = e @ self.w["c"].T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # 16-bit keys sort by radix
         edges = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
         hs, places = h.take(order, 0), place.take(order)
         every = np.ones(self.per, np.float32)
@@ -190,8 +190,12 @@ class Network:
                 h, (gates[t], news[t], gh) = self.step(tokens[t], h)
                 pulls[t] = gh[:, 2 * k :]
             real = x[a:b] >= 0
-            dh_out = np.zeros_like(before)
-            _, dh_out[real], g = self.outputs(before[real], x[a:b][real], grads=True)
+            if real.all():
+                _, dh_out, g = self.outputs(before.reshape(-1, k), tokens.ravel(), grads=True)
+                dh_out = dh_out.reshape(before.shape)
+            else:
+                dh_out = np.zeros_like(before)
+                _, dh_out[real], g = self.outputs(before[real], tokens[real], grads=True)
             z, r = gates[:, :, :k], gates[:, :, k:]
             to_new, to_z, to_r = (1 - z) * (1 - news * news), (before - news) * z * (1 - z), pulls * r * (1 - r)
             gx, gg = np.empty((size, lanes, 3 * k), np.float32), np.empty((size, lanes, 3 * k), np.float32)
@@ -210,7 +214,7 @@ class Network:
                 dh *= going[t]
             g["u"] = before.reshape(-1, k).T @ gg.reshape(-1, 3 * k)
             flat = tokens.ravel()
-            order = np.argsort(flat, kind="stable")
+            order = np.argsort(flat.astype(np.uint16), kind="stable")
             first = np.flatnonzero(np.diff(flat[order], prepend=-1))
             g["x"] = np.zeros_like(self.w["x"])
             g["x"][flat[order][first]] = np.add.reduceat(gx.reshape(-1, 3 * k)[order], first)
@@ -285,8 +289,6 @@ class Scorer:
 def prepared(docs: DataFrame, shared) -> DataFrame:
     """A row per document under a number of its own (key): doc_id, train, h (a hash of the id, for an order), n_tokens, n_known, base_score, share (log10 parts that
     the broadcast counts tell), tail (tokens outside the vocabulary), tokens (16-bit numbers), and the words without broadcast counts with their times."""
-    columns = ["key", "doc_id", "train", "h", "n_tokens", "n_known", "base_score", "share", "tail", "tokens", "rare", "times"]
-
     def prepare(batches):
         from collections import Counter
 
@@ -296,18 +298,24 @@ def prepared(docs: DataFrame, shared) -> DataFrame:
         Memory.use("gru", lambda: None)
         other, get = len(s.at), s.at.get
         for b in batches:
-            out = {k: [] for k in columns}
-            out |= {k: b[k] for k in ("doc_id", "train", "h")}
-            for t in b["text"]:
-                words = [*words_of(t), END]
-                r = np.fromiter(map(get, words, itertools.repeat(other)), np.int64, len(words))
-                tokens = s.token[r]
-                rare = Counter(words[i] for i in np.flatnonzero(r == other).tolist())
-                row = (key, len(words), int(s.have[r].sum()), float(s.log[r].sum()) - len(words) * s.base, float(s.share[r].sum()), int((tokens == s.network.words).sum()), tokens.astype("<u2").tobytes(), list(rare.keys()), list(rare.values()))
-                for k, x in zip(("key", *columns[4:]), row):
-                    out[k].append(x)
-                key += 1
-            yield out
+            texts = [[*words_of(t), END] for t in b["text"]]
+            size = np.array([len(words) for words in texts], np.int64)
+            begin = np.cumsum(size) - size
+            every = list(itertools.chain.from_iterable(texts))
+            r = np.fromiter(map(get, every, itertools.repeat(other)), np.int64, len(every))
+            tokens = s.token[r].astype("<u2")
+            sums = lambda v: np.add.reduceat(v, begin)  # noqa: E731  every document has its end token
+            unknown = np.flatnonzero(r == other)
+            edges = np.searchsorted(unknown, np.append(begin, len(every))).tolist()
+            unknown = unknown.tolist()
+            rare = [Counter([every[i] for i in unknown[x:y]]) if x < y else {} for x, y in zip(edges, edges[1:])]
+            raw, ends = tokens.tobytes(), (2 * (begin + size)).tolist()
+            yield {k: b[k] for k in ("doc_id", "train", "h")} | {
+                "key": key + np.arange(len(texts)), "n_tokens": size, "n_known": sums(s.have[r].astype(np.int64)), "base_score": sums(s.log[r]) - size * s.base, "share": sums(s.share[r]),
+                "tail": sums((tokens == s.network.words).astype(np.int64)), "tokens": [raw[i:j] for i, j in zip((2 * begin).tolist(), ends)],
+                "rare": [list(c.keys()) for c in rare], "times": [list(c.values()) for c in rare],
+            }
+            key += len(texts)
 
     train = F.coalesce(crc_mod("doc_id", PARTS) != HOLD, F.lit(False)).alias("train")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train, F.xxhash64("doc_id").alias("h"), "text")
