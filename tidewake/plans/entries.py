@@ -228,6 +228,16 @@ def st3_pending_instants(s, d):
     return out.select("mmsi", "grid_ts", X.portable(F.col("lon")).alias("lon"))
 
 
+@query("st5_incremental_mining", ORACLE_SQL["g2_mine_convoys"])
+def st5_incremental_mining(s, d):
+    """Clusters arrive as a stream; active patterns are carried from batch to batch."""
+    path = fresh_path(s, "clusters")
+    G.frame_clusters(pairs(s, d), "convoys", 2).write.parquet(path)
+    miner = T.IncrementalMiner(2, FRAME_S)
+    s.readStream.schema(G.CLUSTER).parquet(path).writeStream.foreachBatch(miner).option("checkpointLocation", fresh_path(s, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return s.createDataFrame([(",".join(map(str, c)), st, et) for c, st, et in miner.patterns()], "clusters string, st long, et long")
+
+
 @query("st7_session_windows", f"""WITH {AIS1}, b AS (SELECT mmsi, ts, sum(brk) OVER (PARTITION BY mmsi ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER w > 43200 THEN 1 ELSE 0 END AS brk FROM ais1 {W}))
 SELECT mmsi, min(ts) AS st, max(ts) AS et, count(*) AS n FROM b GROUP BY mmsi, session""")
 def st7_session_windows(s, d):

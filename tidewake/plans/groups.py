@@ -192,6 +192,12 @@ def g5_reduce_partitions(s, d):
     return G.reduce_partitions(_partitions(s, d), 2, FRAME_S, FRAME_S).select(text(), "st", "et")
 
 
+@query("g4_merge_two_partitions", f"""WITH RECURSIVE {PT.replace(' * 4 / ', ' * 2 / ')}, {CHAINED}, z AS (SELECT * FROM dn WHERE k = (SELECT max(k) FROM pt))
+SELECT {TEXT}, st, et FROM z WHERE et = (SELECT max(et) FROM z) OR st = (SELECT min(st) FROM z) OR et - st >= {FRAME_S}""")
+def g4_merge_two_partitions(s, d):
+    return G.reduce_partitions(_partitions(s, d, 2), 2, FRAME_S, FRAME_S).select(text(), "st", "et")
+
+
 CONTAINED = f"""dn(k, clusters, st, et) AS ({FIRST} UNION ALL SELECT * FROM (
  SELECT a.k + 1, a.clusters, a.st, a.et FROM dn a WHERE {GOES_ON} AND NOT ({LAST} AND EXISTS (SELECT 1 FROM pt p WHERE {NEXT_TO}))
  UNION ALL {REST}
@@ -220,9 +226,9 @@ def g6_mine_by_containment(s, d):
     return G.mine_by_containment(G.frame_clusters(pairs(s, d), "convoys", 2), 2, FRAME_S).select(text(), "st", "et")
 
 
-def _partitions(s, d):
+def _partitions(s, d, n=4):
     f = frames_at(s, d).select("frame").distinct()
-    bins = P.time_bins(f, "frame", 4).select("frame", F.col("bin").cast("long").alias("bin"))
+    bins = P.time_bins(f, "frame", n).select("frame", F.col("bin").cast("long").alias("bin"))
     return G.mine_partition(G.frame_clusters(pairs(s, d), "convoys", 2), bins, 2, FRAME_S)
 
 
