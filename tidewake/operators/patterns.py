@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..columns import AIS, EARTH_KM, Spec
 from .components import connected
 
 CLUSTER = "frame long, clusters array<bigint>"
@@ -54,6 +56,10 @@ def maximal_cliques(near: dict[int, set[int]]) -> list[list[int]]:
     return out
 
 
+def _cluster_rows(frame: int, got: list[list[int]]) -> pd.DataFrame:
+    return pd.DataFrame({"frame": pd.Series([frame] * len(got), dtype="int64"), "clusters": pd.Series(got, dtype=object)})
+
+
 def frame_clusters(pairs: DataFrame, mode: str = "convoys", least: int = 2) -> DataFrame:
     """(frame, clusters) with at least so many members: connected components (convoys) or maximal cliques (flocks) of each frame's pairs.
     Frames are independent; only a frame's edges are together in one task."""
@@ -68,11 +74,101 @@ def frame_clusters(pairs: DataFrame, mode: str = "convoys", least: int = 2) -> D
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = [c for c in find(_adjacency(pdf)) if len(c) >= least]
-        return pd.DataFrame({"frame": [pdf["frame"].iloc[0]] * len(got), "clusters": got})
+        return _cluster_rows(pdf["frame"].iloc[0], got)
 
     return pairs.select(F.col("frame").cast("long"), F.col("src").cast("long"), F.col("dst").cast("long")).groupBy("frame").applyInPandas(run, CLUSTER)
 
 
+class Sets:
+    """Disjoint sets of the numbers below n."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, v: int) -> int:
+        up = self.up
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    def join(self, v: int, w: int) -> None:
+        self.up[self.find(w)] = self.find(v)
+
+
+def _metres(lon1, lat1, lon2, lat2):
+    """haversine_m on arrays."""
+    p1, p2 = np.radians(lat1), np.radians(lat2)
+    dy, dx = np.sin((p2 - p1) / 2), np.sin((np.radians(lon2) - np.radians(lon1)) / 2)
+    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, dy * dy + np.cos(p1) * np.cos(p2) * dx * dx))) * 1000.0
+
+
+def _any_within(a: np.ndarray, b: np.ndarray, radius_m: float, block: int = 1 << 20) -> bool:
+    """Whether a point of a is within the radius of one of b (rows of lon, lat), in blocks of pairs."""
+    if len(a) < len(b):
+        a, b = b, a
+    for j in range(0, len(b), 1024):
+        y = b[j : j + 1024]
+        rows = max(1, block // len(y))
+        for i in range(0, len(a), rows):
+            x = a[i : i + rows, None]
+            if (_metres(x[..., 0], x[..., 1], y[:, 0], y[:, 1]) < radius_m).any():
+                return True
+    return False
+
+
+def point_components(objects, lon, lat, radius_m: float) -> list[list[int]]:
+    """Components of two or more objects that are linked by distances below the radius, without a list of all pairs. Points of a cube whose diagonal is shorter than the
+    radius belong together; two cubes at most two apart are compared as long as nothing else has joined them, by their first points and then by all."""
+    fine = np.isfinite(lon) & np.isfinite(lat)
+    at, position = np.unique(np.stack([lon[fine], lat[fine]], 1), axis=0, return_inverse=True)
+    if not len(at) or not radius_m > 0:
+        return []
+    x, y = np.radians(at[:, 0]), np.radians(at[:, 1])
+    side = 2 * np.sin(min(np.pi / 2, radius_m / (2000 * EARTH_KM))) / np.sqrt(3) * 0.999
+    cube = np.floor((np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], 1) + 1) / side).astype(np.int64)
+    cubes, cell = np.unique(cube, axis=0, return_inverse=True)
+    cell = cell.ravel()
+    order = np.argsort(cell, kind="stable")
+    ends = np.searchsorted(cell[order], np.arange(len(cubes) + 1))
+    first, size, sets = order[ends[:-1]], np.diff(ends), Sets(len(cubes))
+    number = {c: i for i, c in enumerate(map(tuple, cubes.tolist()))}
+    steps = sorted(((i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)), key=lambda s: sum(d * d for d in s))
+    open_ = []
+    for step in steps:
+        met = [(i, number[c]) for i, c in enumerate(map(tuple, (cubes + step).tolist())) if c in number]
+        a, b = np.array(met, np.int64).reshape(-1, 2).T
+        near = _metres(at[first[a], 0], at[first[a], 1], at[first[b], 0], at[first[b], 1]) < radius_m
+        for v, w in zip(a[near].tolist(), b[near].tolist()):
+            sets.join(v, w)
+        left = ~near & (size[a] * size[b] > 1)
+        open_ += zip(a[left].tolist(), b[left].tolist())
+    ids = np.asarray(objects)[fine]
+    one, again = np.unique(ids, return_inverse=True)
+    if len(one) < len(ids):  # an object at several places links them
+        home = cell[position.ravel()]
+        begin: dict[int, int] = {}
+        for o, c in zip(again.tolist(), home.tolist()):
+            sets.join(begin.setdefault(o, c), c)
+    for v, w in open_:
+        if sets.find(v) != sets.find(w) and _any_within(at[order[ends[v] : ends[v + 1]]], at[order[ends[w] : ends[w + 1]]], radius_m):
+            sets.join(v, w)
+    label = np.array([sets.find(c) for c in range(len(cubes))])[cell][position.ravel()]
+    groups = pd.Series(ids).groupby(label).unique()
+    return [sorted(g.tolist()) for g in groups if len(g) > 1]
+
+
+def frame_components(points: DataFrame, radius_m: float, frame: str = "ts", least: int = 2, s: Spec = AIS) -> DataFrame:
+    """(frame, clusters): what frame_clusters makes of the pairs strictly within the radius as convoys, but found on the points, as pairs grow with the square of a crowd.
+    Frames are independent; only a frame's points are together in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [c for c in point_components(pdf["o"].to_numpy(), pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), radius_m) if len(c) >= least]
+        return _cluster_rows(pdf["frame"].iloc[0], got)
+
+    p = points.select(F.col(frame).cast("long").alias("frame"), F.col(s.oid).cast("long").alias("o"), F.col(s.lon).cast("double").alias("x"), F.col(s.lat).cast("double").alias("y"))
+    return p.dropna().groupBy("frame").applyInPandas(run, CLUSTER)
+
+
 def numbered(clusters: DataFrame) -> DataFrame:
     """st and et of single frames."""
     return clusters.select("clusters", F.col("frame").alias("st"), F.col("frame").alias("et"))
@@ -88,11 +184,19 @@ def merge_equal(p: DataFrame, on: list[str] = ()) -> DataFrame:
     return p.groupBy(*on, "clusters").agg(F.min("st").alias("st"), F.max("et").alias("et"))
 
 
+def _keyed(p: DataFrame) -> DataFrame:
+    """Adds _p, a digest of clusters, st and et, that stands for a pattern where its list of members would travel with every member."""
+    return p.withColumn("_p", F.unhex(F.sha2(F.to_json(F.struct("clusters", "st", "et")), 256)))
+
+
 def shared_members(present: DataFrame, past: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of patterns that share a member, with the shared members: an equi-join on members, grouped."""
-    b = present.select(*on, F.col("clusters").alias("b"), F.col("st").alias("bst"), F.col("et").alias("bet"), F.explode("clusters").alias("_m"))
-    a = past.select(*on, F.col("clusters").alias("a"), F.col("st").alias("ast"), F.col("et").alias("aet"), F.explode("clusters").alias("_m"))
-    return a.join(b, [*on, "_m"]).groupBy(*on, "a", "ast", "aet", "b", "bst", "bet").agg(F.array_sort(F.collect_list("_m")).alias("common"))
+    """Pairs of patterns that share a member, with the shared members: an equi-join on members, grouped. Members carry digests of their patterns; the lists join the pairs."""
+    present, past = (_keyed(p.select(*on, "clusters", "st", "et")) for p in (present, past))
+    b = present.select(*on, F.col("_p").alias("_b"), F.explode("clusters").alias("_m"))
+    a = past.select(*on, F.col("_p").alias("_a"), F.explode("clusters").alias("_m"))
+    met = a.join(b, [*on, "_m"]).groupBy(*on, "_a", "_b").agg(F.array_sort(F.collect_list("_m")).alias("common"))
+    named = lambda p, x: p.dropDuplicates([*on, "_p"]).select(*on, F.col("_p").alias(f"_{x}"), F.col("clusters").alias(x), F.col("st").alias(f"{x}st"), F.col("et").alias(f"{x}et"))
+    return met.join(named(past, "a"), [*on, "_a"]).join(named(present, "b"), [*on, "_b"]).select(*on, "a", "ast", "aet", "b", "bst", "bet", "common")
 
 
 def intersection_links(present: DataFrame, past: DataFrame, least: int, on: list[str] = ()) -> DataFrame:
@@ -308,10 +412,12 @@ def reduce_by_containment(parts: DataFrame, step_s: int, threshold_s: int) -> Da
 
 
 def pattern_velocity(patterns: DataFrame, points: DataFrame, oid: str = "mmsi", ts: str = "ts", velocity: str = "velocity") -> DataFrame:
-    """Mean velocity of a pattern's members between its start and end: members are exploded into an equi-join on the object."""
-    m = patterns.withColumn("_o", F.explode("clusters"))
+    """Mean velocity of a pattern's members between its start and end: members are exploded into an equi-join on the object and carry the pattern's digest only."""
+    p = _keyed(patterns)
+    m = p.select("_p", "st", "et", F.explode("clusters").alias("_o"))
     j = m.join(points.select(F.col(oid).alias("_o"), F.col(ts).alias("_t"), F.col(velocity).alias("_v")), "_o").filter("_t >= st AND _t <= et")
-    return j.groupBy("clusters", "st", "et").agg(F.avg("_v").alias("mean_velocity"), F.count(F.lit(1)).alias("n_points"))
+    means = j.groupBy("_p").agg(F.avg("_v").alias("mean_velocity"), F.count(F.lit(1)).alias("n_points"))
+    return p.select("_p", "clusters", "st", "et").dropDuplicates(["_p"]).join(means, "_p").select("clusters", "st", "et", "mean_velocity", "n_points")
 
 
 def long_enough(patterns: DataFrame, minutes: int) -> DataFrame:
