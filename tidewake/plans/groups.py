@@ -17,6 +17,10 @@ def pairs(s, d):
     return A.pairs_within(frames_at(s, d), PAIR_M, FRAME_SPEC_COLUMN)
 
 
+def convoys(s, d, least=2):
+    return G.frame_components(frames_at(s, d), PAIR_M, FRAME_SPEC_COLUMN, least)
+
+
 def text(c: str = "clusters"):
     return F.array_join(c, ",").alias(c)
 
@@ -42,12 +46,12 @@ lab AS (SELECT frame, a, min(m) AS m FROM reach GROUP BY frame, a), groups AS (S
 
 @query("a5_components", f"WITH RECURSIVE {COMPONENTS} SELECT frame, {TEXT} FROM groups")
 def a5_components(s, d):
-    return G.frame_clusters(pairs(s, d), "convoys").select("frame", text())
+    return convoys(s, d).select("frame", text())
 
 
 @query("a7_clusters_per_frame", f"WITH RECURSIVE {COMPONENTS} SELECT {TEXT}, frame AS st, frame AS et FROM groups WHERE len(clusters) >= 3")
 def a7_clusters_per_frame(s, d):
-    return G.numbered(G.frame_clusters(pairs(s, d), "convoys", 3)).select(text(), "st", "et")
+    return G.numbered(convoys(s, d, 3)).select(text(), "st", "et")
 
 
 # Present and past frames side by side: n numbers the frames, past groups are shifted by one.
@@ -116,7 +120,8 @@ def _open_closed(s, d):
 
 def _mine(s, d, mode):
     f = frames_at(s, d)
-    return G.mine(G.frame_clusters(pairs(s, d), mode, 2), f.select("frame"), 2, FRAME_S)
+    clusters = G.frame_clusters(pairs(s, d), mode, 2) if mode == "flocks" else convoys(s, d)
+    return G.mine(clusters, f.select("frame"), 2, FRAME_S)
 
 
 def _groups_of_sites(s, d):
@@ -160,7 +165,7 @@ def g2_mine_flocks(s, d):
 
 @query("g2_mine_by_group", f"WITH RECURSIVE {COMPONENTS}, {ONE_PART}, {MINED} {WHOLE}")
 def g2_mine_by_group(s, d):
-    return G.mine(G.frame_clusters(pairs(s, d), "convoys", 2), frames_at(s, d).select("frame"), 2, FRAME_S, _groups_of_sites(s, d)).select(text(), "st", "et")
+    return G.mine(convoys(s, d), frames_at(s, d).select("frame"), 2, FRAME_S, _groups_of_sites(s, d)).select(text(), "st", "et")
 
 
 @query("g3_mine_partitions", f"""WITH RECURSIVE {COMPONENTS}, {FOUR_PARTS}, {MINED}, e AS (SELECT part, max(n) AS top, min(frame) AS lo FROM nf GROUP BY part)
@@ -223,13 +228,13 @@ act(n, clusters, st, et) AS (SELECT n, clusters, frame, frame FROM present WHERE
 @query("g6_mine_by_containment", f"""WITH RECURSIVE {COMPONENTS}, {HELD} SELECT {TEXT}, st, et FROM act a WHERE n = (SELECT max(n) FROM nf)
 OR NOT EXISTS (SELECT 1 FROM act b WHERE b.n = a.n + 1 AND b.clusters = a.clusters) AND et - st >= {FRAME_S}""")
 def g6_mine_by_containment(s, d):
-    return G.mine_by_containment(G.frame_clusters(pairs(s, d), "convoys", 2), 2, FRAME_S).select(text(), "st", "et")
+    return G.mine_by_containment(convoys(s, d), 2, FRAME_S).select(text(), "st", "et")
 
 
 def _partitions(s, d, n=4):
     f = frames_at(s, d).select("frame").distinct()
     bins = P.time_bins(f, "frame", n).select("frame", F.col("bin").cast("long").alias("bin"))
-    return G.mine_partition(G.frame_clusters(pairs(s, d), "convoys", 2), bins, 2, FRAME_S)
+    return G.mine_partition(convoys(s, d), bins, 2, FRAME_S)
 
 
 query("velocity_of_frames", f"WITH {FRAMES} SELECT frame, {r6('avg(speed)')} AS mean_speed, count(*) AS n FROM frames GROUP BY frame")(lambda s, d: frames_at(s, d).groupBy("frame").agg((F.floor(F.avg("speed") * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).alias("mean_speed"), F.count(F.lit(1)).alias("n")))
