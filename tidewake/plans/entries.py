@@ -16,7 +16,7 @@ from ..sources import io
 from ..sources.shared import fresh_path
 from ..streaming import align as T
 from ..streaming import driver as D
-from .groups import FRAME_S, LINKS, SIDES, TEXT, pairs, sides, text
+from .groups import FRAME_S, LINKS, SIDES, TEXT, convoys, sides, text
 from .tracks import ENDS, NM, POI, TRIPS, W, grid_sql
 from .video import PIX
 from .views import AIS, AIS1, FRAMES, ORACLE_SQL, ais, ais1, frames_at, hav, query, r6, table
@@ -232,7 +232,7 @@ def st3_pending_instants(s, d):
 def st5_incremental_mining(s, d):
     """Clusters arrive as a stream; active patterns are carried from batch to batch."""
     path = fresh_path(s, "clusters")
-    G.frame_clusters(pairs(s, d), "convoys", 2).write.parquet(path)
+    convoys(s, d).write.parquet(path)
     miner = T.IncrementalMiner(2, FRAME_S)
     s.readStream.schema(G.CLUSTER).parquet(path).writeStream.foreachBatch(miner).option("checkpointLocation", fresh_path(s, "stream-state")).trigger(availableNow=True).start().awaitTermination()
     return s.createDataFrame([(",".join(map(str, c)), st, et) for c, st, et in miner.patterns()], "clusters string, st long, et long")
@@ -241,16 +241,16 @@ def st5_incremental_mining(s, d):
 @query("st7_session_windows", f"""WITH {AIS1}, b AS (SELECT mmsi, ts, sum(brk) OVER (PARTITION BY mmsi ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER w > 43200 THEN 1 ELSE 0 END AS brk FROM ais1 {W}))
 SELECT mmsi, min(ts) AS st, max(ts) AS et, count(*) AS n FROM b GROUP BY mmsi, session""")
 def st7_session_windows(s, d):
-    """Sessions that end after a gap of more than 12 hours (times are whole seconds, a session window ends after gaps of its length or more)."""
+    """Sessions that end after a gap of more than 12 hours (times are whole seconds; a length between two of them does not ask whether windows that touch are one)."""
     p = ais1(s, d).withColumn("t", F.timestamp_seconds("ts")).withWatermark("t", "1 hour")
-    g = p.groupBy("mmsi", F.session_window("t", "43201 seconds")).agg(F.min("ts").alias("st"), F.max("ts").alias("et"), F.count(F.lit(1)).alias("n"))
+    g = p.groupBy("mmsi", F.session_window("t", "43200500 milliseconds")).agg(F.min("ts").alias("st"), F.max("ts").alias("et"), F.count(F.lit(1)).alias("n"))
     return g.select("mmsi", "st", "et", "n")
 
 
 @query("g7_driver_with_restart", ORACLE_SQL["g2_mine_convoys"])
 def g7_driver_with_restart(s, d):
     """Mines in time partitions, stops after two, starts again from the snapshot, and writes the CSV."""
-    clusters, folder, job = G.frame_clusters(pairs(s, d), "convoys", 2), fresh_path(s, "driver"), io.Job("convoys", 2, FRAME_S // 60, 1000.0, FRAME_S)
+    clusters, folder, job = convoys(s, d), fresh_path(s, "driver"), io.Job("convoys", 2, FRAME_S // 60, 1000.0, FRAME_S)
     D.group_patterns(clusters, job, folder, parts=4, stop_after=2)
     return io.read_patterns_csv(s, D.group_patterns(clusters, job, folder, parts=4)).select(text(), "st", "et")
 

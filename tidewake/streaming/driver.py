@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.partitioning import time_bins
 from ..sources import io
+from ..sources.shared import written
 from .align import IncrementalMiner
 
 
@@ -15,7 +16,7 @@ def group_patterns(clusters: DataFrame, job: io.Job, folder: str, parts: int = 4
     parameters; partitions with one are passed over at the next start. stop_after ends a run early (None is returned). Patterns, not points, are held."""
     spark = clusters.sparkSession
     miner, check = IncrementalMiner(job.cardinality, 60 * job.dt_min), f"parts-{parts}"
-    binned = time_bins(clusters, "frame", parts)
+    binned = written(time_bins(clusters, "frame", parts), "clusters")  # read once per partition
     for part in range(parts):
         path = f"{folder}/snapshot-{part}"
         if io.read_snapshot(spark, path, check, job) is None:
