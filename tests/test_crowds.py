@@ -32,7 +32,7 @@ def shuffled(spark):
 
 
 @pytest.mark.parametrize("name", [
-    "g1_link_step", "g2_mine_convoys", "g3_mine_partitions", "g5_reduce_partitions", "g7_driver_with_restart",
+    "g1_link_step", "g2_mine_convoys", "g3_mine_partitions", "g5_reduce_partitions", "g7_driver_with_restart", "p14_open_closed",
 ])
 def test_crowd_is_not_multiplied(spark, crowd, name):
     before = shuffled(spark)
