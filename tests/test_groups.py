@@ -177,3 +177,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "v.bin").write_bytes(b"\x01\x02\x03\x04")
     f = io.read_frames(spark, f"{tmp_path}/v.bin", lambda raw: [(1, 2, [float(x) for x in raw[i : i + 2]]) for i in (0, 2)])
     assert [r["pixels"] for r in f.orderBy("frame_id").collect()] == [[1.0, 2.0], [3.0, 4.0]]
+
+
+def test_snapshot_without_patterns(spark, tmp_path):
+    job = io.Job("convoys", 2, 30, 1000.0, 60)
+    io.write_snapshot(spark.createDataFrame([], "clusters array<bigint>, st long, et long"), f"{tmp_path}/none", "a", job, 60)
+    assert io.read_snapshot(spark, f"{tmp_path}/none", "a", job).count() == 0 and io.read_snapshot(spark, f"{tmp_path}/none", "b", job) is None

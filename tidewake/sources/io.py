@@ -105,9 +105,14 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _belongs(checksum: str, job: Job) -> dict:
+    return {"checksum": checksum, "params": str(job.as_dict())}
+
+
 def write_snapshot(patterns: DataFrame, path: str, checksum: str, job: Job, current_ts: int) -> None:
-    """Active patterns with what they belong to, for a restart."""
-    patterns.withColumn("checksum", F.lit(checksum)).withColumn("params", F.lit(str(job.as_dict()))).withColumn("current_ts", F.lit(current_ts)).write.mode("overwrite").parquet(path)
+    """Active patterns with what they belong to, for a restart. The schema holds it too, so a snapshot without patterns is found again."""
+    told = _belongs(checksum, job)
+    patterns.withColumn("checksum", F.lit(checksum).alias("checksum", metadata=told)).withColumn("params", F.lit(told["params"])).withColumn("current_ts", F.lit(current_ts)).write.mode("overwrite").parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, checksum: str, job: Job) -> DataFrame | None:
@@ -115,8 +120,8 @@ def read_snapshot(spark: SparkSession, path: str, checksum: str, job: Job) -> Da
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    d = spark.read.parquet(path).filter((F.col("checksum") == checksum) & (F.col("params") == str(job.as_dict())))
-    return d if d.take(1) else None
+    d = spark.read.parquet(path)
+    return d if d.schema["checksum"].metadata == _belongs(checksum, job) else None
 
 
 def read_frames(spark: SparkSession, path: str, decode=None) -> DataFrame:
