@@ -33,9 +33,9 @@ def shuffled(spark):
 
 @pytest.mark.parametrize("name", [
     "a5_components", "a7_clusters_per_frame", "g1_link_step", "g2_mine_by_group", "g2_mine_convoys", "g3_mine_partitions",
-    "g4_merge_two_partitions", "g5_reduce_partitions", "g6_mine_by_containment", "g7_driver_with_restart", "j10_past_inside_present", "j11_intersection_links",
-    "j12_partition_chain", "j13_pattern_velocity", "j9_subset_of_past", "p13_duration", "p14_open_closed", "s14_snapshot",
-    "st5_incremental_mining", "u4_intersections", "u7_subsets",
+    "g4_merge_two_partitions", "g5_reduce_partitions", "g6_mine_by_containment", "g7_driver_with_restart", "g8_reduce_by_containment", "j10_past_inside_present",
+    "j11_intersection_links", "j12_partition_chain", "j13_pattern_velocity", "j9_subset_of_past", "p13_duration", "p14_open_closed",
+    "s14_snapshot", "st5_incremental_mining", "u4_intersections", "u7_subsets",
 ])
 def test_crowd_is_not_multiplied(spark, crowd, name):
     before = shuffled(spark)
