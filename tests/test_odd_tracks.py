@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from tidewake.operators import patterns as G
+from tidewake.operators import segments as S
 from tidewake.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -23,6 +24,18 @@ def test_gap_of_sessions(spark, tmp_path, gap):
     assert same(spark, tmp_path, "st7_session_windows", [(1, 0, 1.0), (1, gap, 2.0), (2, 5, 3.0)])
 
 
+@pytest.mark.parametrize("speeds", [[None, 50.0, 40.0, 60.0], [50.0, 40.0, 60.0, None], [60.0, None, 50.0]])
+def test_tags_with_unknown_velocities(spark, tmp_path, speeds):
+    assert same(spark, tmp_path, "w22_semantic_tags", [(1, 60 * i, v) for i, v in enumerate(speeds)])
+
+
+def test_mean_of_just_one_is_not_slow(spark):
+    speeds = [39.94, 40.54, 40.21, 40.6, 38.71]  # 40 in the mean; as doubles, divided by 40, they add up to less
+    df = spark.createDataFrame([(1, i, i, 0.0, 0.0, v / 40, 0) for i, v in enumerate(speeds)], "mmsi long, ts long, event_id long, lon double, lat double, velocity double, traj_id int")
+    areas = spark.createDataFrame([(0, 50.0, 50.0)], "area_id int, lon double, lat double")
+    assert S.semantic_tags(df, areas).first()["semantic_id"] in (2, 3)
+
+
 def test_partitions_that_leave_nothing(spark):
     """A merge by the older rule may leave no pattern; the partitions after it are still there."""
     parts = spark.createDataFrame([([1, 2], 0, 0, 0), ([3, 4], 60, 60, 1), ([5, 6], 120, 300, 2)], "clusters array<bigint>, st long, et long, bin long")

@@ -100,8 +100,11 @@ def semantic_tags(df: DataFrame, areas: DataFrame, velocity: str = "velocity", n
     """(object, traj_id, semantic_id): slow segments are 0 near an area, else 1; others 3 if they slow down, else 2."""
     d = nearest_area(df, areas, s)
     n = F.count(F.lit(1))
-    rise = F.try_divide(F.max_by(velocity, F.struct(s.ts, *s.tie)) - F.min_by(velocity, F.struct(s.ts, *s.tie)), (n - 1).cast("double"))
-    g = d.groupBy(s.oid, "traj_id").agg(F.avg(velocity).alias("_v"), F.avg("nearest").alias("_d"), rise.alias("_a"))
+    known = F.when(F.col(velocity).isNotNull(), F.struct(s.ts, *s.tie))  # from the first known velocity to the last one
+    rise = F.try_divide(F.max_by(velocity, known) - F.min_by(velocity, known), (n - 1).cast("double"))
+    exact = F.col(velocity).try_cast("decimal(30,15)")  # sums of doubles depend on their order, which would decide about means of just 1
+    mean = F.when(F.count(exact) == F.count(velocity), F.try_divide(F.try_sum(exact), F.count(exact)))
+    g = d.groupBy(s.oid, "traj_id").agg(F.coalesce(mean.cast("double"), F.avg(velocity)).alias("_v"), F.avg("nearest").alias("_d"), rise.alias("_a"))
     tag = F.when(F.col("_v") < 1, F.when(F.col("_d") <= near_deg, 0).otherwise(1)).when(F.col("_a") < 0, 3).otherwise(2)
     return g.select(s.oid, "traj_id", tag.alias("semantic_id"))
 
