@@ -40,3 +40,9 @@ def test_partitions_that_leave_nothing(spark):
     """A merge by the older rule may leave no pattern; the partitions after it are still there."""
     parts = spark.createDataFrame([([1, 2], 0, 0, 0), ([3, 4], 60, 60, 1), ([5, 6], 120, 300, 2)], "clusters array<bigint>, st long, et long, bin long")
     assert [tuple(r) for r in G.reduce_by_containment(parts, 60, 100).collect()] == [([5, 6], 120, 300)]
+
+
+@pytest.mark.parametrize("speeds", [[3.0] * 20 + [7.0] * 3 + [3.0] * 20, [0.1] * 30 + [9.0] + [0.1] * 10, [5.0] * 30, [1.0, 2.0], [0.3 * i for i in range(40)]])
+def test_adaptive_pois_of_steady_speeds(spark, tmp_path, speeds):
+    """Quartiles that are equal: every change is an outlier for every alpha."""
+    assert same(spark, tmp_path, "w20_adaptive_pois", [(1, 60 * i, v) for i, v in enumerate(speeds)])

@@ -75,14 +75,18 @@ def adaptive_points_of_interest(df: DataFrame, feature: str = "velocity", window
     w = order_of(s)
     d = smoothed_change(feature, window, s)(df.withColumn("_i", (F.row_number().over(w) - 1).cast("int")))
     q = d.groupBy(s.oid).agg(F.percentile("change", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), (F.count(F.lit(1)) - 1).cast("int").alias("_last"))
-    iqr = F.col("_q")[1] - F.col("_q")[0]
-    far = d.join(q, s.oid).withColumn("_k", F.greatest(F.try_divide(F.col("change") - F.col("_q")[1], iqr), F.try_divide(F.col("_q")[0] - F.col("change"), iqr))).filter("_k > 1")
-    far = far.withColumn("alpha", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), (F.ceil("_k") - 1).cast("int"))))).filter("_k > alpha")
+    low, high = F.col("_q")[0], F.col("_q")[1]
+    outside = lambda alpha: (F.col("change") > high + alpha * (high - low)) | (F.col("change") < low - alpha * (high - low))
+    q = q.withColumn("_most", F.when(high == low, 1).otherwise(most))  # without a spread all alphas give one answer
+    far = d.join(q, s.oid).filter(outside(F.lit(1.0)))
+    reach = F.try_divide(F.greatest(F.col("change") - high, low - F.col("change")), high - low)
+    top = F.when(reach < F.col("_most"), F.ceil(reach).cast("int")).otherwise(F.col("_most"))
+    far = far.withColumn("alpha", F.explode(F.sequence(F.lit(1), top))).filter(outside(F.col("alpha").cast("double")))
     o = Window.partitionBy(s.oid, "alpha").orderBy("_i")
     far = far.withColumn("_before", F.lag("_i").over(o)).withColumn("_after", F.lead("_i").over(o)).filter("_before IS NULL OR _after IS NOT NULL OR _i - _before = 1")
     found = far.groupBy(s.oid, "alpha").agg(F.collect_set("_i").alias("_s"))
     none = F.array().cast("array<int>")
-    every = q.select(s.oid, "_last", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("alpha")).join(found, [s.oid, "alpha"], "left")
+    every = q.select(s.oid, "_last", F.explode(F.sequence(F.lit(1), F.coalesce("_most", F.lit(most)))).alias("alpha")).join(found, [s.oid, "alpha"], "left")
     every = every.withColumn("pois", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), F.coalesce("_s", none), F.array("_last")))))
     every = every.withColumn("_stop", F.min(F.when(F.size("pois") <= 2, F.col("alpha"))).over(Window.partitionBy(s.oid))).filter("_stop IS NULL OR alpha <= _stop")
     votes = every.groupBy(s.oid, "pois").agg(F.count(F.lit(1)).alias("_n"), F.min("alpha").alias("_a"))
