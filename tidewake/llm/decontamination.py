@@ -49,7 +49,7 @@ def letters(text: str | None) -> np.ndarray:
     Memory.use("letters", _KNOWN.clear)
     words = text.lower().split()
     out = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
-    if len(_KNOWN) > 400_000:
+    if len(_KNOWN) > 200_000:
         _KNOWN.clear()
     return out[out != 0]
 

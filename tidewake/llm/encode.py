@@ -10,6 +10,7 @@ from array import array
 from .common import Memory
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
+SPACED_MOST, WORDS_MOST = 1_200_000, 300_000  # chunks that a worker remembers; two workers share an executor's memory with a full heap
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 _SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n")
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -49,7 +50,7 @@ class Encoder:
     space only separates. most: chunks remembered (a bound on memory, not on results).
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 1_200_000):
+    def __init__(self, path: str, spaced: bool, most: int = SPACED_MOST):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -147,7 +148,8 @@ def encoder(name: str) -> Encoder:
     if name not in _LOADED:
         import public_tokenizers
 
-        _LOADED[name] = Encoder(name if os.sep in name else public_tokenizers.path(name), spaced="byte" in os.path.basename(name))
+        spaced = "byte" in os.path.basename(name)
+        _LOADED[name] = Encoder(name if os.sep in name else public_tokenizers.path(name), spaced, SPACED_MOST if spaced else WORDS_MOST)
     Memory.use(f"encoder {name}", _LOADED[name].forget)
     return _LOADED[name]
 
