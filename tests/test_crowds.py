@@ -63,3 +63,27 @@ def test_components_of_points():
             if o[i] != o[j]:
                 near.setdefault(int(o[i]), set()).add(int(o[j]))
         assert sorted(G.point_components(o, lon, lat, r)) == sorted(G.component_lists(near)), trial
+
+
+def test_cliques_of_points():
+    """As from the list of all pairs: crowds, the date line, poles, equal positions, objects at several places, unknown positions."""
+    rng = np.random.default_rng(2)
+    for trial in range(120):
+        n, r = int(rng.integers(1, 60)), float(rng.choice([50.0, 900.0, 5000.0, 2e6, 2.1e7]))
+        spread = r / 111_000 * rng.choice([1, 4, 12])
+        lon, lat = rng.uniform(-1, 1, n) * spread, 47 + rng.uniform(-1, 1, n) * min(spread, 40)
+        if trial % 4 == 1:
+            lon = (lon + 360) % 360 - 180
+        elif trial % 4 == 2:
+            lon, lat = rng.uniform(-180, 180, n), 90 - np.abs(lat - 47)
+        elif trial % 4 == 3:
+            lon, lat = np.round(lon, 3), np.round(lat, 3)
+        o = rng.integers(0, n * 2, n)
+        if trial % 3 == 0:
+            lon, lat, o = np.repeat(lon, 3), np.repeat(lat, 3), np.repeat(o, 3) + 1000 * np.tile([0, 1, 2], n)
+        lon[: n // 20] = np.nan
+        near: dict = {}
+        for i, j in zip(*np.nonzero(G._metres(lon[:, None], lat[:, None], lon[None], lat[None]) < r)):
+            if o[i] != o[j]:
+                near.setdefault(int(o[i]), set()).add(int(o[j]))
+        assert sorted(c.tolist() for c in G.point_cliques(o, lon, lat, r) if len(c) > 1) == sorted(G.maximal_cliques(near)), trial
