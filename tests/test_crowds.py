@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from tidewake.operators import patterns as G
+from tidewake.plans.groups import pairs
 from tidewake.plans.registry import QUERIES
 
 MEMBERS, FRAMES = 2000, 3
@@ -87,3 +88,26 @@ def test_cliques_of_points():
             if o[i] != o[j]:
                 near.setdefault(int(o[i]), set()).add(int(o[j]))
         assert sorted(c.tolist() for c in G.point_cliques(o, lon, lat, r) if len(c) > 1) == sorted(G.maximal_cliques(near)), trial
+
+
+def test_flocks_of_copies(spark, tmp_path):
+    """Fourteen objects in four frames, and 100 copies of each at the same places: the same cliques and patterns with all copies; nothing grows with pairs of copies."""
+    rng, copies = np.random.default_rng(3), 100
+    one = pd.DataFrame([(20 * u, f, 1000 * f + int(p)) for f in range(4) for u, p in enumerate(rng.choice(1000, 14, replace=False)) if rng.random() < 0.9], columns=["user_id", "frame", "event_id"])
+    one.loc[len(one)] = (1, 3, 3999)  # alone at its site: only its copies meet it
+    one["ts"] = (pd.Timestamp("2024-01-01") + pd.to_timedelta(one["frame"] * 21_600 + 60, unit="s")).astype("datetime64[us]")
+    one = one.assign(event_type="view", value=1.0, props="").drop(columns="frame")
+    for k in (1, copies):
+        (tmp_path / str(k)).mkdir()
+        pd.concat([one.assign(user_id=one["user_id"] + 10_000 * i, event_id=one["event_id"] + 10_000 * i) for i in range(k)]).to_parquet(tmp_path / str(k) / "events.parquet")
+    members = lambda c: ",".join(map(str, sorted(m + 10_000 * i for m in c for i in range(copies))))
+    p = pairs(spark, str(tmp_path / "1"))
+    clusters = G.frame_clusters(p, "flocks").collect()
+    last = max(x["frame"] for x in clusters)
+    clusters = [(x["frame"], x["clusters"]) for x in clusters] + [(last, [1])]
+    before = shuffled(spark)
+    assert sorted(QUERIES["a6_cliques"](spark, str(tmp_path / str(copies))).collect()) == sorted((f, members(c)) for f, c in clusters)
+    by = sorted({f for f, _ in clusters})
+    want = G.fold([(i, f, [c for g, c in clusters if g == f]) for i, f in enumerate(by)], 1, 21_600, len(by) - 1)  # one object stands for 100
+    assert sorted(QUERIES["g2_mine_flocks"](spark, str(tmp_path / str(copies))).collect()) == sorted((members(c), s, e) for c, s, e in want)
+    assert shuffled(spark) - before < LEAST_CUT / 10
