@@ -85,8 +85,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str | StructType, piece: int = PIECE_BYTES) -> DataFrame:
-    """mapInArrow whose function sees {column: list} for pieces of about `piece` bytes of each batch and yields {column: list or array}."""
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict]], schema: str | StructType, piece: int = PIECE_BYTES, lists: bool = True) -> DataFrame:
+    """mapInArrow whose function sees {column: list} (without lists: Arrow batches) for pieces of about `piece` bytes of each batch and yields {column: list or array}."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -96,7 +96,8 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[
         for b in batches:
             step = max(1, b.num_rows * piece // max(1, b.nbytes))
             for at in range(0, b.num_rows, step):
-                yield b.slice(at, step).to_pydict()
+                part = b.slice(at, step)
+                yield part.to_pydict() if lists else part
 
     def run(batches):
         for got in fn(pieces(batches)):

@@ -7,6 +7,10 @@ import re
 import sys
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from .common import Memory
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -67,7 +71,10 @@ class Encoder:
         self.plain = _Memory(self._chunk, most if not spaced else most // 8)
         self.after = _Memory(self._spaced, most)
 
+        self.units = None
+
     def forget(self) -> None:
+        self.units = None
         for m in (self.pretokens, self.plain, self.after):
             m.clear()
             m.old = {}
@@ -130,6 +137,222 @@ class Encoder:
         except _Irregular:
             return b"".join(map(self.plain.__getitem__, _BETWEEN.split(text)))
 
+    def column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a whole Arrow column of texts, each followed by an end id, and the number of ids of each text: ids() for a byte-level vocabulary, by arrays."""
+        if self.units is None:
+            self.units = _Units(self)
+        return self.units.column(texts, end)
+
+
+_OTHER, _LETTER, _DIGIT, _SIGN, _FEED, _SPACE, _BLANK = range(7)
+_KIND = np.zeros(256, np.uint8)
+for _k, _chars in ((_DIGIT, "0123456789"), (_FEED, "\n"), (_SPACE, " "), (_BLANK, "\t\v\f\r\x1c\x1d\x1e\x1f")):
+    _KIND[[ord(c) for c in _chars]] = _k
+_KIND[[c for c in range(33, 127) if chr(c).isalpha()]] = _LETTER
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _SIGN
+_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], np.uint64)  # of a unit's first 8 bytes those that it has
+_HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(17)], np.uint64)
+_APART = re.compile(rb"(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe4-\xed][\x80-\xbf]{2}) (?=[\x21-\x7e\xc3-\xdf\xe4-\xed])")  # a space that is a cut for sure
+_BLANKS = [c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace()]
+
+
+class _Units:
+    """Ids of a column's texts by arrays over its bytes. A text is cut into units where Encoder cuts it: pretokens of one kind of character with the space before them,
+    and whole chunks where a chunk holds anything else. A unit's ids depend on its bytes alone. A hash table remembers them by these bytes, up to 16 of them exactly as two numbers;
+    longer units and those with zero bytes are remembered in a dictionary. Between parts of a column of about PART bytes a full table starts anew (a bound on memory, not on results).
+    """
+
+    BITS, MOST, LONG_MOST, PART = 22, 2_400_000, 100_000, 1 << 20
+
+    def __init__(self, enc: Encoder):
+        self.enc = enc
+        if hasattr(enc.model, "_resize_cache"):
+            enc.model._resize_cache(0)  # each unit is asked for once
+        self.clear()
+
+    def clear(self) -> None:
+        self._room(self.BITS)
+        self.flat, self.used, self.kept, self.long = np.zeros(1 << 20, np.uint32), 0, 0, {}
+
+    def _room(self, bits: int) -> None:
+        self.bits, self.last = bits, (1 << bits) - 1
+        self.low, self.high, self.value = (np.zeros(1 << bits, t) for t in (np.uint64, np.uint64, np.int64))  # value: start in flat << 32 | number of ids, 0: empty
+
+    def _slot(self, mix: np.ndarray) -> np.ndarray:
+        return (mix >> np.uint64(64 - self.bits)).astype(np.intp)
+
+    def _put(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> None:
+        """Adds different units that the table does not hold."""
+        self.kept += len(value)
+        while self.kept > 3 << self.bits - 2:
+            held = np.flatnonzero(self.value)
+            low, high, value = np.append(low, self.low[held]), np.append(high, self.high[held]), np.append(value, self.value[held])
+            self._room(self.bits + 1)
+        slot = self._slot(_mix(low, high))
+        while len(value):
+            free = np.flatnonzero(self.value[slot] == 0)
+            self.value[slot[free]] = value[free]  # of several at one place one stays
+            won = free[self.value[slot[free]] == value[free]]
+            self.low[slot[won]], self.high[slot[won]] = low[won], high[won]
+            lost = np.ones(len(value), bool)
+            lost[won] = False
+            low, high, value, slot = low[lost], high[lost], value[lost], (slot[lost] + 1) & self.last
+
+    def _add(self, ids: np.ndarray) -> int:
+        """Keeps ids of one or more units, returns their start."""
+        at = self.used
+        self.used += len(ids)
+        if self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[at : self.used] = ids
+        return at
+
+    def _cut(self, b: np.ndarray, n: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of units in the n first bytes, and which of them are whole chunks. starts: those of non-empty texts; b has room for zeros behind."""
+        kind = _KIND[b]
+        two = np.flatnonzero(b == 0xC3)
+        two = two[(b[two + 1] != 0x97) & (b[two + 1] != 0xB7)]  # Latin letters; the others are signs beyond ASCII
+        kind[two] = kind[two + 1] = _LETTER
+        ends = np.append(starts[1:], n) - 1
+        space = np.flatnonzero(kind == _SPACE)
+        before, behind = kind[space - 1], kind[space + 1]
+        first, last = np.isin(space, starts), np.isin(space, ends)
+        good = ((before < _FEED) | first) & (behind < _FEED) & ~last
+        for i in np.flatnonzero(good & ((before == _OTHER) | (behind == _OTHER))).tolist():
+            at = int(space[i])
+            near = b[max(0, at - 3) : at + 4].tobytes()
+            at = min(3, at)
+            good[i] = not ((not first[i] and near[:at].endswith(tuple(_BLANKS))) or near[at + 1 :].startswith(tuple(_BLANKS)))
+        odd = kind == _OTHER
+        odd |= kind == _BLANK
+        odd[space[~good]] = True
+        feed = np.flatnonzero(kind == _FEED)
+        odd[feed[(kind[feed - 1] == _FEED) | (kind[feed + 1] == _FEED) | np.isin(feed, starts) | np.isin(feed, ends)]] = True
+        head = np.zeros(len(kind), bool)
+        np.not_equal(kind[1:], kind[:-1], out=head[1:])
+        head[1:] &= kind[:-1] != _SPACE
+        head[starts] = True
+        odd = np.flatnonzero(odd[:n])
+        at = np.flatnonzero(head[:n])
+        if not len(odd):
+            return at, np.zeros(len(at), bool)
+        cut = np.union1d(space[good], starts)
+        chunk = np.searchsorted(cut, odd, "right") - 1
+        chunk = chunk[np.flatnonzero(np.diff(chunk, prepend=-1))]
+        head[_ranges(cut[chunk] + 1, np.append(cut, n)[chunk + 1])] = False
+        at = np.flatnonzero(head[:n])
+        whole = np.zeros(len(at), bool)
+        whole[np.searchsorted(at, cut[chunk])] = True
+        return at, whole
+
+    def _find(self, low: np.ndarray, high: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Values of units, 0 for those that the table does not hold."""
+        value = self.value[slot]
+        rest = np.flatnonzero((self.low[slot] != low) | (self.high[slot] != high))
+        on = rest[value[rest] != 0]
+        value[rest] = 0
+        rest, slot = on, slot[on]
+        while len(rest):
+            slot = (slot + 1) & self.last
+            got = self.value[slot]
+            hit = (self.low[slot] == low[rest]) & (self.high[slot] == high[rest])
+            value[rest[hit]] = got[hit]
+            on = ~hit & (got != 0)
+            rest, slot = rest[on], slot[on]
+        return value
+
+    def _learn(self, units: list[bytes], whole: np.ndarray) -> np.ndarray:
+        """Values of units that are new, by the library."""
+        tokenize, letters, chunk = self.enc.model.tokenize, self.enc.letters, self.enc._chunk
+        ids, counts = array("I"), []
+        for u, w in zip(b"\xff".join(units).decode("utf-8", "surrogateescape").split("\udcff"), whole.tolist()):
+            if w:
+                got = np.frombuffer(chunk(u), "<u4").tolist()
+            else:
+                got = [t.id for t in tokenize(u.replace(" ", letters[32]) if u.isascii() and u != "\n" else u.translate(letters))]
+            ids.extend(got)
+            counts.append(len(got))
+        counts = np.array(counts, np.int64)
+        return (self._add(np.frombuffer(ids, np.uint32)) + np.cumsum(counts) - counts) << 32 | counts
+
+    def column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        edge = np.frombuffer(texts.buffers()[1], wide, len(texts) + 1, texts.offset * wide().itemsize).astype(np.int64)
+        n = int(edge[-1] - edge[0])
+        b = np.frombuffer(texts.buffers()[2], np.uint8, n, int(edge[0])) if n else np.zeros(0, np.uint8)
+        edge -= edge[0]
+        starts, parts, at, done = edge[:-1][np.diff(edge) > 0], [], 0, 0
+        past = np.zeros(len(edge), np.int64)  # ids before each text, without the end ids
+        while at < n:
+            to = int(edge[np.searchsorted(edge, min(at + self.PART, n))])
+            if to > at + self.PART and (m := _APART.search(b, at + self.PART, to)):
+                to = m.end() - 1
+            first, last = np.searchsorted(starts, [at, to])
+            begin = starts[first:last] - at
+            ids, units, before = self._part(b[at:to], begin if len(begin) and begin[0] == 0 else np.insert(begin, 0, 0))
+            first, last = np.searchsorted(edge, [at, to], "right")
+            past[first:last] = done + np.append(before, len(ids))[np.searchsorted(units, edge[first:last] - at)]
+            parts.append(ids)
+            at, done = to, done + len(ids)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return np.insert(ids, past[1:], np.uint32(end)), np.diff(past) + 1
+
+    def _part(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where units start, numbers of ids before these) of a part of a column that begins and ends with a cut."""
+        n = len(text)
+        b = np.zeros(n + 32 & ~7, np.uint8)
+        b[:n] = text
+        at, whole = self._cut(b, n, starts)
+        if self.kept + len(at) // 4 > self.MOST or len(self.long) > self.LONG_MOST:
+            self.clear()
+        size = np.diff(at, append=n)
+        odd = size > 16
+        if not text.all():
+            odd[np.searchsorted(at, np.flatnonzero(text == 0), "right") - 1] = True
+        words, place, shift = b.view("<u8"), at >> 3, ((at & 7) << 3).astype(np.uint64)
+        back = (np.uint64(64) - shift) & np.uint64(63)
+        low, high, more = words[place], words[place + 1], words[place + 2]
+        apart = shift != 0
+        mask = np.minimum(size, 16)
+        low = ((low >> shift) | (high << back) * apart) & _LOW[mask]
+        high = ((high >> shift) | (more << back) * apart) & _HIGH[mask]
+        mix, raw = _mix(low, high), b.tobytes()
+        value = self._find(low, high, self._slot(mix))
+        value[odd] = -1
+        miss = np.flatnonzero(value == 0)
+        while len(miss):
+            new = miss[np.unique(mix[miss], return_index=True)[1]]
+            got = self._learn([raw[i:j] for i, j in zip(at[new].tolist(), (at[new] + size[new]).tolist())], whole[new])
+            self._put(low[new], high[new], got)
+            value[miss] = self._find(low[miss], high[miss], self._slot(mix[miss]))
+            miss = miss[value[miss] == 0]  # different units of an equal mix
+        for i in np.flatnonzero(odd).tolist():
+            u = raw[at[i] : at[i] + size[i]]
+            if u not in self.long:
+                self.long[u] = int(self._learn([u], whole[i : i + 1])[0])
+            value[i] = self.long[u]
+        count = (value & 0xFFFFFFFF).astype(np.int32)
+        past = np.cumsum(count)
+        before = past - count
+        where = np.repeat((value >> 32).astype(np.int32) - before.astype(np.int32), count)
+        where += np.arange(len(where), dtype=np.int32)
+        return self.flat[where], at, before
+
+
+def _mix(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    mix = low * np.uint64(0x9E3779B97F4A7C15) ^ (high + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mix ^= mix >> np.uint64(32)
+    mix *= np.uint64(0xD6E8FEB86659FD93)
+    return mix
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All positions from each start to before its stop."""
+    size = stop - start
+    out = np.repeat(start - (np.cumsum(size) - size), size)
+    return out + np.arange(len(out))
+
 
 def _little(ids: list[int]) -> bytes:
     a = array("I", ids)

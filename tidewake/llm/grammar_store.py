@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, arrow_map, table
-from .encode import BYTE, encoder, end_bytes
+from .encode import BYTE, encoder
 
 END = 0
 SHARD_IDS = 500_000
@@ -40,32 +40,28 @@ def _bucket(code: np.ndarray, bits: int) -> np.ndarray:
     return x.astype(np.intp)
 
 
-def _numbered(seq: np.ndarray, at: np.ndarray, least: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers the pairs at some positions that occur `least` times there: (positions, their pairs' numbers from base on, pairs, counts)."""
-    code = seq[at].astype(np.uint64)
-    code <<= np.uint64(32)
-    code |= seq[at + 1] & ~_CLOSES
-    bits = max(8, min(20, len(code).bit_length()))
-    bucket = _bucket(code, bits)
-    some = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]  # no pair is rarer than its bucket
-    at, code, bucket = at[some], code[some], bucket[some]
-    ordered = np.sort(code)
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.intp)
-    counts = np.diff(np.append(first, len(ordered)))
+def _numbered(first: np.ndarray, second: np.ndarray, at: np.ndarray, least: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers the pairs of symbols at some positions that occur `least` times there: (positions, their pairs' numbers from base on, pairs, counts)."""
+    if not len(at):
+        return at, np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    bits, places = int(max(first.max(), second.max())).bit_length(), int(at.max()).bit_length()
+    code = first.astype(np.uint64)
+    code <<= np.uint64(bits)
+    code |= second
+    if 2 * bits + places <= 64:  # pair and position in one number, sorted together
+        code <<= np.uint64(places)
+        code |= at.astype(np.uint64)
+        code.sort()
+        at = (code & np.uint64((1 << places) - 1)).astype(np.intp)
+        code >>= np.uint64(places)
+    else:
+        order = np.argsort(code, kind="stable")
+        at, code = at[order], code[order]
+    begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    counts = np.diff(begin, append=len(code))
     good = counts >= least
-    pairs, counts = ordered[first[good]], counts[good]
-    if not len(pairs):
-        return at[:0], np.zeros(0, np.int32), pairs, counts
-    home = _bucket(pairs, bits)
-    table = np.zeros(1 << bits, np.int32)  # a bucket's last pair; others of a shared bucket are searched
-    table[home] = np.arange(len(pairs), dtype=np.int32)
-    shared = np.bincount(home, minlength=1 << bits) > 1
-    number = table[bucket]
-    hit = pairs[number] == code
-    rest = np.flatnonzero(shared[bucket] & ~hit)
-    found = np.minimum(np.searchsorted(pairs, code[rest]), len(pairs) - 1)
-    number[rest], hit[rest] = found, pairs[found] == code[rest]
-    return at[hit], number[hit] + np.int32(base), pairs, counts
+    at, pairs, counts = at[np.repeat(good, counts)], code[begin[good]], counts[good]
+    return at, np.repeat(np.arange(base, base + len(pairs), dtype=np.int32), counts), (pairs >> np.uint64(bits)) << np.uint64(32) | pairs & np.uint64((1 << bits) - 1), counts
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
@@ -74,30 +70,34 @@ def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
     Returns (sequence, rules as an (r, 2) array, rule lengths, positions in the sequence that close documents). A round ranks all pairs that
     occur `least` times by their counts (ties by a hash) and replaces the occurrences that rank before both neighbours, of pairs with at
     least `least` of these; only pairs beside a replacement are counted anew. It ends when no pair is left that occurs `least` times without overlapping.
+    Symbols keep their positions and are linked, so a round costs what is left to replace.
     """
-    seq, rules, made = ids.astype(np.uint32), [], 0
+    n, seq, rules, lengths = len(ids), ids.astype(np.uint32), [], np.zeros(0, np.uint32)
     seq[ends] |= _CLOSES
-    slot, pairs, count = np.zeros(len(seq), np.int32), np.zeros(1, np.uint64), np.zeros(1, np.int64)  # slot[i]: number of the pair at i, 0: rare
+    after, ahead, gone, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.zeros(n, bool), np.zeros(n, bool)
+    slot, pairs, count = np.zeros(n, np.int32), np.zeros(1, np.uint64), np.zeros(1, np.int64)  # slot[i]: number of the pair at i, 0: rare; alive: where it is not 0
 
-    def number(at):
+    def number(at, first, second):
         nonlocal pairs, count
-        at, numbers, new, counts = _numbered(seq, at[seq[at] < _CLOSES], least, len(count))
-        slot[at] = numbers
+        at, numbers, new, counts = _numbered(first, second & ~_CLOSES, at, least, len(count))
+        slot[at], alive[at] = numbers, True
         pairs, count = np.concatenate([pairs, new]), np.concatenate([count, counts])
 
-    number(np.arange(len(seq) - 1))
+    at = np.flatnonzero(seq[:-1] < _CLOSES)
+    number(at, seq[at], seq[at + 1])
     while True:
         live = np.flatnonzero(count >= least)
         if not len(live):
             break
         rank = np.full(len(count), _NEVER, np.int32)
         rank[live[np.lexsort((_bucket(pairs[live], 32), -count[live]))]] = np.arange(len(live), dtype=np.int32)
-        at = np.flatnonzero(slot)
+        at = np.flatnonzero(alive)
         here = rank[slot[at]]
         dead = here == _NEVER
-        slot[at[dead]] = 0  # counts of pairs only fall
-        at, here = at[~dead], here[~dead]
-        beside = np.diff(at) == 1
+        if dead.any():  # counts of pairs only fall
+            slot[at[dead]], alive[at[dead]] = 0, False
+            at, here = at[~dead], here[~dead]
+        beside = after[at[:-1]] == at[1:]
         beaten = np.zeros(len(at), bool)
         beaten[1:] = beside & (here[:-1] < here[1:])
         beaten[:-1] |= beside & (here[1:] < here[:-1])
@@ -107,50 +107,70 @@ def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
             begin = np.flatnonzero(np.concatenate([[True], np.diff(again) != 1]))
             start = np.repeat(again[begin] - 1, np.diff(np.append(begin, len(again))))
             overlaps[again[((again - start) & 1) == 1]] = True
-        pick = at[~(beaten | overlaps)]
-        wins = np.bincount(slot[pick], minlength=len(count))
+        pick = at[np.flatnonzero(~(beaten | overlaps))]
+        number_of = slot[pick]
+        wins = np.bincount(number_of, minlength=len(count))
         enough = wins >= least
         if not enough.any():  # pairs that no other one keeps from winning overlap themselves too often
             lost = np.bincount(slot[at[beaten]], minlength=len(count))
             count[(wins > 0) & (lost == 0)] = 0
             continue
-        pick = pick[enough[slot[pick]]]
+        some = np.flatnonzero(enough[number_of])
+        pick, number_of = pick[some], number_of[some]
         used = np.flatnonzero(enough)
         symbol = np.zeros(len(count), np.uint32)
-        symbol[used] = np.arange(FIRST_RULE + made, FIRST_RULE + made + len(used), dtype=np.uint32)
+        symbol[used] = np.arange(FIRST_RULE + len(lengths), FIRST_RULE + len(lengths) + len(used), dtype=np.uint32)
         rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        made += len(used)
-        before = pick[np.concatenate([pick[:1] > 0, np.diff(pick) > 2])] - 1  # not counted again as the place after the pick before
-        count -= np.bincount(slot[np.concatenate([pick, pick + 1, before])], minlength=len(count))
+        lengths = np.concatenate([lengths, _widths(rules[-1], lengths).sum(1, dtype=np.uint32)])
+        other, before = after[pick], ahead[pick]
+        behind = after[other]
+        before = before[np.concatenate([before[:1] >= 0, before[1:] != other[:-1]])]  # not counted again as the second place of the pick before
+        count -= np.bincount(number_of, minlength=len(count))
+        count -= np.bincount(slot[other], minlength=len(count)) + np.bincount(slot[before], minlength=len(count))
         count[0] = 0
-        seq[pick], slot[pick] = symbol[slot[pick]] | (seq[pick + 1] & _CLOSES), 0
-        keep = np.ones(len(seq), bool)
-        keep[pick + 1] = False
-        seq, slot = seq[keep], slot[keep]
-        now = pick - np.arange(len(pick))
-        before = now[np.concatenate([now[:1] > 0, np.diff(now) > 1])] - 1
-        slot[before] = 0
-        new = np.concatenate([before, now])
-        number(new[new < len(seq) - 1])
+        seq[pick] = symbol[number_of] | (seq[other] & _CLOSES)
+        for x in (pick, other, before):
+            slot[x], alive[x] = 0, False
+        gone[other], after[pick] = True, behind
+        if behind[-1] == n:
+            ahead[behind[:-1]] = pick[:-1]
+        else:
+            ahead[behind] = pick
+        new = np.concatenate([before, pick])
+        left = seq[new]
+        open_ = np.flatnonzero((left < _CLOSES) & (after[new] < n))
+        new = new[open_]
+        number(new, left[open_], seq[after[new]])
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    lengths = [0] * len(rules)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[i] = (lengths[a - FIRST_RULE] if a >= FIRST_RULE else 1) + (lengths[b - FIRST_RULE] if b >= FIRST_RULE else 1)
-    return seq & ~_CLOSES, rules, np.array(lengths, np.uint32), np.flatnonzero(seq & _CLOSES)
+    seq = seq[~gone]
+    return seq & ~_CLOSES, rules, lengths, np.flatnonzero(seq >= _CLOSES)
+
+
+def _widths(seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ids that each symbol stands for. lengths: those of the rules."""
+    w = np.ones(seq.shape, np.int64)
+    rule = seq >= FIRST_RULE
+    w[rule] = lengths[seq[rule] - FIRST_RULE]
+    return w
 
 
 def pack(doc_ids: list, blobs: list[bytes]) -> tuple[bytes, int]:
     """One shard: magic; counts of documents, rules, symbols (u32); per document its id (i64), a null flag (u8) and the end of
     its symbols (u32); rules (u32 pairs); rule lengths (u32); symbols (u32). All little-endian. Returns (bytes, ids in it)."""
     ids = np.frombuffer(b"".join(blobs), "<u4")
+    return _pack(doc_ids, ids, np.cumsum([len(b) // 4 for b in blobs])), len(ids)
+
+
+def _pack(doc_ids: list, ids: np.ndarray, stops: np.ndarray) -> bytes:
+    """pack() of documents that end before the positions `stops` of ids."""
     ends = np.zeros(len(ids), bool)
-    ends[np.cumsum([len(b) // 4 for b in blobs]) - 1] = True
+    ends[stops - 1] = True
     seq, rules, lengths, close = repair(ids, ends)
     head = MAGIC + struct.pack("<III", len(doc_ids), len(rules), len(seq))
     return b"".join([
         head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), (close + 1).astype("<u4").tobytes(),
         rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u4").tobytes(),
-    ]), len(ids)
+    ])
 
 
 class Shard:
@@ -173,10 +193,7 @@ class Shard:
         self.flat = None
 
     def widths(self, seq: np.ndarray) -> np.ndarray:
-        w = np.ones(len(seq), np.int64)
-        rule = seq >= FIRST_RULE
-        w[rule] = self.lengths[seq[rule] - FIRST_RULE]
-        return w
+        return _widths(seq, self.lengths)
 
     def _by_levels(self, seq: np.ndarray) -> np.ndarray:
         while (rule := seq >= FIRST_RULE).any():
@@ -187,15 +204,15 @@ class Shard:
             seq = out
         return seq
 
-    def expand(self, seq: np.ndarray) -> np.ndarray:
-        """The ids of some symbols, each rule copied from a table of all rules' expansions."""
+    def expand(self, seq: np.ndarray, width: np.ndarray | None = None) -> np.ndarray:
+        """The ids of some symbols (width: their numbers of ids, where known), each rule copied from a table of all rules' expansions."""
         if not len(self.rules):
             return seq
         if self.flat is None:
             self.flat = self._by_levels(np.arange(FIRST_RULE, FIRST_RULE + len(self.rules), dtype=np.uint32))
             self.begin = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         rule = seq >= FIRST_RULE
-        width = self.widths(seq)
+        width = self.widths(seq) if width is None else width
         start = np.cumsum(width) - width
         shift = -start
         shift[rule] += self.begin[seq[rule] - FIRST_RULE]
@@ -223,24 +240,30 @@ def write_shards(docs: DataFrame, tokenizer: str = BYTE, end: int = END, shard_i
     ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange(n, F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first())
 
     def cut(batches):
-        enc, stop, part, seq, ids, blobs, size = encoder(tokenizer), end_bytes(end), TaskContext.get().partitionId(), 0, [], [], 0
+        enc, part, seq, held, size = encoder(tokenizer), TaskContext.get().partitionId(), 0, [], 0  # held: (doc_ids, ids, numbers of ids), of one shard
 
         def flush():
-            blob, count = pack(ids, blobs)
-            return {"part": [part], "seq": [seq], "n_docs": [len(ids)], "n_ids": [count], "payload": [blob]}
+            nonlocal seq, held, size
+            docs, ids = [d for h in held for d in h[0]], np.concatenate([h[1] for h in held])
+            out = {"part": [part], "seq": [seq], "n_docs": [len(docs)], "n_ids": [len(ids)], "payload": [_pack(docs, ids, np.cumsum(np.concatenate([h[2] for h in held])))]}
+            seq, held, size = seq + 1, [], 0
+            return out
 
         for b in batches:
-            for d, t in zip(b["d"], b["t"]):
-                ids.append(d)
-                blobs.append(enc.ids(t) + stop)
-                size += len(blobs[-1]) // 4
+            ids, counts = enc.column(b.column(1), end)
+            docs, stops, at = b.column(0).to_pylist(), np.cumsum(counts), 0
+            while at < len(docs):
+                done = int(stops[at - 1]) if at else 0
+                to = min(len(docs), int(np.searchsorted(stops, done + shard_ids - size)) + 1)  # the shard closes with the document that fills it
+                held.append((docs[at:to], ids[done : stops[to - 1]], counts[at:to]))
+                size += int(stops[to - 1]) - done
+                at = to
                 if size >= shard_ids:
                     yield flush()
-                    seq, ids, blobs, size = seq + 1, [], [], 0
-        if ids:
+        if held:
             yield flush()
 
-    return arrow_map(ordered, cut, "part int, seq int, n_docs int, n_ids long, payload binary")
+    return arrow_map(ordered, cut, "part int, seq int, n_docs int, n_ids long, payload binary", lists=False)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -250,10 +273,11 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for b in batches:
             for part, seq, blob in zip(b["part"], b["seq"], b["payload"]):
                 s = Shard(blob)
-                flat = s.expand(s.seq).astype("<u4")
-                edge = np.cumsum(s.widths(s.seq))[s.ends - 1] if len(s.ends) else np.zeros(0, np.int64)
+                width = s.widths(s.seq)
+                flat = s.expand(s.seq, width).astype("<u4", copy=False)
+                edge = np.cumsum(width)[s.ends - 1] if len(s.ends) else np.zeros(0, np.int64)
                 begin = np.concatenate([[0], edge[:-1]]) if len(edge) else edge
-                raw = memoryview(flat.tobytes())
+                raw = memoryview(flat).cast("B")
                 yield {
                     "part": [part] * len(edge), "seq": [seq] * len(edge), "doc_id": s.doc_ids, "place": begin, "n_tokens": edge - begin,
                     "ids_crc32": [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(begin.tolist(), edge.tolist())],
