@@ -13,11 +13,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .byte_table import beyond_keys, keys, padded, ranges
+
 _OWN: dict[str, str] = {}
 _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 PIECE_BYTES = 4 << 20
@@ -102,7 +105,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterable[
     def run(batches):
         for got in fn(pieces(batches)):
             if len(got[out.names[0]]):
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, type=f.type) for f in out], schema=out)
             del got
         released()
 
@@ -166,6 +169,56 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+class Words:
+    """The words of a column of texts as words_of() gives them, by arrays. After each text's words comes an end, a line feed.
+
+    b: a padded() buffer of lower-cased bytes. at, size: places of all words in it. begin, count: each text's first word and number of words, its end included.
+    low, high: their keys; odd: words that have none.
+    """
+
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts, "")
+        wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        edge = np.frombuffer(texts.buffers()[1], wide, len(texts) + 1, texts.offset * wide().itemsize).astype(np.int64)
+        n, first = int(edge[-1] - edge[0]), int(edge[0])
+        edge -= first
+        self.b = padded(np.append(np.frombuffer(texts.buffers()[2], np.uint8, n, first) if n else np.zeros(0, np.uint8), np.uint8(10)))
+        self.b |= ((self.b - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5)
+        black = (self.b[: n + 1] != 32) & ((self.b[: n + 1] - np.uint8(9)) > 4)  # the last byte is the end
+        inner = edge[(edge > 0) & (edge < n)]
+        head = black.copy()
+        head[1:] &= ~black[:-1]
+        head[inner] = black[inner]
+        tail = black.copy()
+        tail[:-1] &= ~black[1:]
+        tail[inner - 1] = black[inner - 1]
+        at = np.flatnonzero(head)
+        size = np.flatnonzero(tail) + 1 - at
+        stop = np.searchsorted(at, edge[1:])
+        self.odd = np.insert(beyond_keys(self.b[:n], at, size), stop, False)
+        self.at, self.size = np.insert(at, stop, n), np.insert(size, stop, 1)
+        self.count = np.diff(stop, prepend=0) + 1
+        self.begin = np.cumsum(self.count) - self.count
+        self.low, self.high = keys(self.b, self.at, self.size)
+
+    def word(self, i: int) -> bytes:
+        return self.b[self.at[i] : self.at[i] + self.size[i]].tobytes()
+
+    def binary(self, places: np.ndarray) -> pa.Array:
+        """Some of the words as an Arrow array."""
+        return binary(self.b[ranges(self.at[places], self.at[places] + self.size[places])], self.size[places])
+
+
+def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Byte strings of some sizes that stand one after another."""
+    if data.nbytes >= 1 << 31:
+        raw, edge = data.tobytes(), np.cumsum(sizes).tolist()
+        return pa.array([raw[i:j] for i, j in zip([0, *edge], edge)], pa.binary())
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def hashes_of(words: list[bytes]) -> np.ndarray:
     Memory.use("words", WORDS.clear)
     out = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .byte_table import Table, beyond_keys, keys, one_of_each, padded, ranges
 from .common import Memory
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -150,19 +151,17 @@ for _k, _chars in ((_DIGIT, "0123456789"), (_FEED, "\n"), (_SPACE, " "), (_BLANK
     _KIND[[ord(c) for c in _chars]] = _k
 _KIND[[c for c in range(33, 127) if chr(c).isalpha()]] = _LETTER
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _SIGN
-_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], np.uint64)  # of a unit's first 8 bytes those that it has
-_HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(17)], np.uint64)
 _APART = re.compile(rb"(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe4-\xed][\x80-\xbf]{2}) (?=[\x21-\x7e\xc3-\xdf\xe4-\xed])")  # a space that is a cut for sure
 _BLANKS = [c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace()]
 
 
-class _Units:
+class _Units(Table):
     """Ids of a column's texts by arrays over its bytes. A text is cut into units where Encoder cuts it: pretokens of one kind of character with the space before them,
-    and whole chunks where a chunk holds anything else. A unit's ids depend on its bytes alone. A hash table remembers them by these bytes, up to 16 of them exactly as two numbers;
-    longer units and those with zero bytes are remembered in a dictionary. Between parts of a column of about PART bytes a full table starts anew (a bound on memory, not on results).
+    and whole chunks where a chunk holds anything else. A unit's ids depend on its bytes alone. The table's values are where a unit's ids start in flat << 32 | their number;
+    units that have no keys are remembered in a dictionary. Between parts of a column of about PART bytes a full table starts anew (a bound on memory, not on results).
     """
 
-    BITS, MOST, LONG_MOST, PART = 22, 2_400_000, 100_000, 1 << 20
+    BITS, MOST, LONG_MOST, PART = 22, 2_000_000, 100_000, 1 << 20
 
     def __init__(self, enc: Encoder):
         self.enc = enc
@@ -171,32 +170,8 @@ class _Units:
         self.clear()
 
     def clear(self) -> None:
-        self._room(self.BITS)
-        self.flat, self.used, self.kept, self.long = np.zeros(1 << 20, np.uint32), 0, 0, {}
-
-    def _room(self, bits: int) -> None:
-        self.bits, self.last = bits, (1 << bits) - 1
-        self.low, self.high, self.value = (np.zeros(1 << bits, t) for t in (np.uint64, np.uint64, np.int64))  # value: start in flat << 32 | number of ids, 0: empty
-
-    def _slot(self, mix: np.ndarray) -> np.ndarray:
-        return (mix >> np.uint64(64 - self.bits)).astype(np.intp)
-
-    def _put(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> None:
-        """Adds different units that the table does not hold."""
-        self.kept += len(value)
-        while self.kept > 3 << self.bits - 2:
-            held = np.flatnonzero(self.value)
-            low, high, value = np.append(low, self.low[held]), np.append(high, self.high[held]), np.append(value, self.value[held])
-            self._room(self.bits + 1)
-        slot = self._slot(_mix(low, high))
-        while len(value):
-            free = np.flatnonzero(self.value[slot] == 0)
-            self.value[slot[free]] = value[free]  # of several at one place one stays
-            won = free[self.value[slot[free]] == value[free]]
-            self.low[slot[won]], self.high[slot[won]] = low[won], high[won]
-            lost = np.ones(len(value), bool)
-            lost[won] = False
-            low, high, value, slot = low[lost], high[lost], value[lost], (slot[lost] + 1) & self.last
+        super().__init__(self.BITS)
+        self.flat, self.used, self.long = np.zeros(1 << 20, np.uint32), 0, {}
 
     def _add(self, ids: np.ndarray) -> int:
         """Keeps ids of one or more units, returns their start."""
@@ -239,28 +214,12 @@ class _Units:
         cut = np.union1d(space[good], starts)
         chunk = np.searchsorted(cut, odd, "right") - 1
         chunk = chunk[np.flatnonzero(np.diff(chunk, prepend=-1))]
-        head[_ranges(cut[chunk] + 1, np.append(cut, n)[chunk + 1])] = False
+        head[ranges(cut[chunk] + 1, np.append(cut, n)[chunk + 1])] = False
         at = np.flatnonzero(head[:n])
         whole = np.zeros(len(at), bool)
         whole[np.searchsorted(at, cut[chunk])] = True
         return at, whole
 
-    def _find(self, low: np.ndarray, high: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Values of units, 0 for those that the table does not hold."""
-        value = self.value[slot]
-        rest = np.flatnonzero((self.low[slot] != low) | (self.high[slot] != high))
-        on = rest[value[rest] != 0]
-        value[rest] = 0
-        rest, slot = on, slot[on]
-        while len(rest):
-            slot = (slot + 1) & self.last
-            got = self.value[slot]
-            hit = (self.low[slot] == low[rest]) & (self.high[slot] == high[rest])
-            value[rest[hit]] = got[hit]
-            on = ~hit & (got != 0)
-            rest, slot = rest[on], slot[on]
-        return value
-
     def _learn(self, units: list[bytes], whole: np.ndarray) -> np.ndarray:
         """Values of units that are new, by the library."""
         tokenize, letters, chunk = self.enc.model.tokenize, self.enc.letters, self.enc._chunk
@@ -301,31 +260,21 @@ class _Units:
     def _part(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where units start, numbers of ids before these) of a part of a column that begins and ends with a cut."""
         n = len(text)
-        b = np.zeros(n + 32 & ~7, np.uint8)
-        b[:n] = text
+        b = padded(text)
         at, whole = self._cut(b, n, starts)
         if self.kept + len(at) // 4 > self.MOST or len(self.long) > self.LONG_MOST:
             self.clear()
         size = np.diff(at, append=n)
-        odd = size > 16
-        if not text.all():
-            odd[np.searchsorted(at, np.flatnonzero(text == 0), "right") - 1] = True
-        words, place, shift = b.view("<u8"), at >> 3, ((at & 7) << 3).astype(np.uint64)
-        back = (np.uint64(64) - shift) & np.uint64(63)
-        low, high, more = words[place], words[place + 1], words[place + 2]
-        apart = shift != 0
-        mask = np.minimum(size, 16)
-        low = ((low >> shift) | (high << back) * apart) & _LOW[mask]
-        high = ((high >> shift) | (more << back) * apart) & _HIGH[mask]
-        mix, raw = _mix(low, high), b.tobytes()
-        value = self._find(low, high, self._slot(mix))
+        odd = beyond_keys(b[:n], at, size)
+        low, high = keys(b, at, size)
+        raw, value = b.tobytes(), self.find(low, high)
         value[odd] = -1
         miss = np.flatnonzero(value == 0)
         while len(miss):
-            new = miss[np.unique(mix[miss], return_index=True)[1]]
+            new = miss[one_of_each(low[miss], high[miss])]
             got = self._learn([raw[i:j] for i, j in zip(at[new].tolist(), (at[new] + size[new]).tolist())], whole[new])
-            self._put(low[new], high[new], got)
-            value[miss] = self._find(low[miss], high[miss], self._slot(mix[miss]))
+            self.put(low[new], high[new], got)
+            value[miss] = self.find(low[miss], high[miss])
             miss = miss[value[miss] == 0]  # different units of an equal mix
         for i in np.flatnonzero(odd).tolist():
             u = raw[at[i] : at[i] + size[i]]
@@ -340,20 +289,6 @@ class _Units:
         return self.flat[where], at, before
 
 
-def _mix(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    mix = low * np.uint64(0x9E3779B97F4A7C15) ^ (high + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    mix ^= mix >> np.uint64(32)
-    mix *= np.uint64(0xD6E8FEB86659FD93)
-    return mix
-
-
-def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """All positions from each start to before its stop."""
-    size = stop - start
-    out = np.repeat(start - (np.cumsum(size) - size), size)
-    return out + np.arange(len(out))
-
-
 def _little(ids: list[int]) -> bytes:
     a = array("I", ids)
     if _BIG:

@@ -16,16 +16,17 @@ untrained network. An empty table gives an empty result. Further columns are ign
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memory, Scratch, arrow_map, crc_mod, table, words_of
+from .byte_table import Table, beyond_keys, keys, mix, one_of_each, padded
+from .common import Memory, Scratch, Words, arrow_map, binary, crc_mod, table
 
 PARTS, HOLD = 5, 1
 VOCABULARY = 2048
@@ -46,26 +47,44 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches):
         from collections import Counter
 
-        trained, held = Counter(), Counter()
+        def fresh():
+            nonlocal table, sums, long
+            table, sums, long = Table(), np.zeros((2, 0), np.int64), (Counter(), Counter())  # long: words that have no keys
 
         def flush():
-            words = list(trained.keys() | held.keys())
-            out = {"word": words, "trained": [trained[w] for w in words], "seen": [trained[w] + held[w] for w in words]}
-            trained.clear()
-            held.clear()
-            return out
-
+            slot = np.flatnonzero(table.value)
+            got = sums[:, table.value[slot] - 1]
+            for i in range(0, len(slot), 200_000):
+                some = slot[i : i + 200_000]
+                raw = np.stack([table.low[some], table.high[some]], 1).astype("<u8").view(np.uint8)
+                yield {"word": binary(raw[raw != 0], (raw != 0).sum(1)), "trained": got[0, i : i + 200_000], "seen": got.sum(0)[i : i + 200_000]}
+            if words := list(long[0].keys() | long[1].keys()):
+                yield {"word": words, "trained": [long[0][w] for w in words], "seen": [long[0][w] + long[1][w] for w in words]}
+            fresh()
+
+        table = sums = long = None
+        fresh()
         for b in batches:
-            for t, text in zip(b["train"], b["text"]):
-                c = trained if t else held
-                c.update(words_of(text))
-                c[END] += 1
-                if len(trained) + len(held) > 500_000:
-                    yield flush()
-        if trained or held:
-            yield flush()
-
-    return arrow_map(rows, count, "word binary, trained long, seen long").groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("seen").alias("seen"))
+            w, train = Words(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+            number = table.find(w.low, w.high)
+            number[w.odd] = -1
+            miss = np.flatnonzero(number == 0)
+            while len(miss):
+                new = miss[one_of_each(w.low[miss], w.high[miss])]
+                table.put(w.low[new], w.high[new], np.arange(table.kept + 1, table.kept + 1 + len(new)))
+                number[miss] = table.find(w.low[miss], w.high[miss])
+                miss = miss[number[miss] == 0]
+            sums = np.pad(sums, ((0, 0), (0, table.kept - sums.shape[1])))
+            kind = np.repeat(~train, w.count)  # row 0: training documents
+            for k in (0, 1):
+                sums[k] += np.bincount(number[~w.odd & (kind == k)] - 1, minlength=table.kept)
+            for i in np.flatnonzero(w.odd).tolist():
+                long[int(kind[i])][w.word(i)] += 1
+            if table.kept + len(long[0]) + len(long[1]) > 500_000:
+                yield from flush()
+        yield from flush()
+
+    return arrow_map(rows, count, "word binary, trained long, seen long", piece=1 << 20, lists=False).groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("seen").alias("seen"))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -282,44 +301,52 @@ class Scorer:
         rows = [(self.place.get(w, n), math.log10(c + 0.5), c > 0, 0.0 if w in self.place else math.log10(c + 0.5)) for w, c in self.counts.items()]
         rows.append((n, 0.0, False, 0.0))
         self.at = {w: i for i, w in enumerate(self.counts)}
+        size = np.array([len(w) for w in self.counts], np.int64)
+        at, text = np.cumsum(size) - size, np.frombuffer(b"".join(self.counts), np.uint8)
+        short = np.flatnonzero(~beyond_keys(text, at, size))
+        self.table = Table()
+        self.table.put(*keys(padded(text), at[short], size[short]), short + 1)
         cols = list(zip(*rows))
         self.token, self.log, self.have, self.share = np.array(cols[0], np.int32), np.array(cols[1]), np.array(cols[2]), np.array(cols[3])
 
 
 def prepared(docs: DataFrame, shared) -> DataFrame:
     """A row per document under a number of its own (key): doc_id, train, h (a hash of the id, for an order), n_tokens, n_known, base_score, share (log10 parts that
-    the broadcast counts tell), tail (tokens outside the vocabulary), tokens (16-bit numbers), and the words without broadcast counts with their times."""
+    the broadcast counts tell), tail (tokens outside the vocabulary), tokens (16-bit numbers), and the words without broadcast counts with their times (a word may come in parts)."""
     def prepare(batches):
-        from collections import Counter
-
         s, key = shared.value, TaskContext.get().partitionId() << 33
         if not hasattr(s, "at"):
             s.prepare()
         Memory.use("gru", lambda: None)
-        other, get = len(s.at), s.at.get
+        other = len(s.at)
         for b in batches:
-            texts = [[*words_of(t), END] for t in b["text"]]
-            size = np.array([len(words) for words in texts], np.int64)
-            begin = np.cumsum(size) - size
-            every = list(itertools.chain.from_iterable(texts))
-            r = np.fromiter(map(get, every, itertools.repeat(other)), np.int64, len(every))
+            w, n = Words(b.column("text")), b.num_rows
+            r = s.table.find(w.low, w.high) - 1
+            for i in np.flatnonzero(w.odd).tolist():
+                r[i] = s.at.get(w.word(i), -1)
+            r[r < 0] = other
             tokens = s.token[r].astype("<u2")
-            sums = lambda v: np.add.reduceat(v, begin)  # noqa: E731  every document has its end token
+            sums = lambda v: np.add.reduceat(v, w.begin)  # noqa: E731  every document has its end token
             unknown = np.flatnonzero(r == other)
-            edges = np.searchsorted(unknown, np.append(begin, len(every))).tolist()
-            unknown = unknown.tolist()
-            rare = [Counter([every[i] for i in unknown[x:y]]) if x < y else {} for x, y in zip(edges, edges[1:])]
-            raw, ends = tokens.tobytes(), (2 * (begin + size)).tolist()
-            yield {k: b[k] for k in ("doc_id", "train", "h")} | {
-                "key": key + np.arange(len(texts)), "n_tokens": size, "n_known": sums(s.have[r].astype(np.int64)), "base_score": sums(s.log[r]) - size * s.base, "share": sums(s.share[r]),
-                "tail": sums((tokens == s.network.words).astype(np.int64)), "tokens": [raw[i:j] for i, j in zip((2 * begin).tolist(), ends)],
-                "rare": [list(c.keys()) for c in rare], "times": [list(c.values()) for c in rare],
+            doc, bits = np.searchsorted(w.begin, unknown, "right") - 1, np.uint64(n.bit_length())
+            order = doc.astype(np.uint64) << (np.uint64(64) - bits) | mix(w.low[unknown], w.high[unknown]) >> bits
+            unknown = unknown[np.argsort(order, kind="stable")]  # by documents, as they are
+            low, high, alone = w.low[unknown], w.high[unknown], w.odd[unknown]
+            first = np.ones(len(unknown), bool)
+            first[1:] = (doc[1:] != doc[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | alone[1:] | alone[:-1]
+            first = np.flatnonzero(first)  # a word's times may come in several parts: words without keys, equal mixes
+            edges = np.searchsorted(doc[first], np.arange(n + 1)).astype(np.int32)
+            lists = lambda v: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), v)
+            yield {k: b.column(k) for k in ("doc_id", "train", "h")} | {
+                "key": key + np.arange(n), "n_tokens": w.count, "n_known": sums(s.have[r].astype(np.int64)), "base_score": sums(s.log[r]) - w.count * s.base, "share": sums(s.share[r]),
+                "tail": sums((tokens == s.network.words).astype(np.int64)), "tokens": binary(tokens.view(np.uint8), 2 * w.count),
+                "rare": lists(w.binary(unknown[first])), "times": lists(pa.array(np.diff(first, append=len(unknown)), pa.int64())),
             }
-            key += len(texts)
+            key += n
 
     train = F.coalesce(crc_mod("doc_id", PARTS) != HOLD, F.lit(False)).alias("train")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train, F.xxhash64("doc_id").alias("h"), "text")
-    return arrow_map(rows, prepare, "key long, doc_id long, train boolean, h long, n_tokens long, n_known long, base_score double, share double, tail long, tokens binary, rare array<binary>, times array<long>")
+    return arrow_map(rows, prepare, "key long, doc_id long, train boolean, h long, n_tokens long, n_known long, base_score double, share double, tail long, tokens binary, rare array<binary>, times array<long>", piece=1 << 20, lists=False)
 
 
 def start(rows: DataFrame, scorer: Scorer, most_docs: int = START_DOCS, most_words: int = START_WORDS) -> None:
