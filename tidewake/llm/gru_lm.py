@@ -127,13 +127,16 @@ class Network:
 
     def step(self, tokens: np.ndarray, h: np.ndarray):
         k = self.hidden
-        gx, gh = self.w["x"][tokens], h @ self.w["u"]
+        gx, gh = self.w["x"].take(tokens, 0), h @ self.w["u"]
         zr = _sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
         z, r = zr[:, :k], zr[:, k:]
         c = r * gh[:, 2 * k :]
         c += gx[:, 2 * k :]
         np.tanh(c, out=c)
-        return c + z * (h - c), (zr, c, gh)
+        h = h - c
+        h *= z
+        h += c
+        return h, (zr, c, gh)
 
     def class_of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         tail = tokens == self.words
@@ -177,7 +180,9 @@ class Network:
         lp[order] += more
         if not grads:
             return lp
-        dh[order] += back
+        place = np.empty(len(h), np.intp)
+        place[order] = at
+        dh += back.take(place, 0)
         return lp, dh, d
 
     def moments(self) -> dict:
@@ -216,7 +221,12 @@ class Network:
                 dh_out = np.zeros_like(before)
                 _, dh_out[real], g = self.outputs(before[real], tokens[real], grads=True)
             z, r = gates[:, :, :k], gates[:, :, k:]
-            to_new, to_z, to_r = (1 - z) * (1 - news * news), (before - news) * z * (1 - z), pulls * r * (1 - r)
+            slope, to_new, to_z, to_r = 1 - gates, news * news, before - news, pulls
+            np.subtract(1, to_new, out=to_new)
+            to_new *= slope[:, :, :k]
+            slope *= gates
+            to_z *= slope[:, :, :k]
+            to_r *= slope[:, :, k:]
             gx, gg = np.empty((size, lanes, 3 * k), np.float32), np.empty((size, lanes, 3 * k), np.float32)
             dh, back = np.zeros((lanes, k), np.float32), self.w["u"].T.copy()  # from later windows: cut off
             for t in range(size - 1, -1, -1):
@@ -426,7 +436,7 @@ def network_scores(rows: DataFrame, network: Network) -> DataFrame:
             tokens = [np.frombuffer(t, "<u2").astype(np.int32) for t in b["tokens"]]
             yield {k: b[k] for k in told} | {"lp": shared.value.log_likelihoods(tokens) / math.log(10)}
 
-    return arrow_map(rows.select(*told, "tokens"), score, "key long, doc_id long, n_tokens long, n_known long, base_score double, share double, tail long, lp double", piece=1 << 20)
+    return arrow_map(rows.select(*told, "tokens"), score, "key long, doc_id long, n_tokens long, n_known long, base_score double, share double, tail long, lp double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
