@@ -90,7 +90,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
         if not len(live):
             break
         rank = np.full(len(count), _NEVER, np.int32)
-        rank[live[np.lexsort((_bucket(pairs[live], 32), -count[live]))]] = np.arange(len(live), dtype=np.int32)
+        order = (n - count[live]).astype(np.uint64) << np.uint64(32) | _bucket(pairs[live], 32).astype(np.uint64)
+        rank[live[np.argsort(order, kind="stable")]] = np.arange(len(live), dtype=np.int32)
         at = np.flatnonzero(alive)
         here = rank[slot[at]]
         dead = here == _NEVER
@@ -137,10 +138,9 @@ def repair(ids: np.ndarray, ends: np.ndarray, least: int = LEAST):
         else:
             ahead[behind] = pick
         new = np.concatenate([before, pick])
-        left = seq[new]
-        open_ = np.flatnonzero((left < _CLOSES) & (after[new] < n))
-        new = new[open_]
-        number(new, left[open_], seq[after[new]])
+        left, then = seq[new], after[new]
+        open_ = np.flatnonzero((left < _CLOSES) & (then < n))
+        number(new[open_], left[open_], seq[then[open_]])
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     seq = seq[~gone]
     return seq & ~_CLOSES, rules, lengths, np.flatnonzero(seq >= _CLOSES)
