@@ -152,6 +152,8 @@ for _k, _chars in ((_DIGIT, "0123456789"), (_FEED, "\n"), (_SPACE, " "), (_BLANK
 _KIND[[c for c in range(33, 127) if chr(c).isalpha()]] = _LETTER
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _SIGN
 _APART = re.compile(rb"(?:[\x21-\x7e]|[\xc3-\xdf][\x80-\xbf]|[\xe4-\xed][\x80-\xbf]{2}) (?=[\x21-\x7e\xc3-\xdf\xe4-\xed])")  # a space that is a cut for sure
+_LEADS = np.zeros(256, bool)
+_LEADS[0xE1:0xE4] = True  # first bytes of white space of three bytes; that of two begins with 0xC2
 _BLANKS = [c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace()]
 
 
@@ -193,7 +195,8 @@ class _Units(Table):
         before, behind = kind[space - 1], kind[space + 1]
         first, last = np.isin(space, starts), np.isin(space, ends)
         good = ((before < _FEED) | first) & (behind < _FEED) & ~last
-        for i in np.flatnonzero(good & ((before == _OTHER) | (behind == _OTHER))).tolist():
+        near = ((before == _OTHER) & ((b[space - 2] == 0xC2) | _LEADS[b[space - 3]])) | ((behind == _OTHER) & ((b[space + 1] == 0xC2) | _LEADS[b[space + 1]]))
+        for i in np.flatnonzero(good & near).tolist():  # beside what may be white space beyond ASCII
             at = int(space[i])
             near = b[max(0, at - 3) : at + 4].tobytes()
             at = min(3, at)
