@@ -36,6 +36,11 @@ def test_mean_of_just_one_is_not_slow(spark):
     assert S.semantic_tags(df, areas).first()["semantic_id"] in (2, 3)
 
 
+def test_means_of_just_one_of_two_points(spark, tmp_path):
+    """Two doubles have one sum, in any order; for some pairs it is below 2, where the decimals give just 2."""
+    assert same(spark, tmp_path, "w22_semantic_tags", [(a, 60 * i, v / 100) for a in range(1, 4000, 7) for i, v in enumerate((a, 8000 - a))])
+
+
 def test_partitions_that_leave_nothing(spark):
     """A merge by the older rule may leave no pattern; the partitions after it are still there."""
     parts = spark.createDataFrame([([1, 2], 0, 0, 0), ([3, 4], 60, 60, 1), ([5, 6], 120, 300, 2)], "clusters array<bigint>, st long, et long, bin long")

@@ -106,9 +106,13 @@ def semantic_tags(df: DataFrame, areas: DataFrame, velocity: str = "velocity", n
     n = F.count(F.lit(1))
     known = F.when(F.col(velocity).isNotNull(), F.struct(s.ts, *s.tie))  # from the first known velocity to the last one
     rise = F.try_divide(F.max_by(velocity, known) - F.min_by(velocity, known), (n - 1).cast("double"))
-    exact = F.col(velocity).try_cast("decimal(30,15)")  # sums of doubles depend on their order, which would decide about means of just 1
-    mean = F.when(F.count(exact) == F.count(velocity), F.try_divide(F.try_sum(exact), F.count(exact)))
-    g = d.groupBy(s.oid, "traj_id").agg(F.coalesce(mean.cast("double"), F.avg(velocity)).alias("_v"), F.avg("nearest").alias("_d"), rise.alias("_a"))
+    # Sums of doubles depend on their order, which would decide about means of just 1: here they are added exactly, in units of 2^-20 and 2^-62, and rounded once.
+    scaled = F.col(velocity).cast("double") * F.lit(2.0**20)
+    whole = scaled.try_cast("bigint")
+    rest = ((scaled - whole) * F.lit(2.0**42)).try_cast("bigint")
+    total = F.try_sum(whole.cast("decimal(19,0)")).cast("double") / F.lit(2.0**20) + F.try_sum(rest.cast("decimal(19,0)")).cast("double") / F.lit(2.0**62)
+    mean = F.when(F.count(rest) == F.count(velocity), F.try_divide(total, F.count(rest)))
+    g = d.groupBy(s.oid, "traj_id").agg(F.coalesce(mean, F.avg(velocity)).alias("_v"), F.avg("nearest").alias("_d"), rise.alias("_a"))
     tag = F.when(F.col("_v") < 1, F.when(F.col("_d") <= near_deg, 0).otherwise(1)).when(F.col("_a") < 0, 3).otherwise(2)
     return g.select(s.oid, "traj_id", tag.alias("semantic_id"))
 
