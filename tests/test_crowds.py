@@ -1,5 +1,7 @@
 """Crowds: what is shuffled grows with the members of groups, not with their square."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -90,6 +92,16 @@ def test_cliques_of_points():
         assert sorted(c.tolist() for c in G.point_cliques(o, lon, lat, r) if len(c) > 1) == sorted(G.maximal_cliques(near)), trial
 
 
+def test_cliques_are_not_held():
+    """14 pairs of which all nodes but partners are linked have 16,384 maximal cliques: they pass one by one."""
+    near = [{v for v in range(28) if v // 2 != u // 2} for u in range(28)]
+    tracemalloc.start()
+    found = sum(len(c) == 14 for c in G.clique_lists(near))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 1 << 14 and peak < 500_000
+
+
 def test_flocks_of_copies(spark, tmp_path):
     """Fourteen objects in four frames, and 100 copies of each at the same places: the same cliques and patterns with all copies; nothing grows with pairs of copies."""
     rng, copies = np.random.default_rng(3), 100
