@@ -123,3 +123,30 @@ def test_flocks_of_copies(spark, tmp_path):
     want = G.fold([(i, f, [c for g, c in clusters if g == f]) for i, f in enumerate(by)], 1, 21_600, len(by) - 1)  # one object stands for 100
     assert sorted(QUERIES["g2_mine_flocks"](spark, str(tmp_path / str(copies))).collect()) == sorted((members(c), s, e) for c, s, e in want)
     assert shuffled(spark) - before < LEAST_CUT / 10
+
+
+def test_fold_of_sets():
+    """The patterns of fold() for overlapping cliques, in frames with gaps, with more members than bits of a word, in small blocks."""
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        n, last, least, long = int(rng.choice([3, 8, 20, 40, 140])), 7, int(rng.choice([2, 3])), int(rng.choice([0, 100, 200]))
+        frames = []
+        for i in range(1, last + 1):
+            here, at = np.flatnonzero(rng.random(n) < 0.8), rng.random((n, 2)) * (1 if n <= 20 else n / 20) ** 0.5
+            near = [{b for b in range(len(here)) if b != a and np.hypot(*(at[here[a]] - at[here[b]])) < 0.5} for a in range(len(here))]
+            if rng.random() < 0.85 and (c := [here[x] for x in G.clique_lists(near) if len(x) >= least]):
+                frames.append((i, 100 * i, c))
+        got = [(own[np.flatnonzero(x)].tolist(), int(s), e) for own, r, st, e in G.fold_sets(frames, np.ones(n, int), least, long, last, 64) for x, s in zip(G._unpacked(r, len(own)), st)]
+        assert sorted(got) == sorted(G.fold([(i, t, [x.tolist() for x in c]) for i, t, c in frames], least, long, last)), trial
+
+
+def test_crowd_of_flocks(spark, tmp_path):
+    """70 objects at different places of a site: the patterns of the cliques found on pairs."""
+    rng, copies = np.random.default_rng(6), 70
+    e = pd.DataFrame([(20 * u, f, 1000 * f + int(p)) for f in range(4) for u, p in enumerate(rng.choice(1000, copies, replace=False)) if rng.random() < 0.8], columns=["user_id", "frame", "event_id"])
+    e["ts"] = (pd.Timestamp("2024-01-01") + pd.to_timedelta(e["frame"] * 21_600 + 60, unit="s")).astype("datetime64[us]")
+    e.assign(event_type="view", value=1.0, props="").drop(columns="frame").to_parquet(tmp_path / "events.parquet")
+    clusters = G.frame_clusters(pairs(spark, str(tmp_path)), "flocks").collect()
+    by = sorted({x["frame"] for x in clusters})
+    want = G.fold([(i, f, [x["clusters"] for x in clusters if x["frame"] == f]) for i, f in enumerate(by)], 2, 21_600, len(by) - 1)
+    assert sorted(QUERIES["g2_mine_flocks"](spark, str(tmp_path)).collect()) == sorted((",".join(map(str, c)), s, t) for c, s, t in want)
